@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quillmark.llm import sentencepiece_codec
+from quillmark.llm import language_id, sentencepiece_codec, simhash_dedup
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
+    "op7_language_id": language_id.query,
+    "op9_simhash_dedup": simhash_dedup.query,
 }
 #: DuckDB SQL of those that SQL can express.
 SQL: dict[str, str] = {}
