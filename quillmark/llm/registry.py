@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillmark.llm import language_id, sentencepiece_codec, simhash_dedup
+from quillmark.llm import chat_format, language_id, pii, sentencepiece_codec, simhash_dedup
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
     "op7_language_id": language_id.query,
+    "op8_chat_format": chat_format.query,
     "op9_simhash_dedup": simhash_dedup.query,
+    "op10_pii": pii.query,
 }
 #: DuckDB SQL of those that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_chat_format": chat_format.SQL}
