@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillmark.llm import chat_format, language_id, pii, sentencepiece_codec, simhash_dedup
+from quillmark.llm import chat_format, language_id, pii, sentencepiece_codec, simhash_dedup, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op7_language_id": language_id.query,
     "op8_chat_format": chat_format.query,
     "op9_simhash_dedup": simhash_dedup.query,
