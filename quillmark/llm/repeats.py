@@ -15,7 +15,7 @@ every window through a shuffle would move many times the corpus, so windows trav
 4. ``tell``: all repeated windows go back to their documents.
 
 Rows between the steps are packed arrays for one bucket each, so their number depends on tasks and
-buckets, not on windows. Copies that meet in one task are decided there and only their earliest record
+buckets, not on windows; there are as many buckets as shuffle partitions, one in each. Copies that meet in one task are decided there and only their earliest record
 goes on, so a content that a third of all documents have reaches its bucket once a task.
 
 A document is (doc_id, crc32 of its symbols' bytes), so rows that repeat a doc_id with another text
@@ -34,23 +34,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import partitions
+from quillmark.llm.shared import partitions, tidy
 
 NO_ID = -(1 << 63)
 #: Symbols that are sketched at a time (position bits in a packed minimum), and records or bytes that a task holds before it ships them.
-CHUNK_BITS = 20
+CHUNK_BITS = 18
 CHUNK = 1 << CHUNK_BITS
-HELD, HELD_BYTES = 400_000, 24 << 20
+HELD, HELD_BYTES = 300_000, 16 << 20
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 C1, C2, C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xFF51AFD7ED558CCD)
 ROWS = "bucket int, kind int, data binary"
 #: Kinds of packed rows and the columns of each. Integers of a place: doc, tag, start, count of windows.
-FULL, OPEN, OWN, TEXTS = 1, 2, 3, 4
+FULL, OPEN, TEXTS, SORTED, EDGE = 1, 2, 4, 5, 6
 PLACE = (("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("n", "<u1"))
 KINDS = {
     0: (("anchor", "<u8"), ("content", "<u8"), *PLACE, ("offset", "<u1")),
     FULL: (*PLACE, ("src_doc", "<i8"), ("src_start", "<u4")),
     OPEN: (*PLACE, ("offset", "<u1"), ("anchor", "<u8"), ("shards", "<u4")),
+    SORTED: (*PLACE, ("offset", "<u1"), ("anchor", "<u8"), ("shard", "<u4"), ("shards", "<u4")),
+    EDGE: (("edge", "<u8"), *PLACE),
 }
 
 
@@ -144,11 +146,37 @@ def unpack(kind: int, blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {c: np.concatenate(x) for c, x in out.items()}
 
 
-def spread(x: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each number."""
+def share(x: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal shares each number falls into."""
     with np.errstate(over="ignore"):
         y = x.astype(np.uint64) * C2
-        return (((y ^ (y >> np.uint64(31))) * C3) >> np.uint64(33)).astype(np.int64) % buckets
+        return (((y ^ (y >> np.uint64(31))) * C3) >> np.uint64(33)).astype(np.int64) % n
+
+
+@lru_cache(4)
+def bucket_keys(n: int) -> np.ndarray:
+    """n bucket numbers of which Spark's hash partitioning sends one to each of n partitions (its Murmur3 of an int, seed 42)."""
+    found, at = np.full(n, -1, np.int64), 0
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    while (found < 0).any():
+        ids = np.arange(at, at + 16 * n + 64, dtype=np.uint32)
+        at += len(ids)
+        with np.errstate(over="ignore"):
+            h = turn(ids * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
+            h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+            h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+            h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+            h ^= h >> np.uint32(16)
+        where = h.view(np.int32).astype(np.int64) % n
+        first, index = np.unique(where, return_index=True)
+        new = found[first] < 0
+        found[first[new]] = ids[index[new]]
+    return found
+
+
+def spread(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each number."""
+    return bucket_keys(buckets)[share(x, buckets)]
 
 
 def dealt(kind: int, columns: dict[str, np.ndarray], bucket: np.ndarray):
@@ -249,6 +277,7 @@ def records(docs: DataFrame, rule: Rule, symbols, buckets: int) -> DataFrame:
                 if n >= HELD:
                     yield from ship(held)
                     held, n = [], 0
+                    tidy()
             if held:
                 yield from ship(held)
 
@@ -279,6 +308,7 @@ def packed_texts(docs: DataFrame, buckets: int) -> DataFrame:
                 if size > HELD_BYTES:
                     yield from ((b, TEXTS, _squeeze(x)) for b, x in held.items())
                     held, size = {}, 0
+                    tidy()
             yield from ((b, TEXTS, _squeeze(x)) for b, x in held.items())
 
         with np.errstate(over="ignore"):
@@ -345,7 +375,9 @@ def grouped(rows: DataFrame, run) -> DataFrame:
 
     def whole(table: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            return pa.Table.from_batches(list(run(table)), _SCHEMA)
+            out = pa.Table.from_batches(list(run(table)), _SCHEMA)
+        tidy()
+        return out
 
     return rows.groupBy("bucket").applyInArrow(whole, ROWS)
 
@@ -389,6 +421,7 @@ def tell(texts: DataFrame, rows: DataFrame, finish, schema: str, names: list[str
                 at = where.get((doc, tagged(text)), none)
                 out.extend(finish(None if doc == NO_ID else doc, text, *(marks[c][at] for c in ("start", "n", "src_doc", "src_start"))))
         columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
+        tidy()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     kinds = _arrow_types(texts, schema)
@@ -403,7 +436,7 @@ def _arrow_types(df: DataFrame, schema: str) -> list[pa.DataType]:
 
 
 def bucket_count(df: DataFrame) -> int:
-    return 4 * partitions(df.sparkSession)
+    return partitions(df.sparkSession)
 
 
 def id_and_text(df: DataFrame, key: str, text: str) -> DataFrame:

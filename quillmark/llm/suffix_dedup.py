@@ -29,9 +29,6 @@ WINDOW, GRAM = 100, 24
 #: Different contents of one anchor that a group of suffixes should have at most.
 SHARD = 2048
 RULE = R.Rule(WINDOW, GRAM, by_doc=False)
-SORTED = 5
-R_KIND = {SORTED: (("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("n", "<u1"), ("offset", "<u1"), ("anchor", "<u8"), ("shard", "<u4"), ("shards", "<u4"))}
-R.KINDS.update(R_KIND)
 
 
 @lru_cache(1)
@@ -146,19 +143,19 @@ def answer(buckets: int):
                 which = [0]
                 if shards > 1:
                     h = R.Prefix(symbols(piece)).of(np.arange(n), np.arange(n) + WINDOW)
-                    which = np.unique(R.spread(h, shards)).tolist()
+                    which = np.unique(R.share(h, shards)).tolist()
                 for s in which:
                     rows.append((i, s))
                     extra.append(piece)
         if rows:
             i, s = (np.array(x) for x in zip(*rows, strict=True))
-            out = R.take({c: cols[c] for c, _ in R.KINDS[SORTED] if c != "shard"}, i) | {"shard": s.astype("<u4")}
+            out = R.take({c: cols[c] for c, _ in R.KINDS[R.SORTED] if c != "shard"}, i) | {"shard": s.astype("<u4")}
             bucket = R.spread(out["anchor"] + s.astype(np.uint64) * R.C1, buckets)
             for b in np.unique(bucket).tolist():
                 pick = np.flatnonzero(bucket == b)
-                head = R.pack(SORTED, R.take(out, pick))
+                head = R.pack(R.SORTED, R.take(out, pick))
                 held[b] = len(head).to_bytes(8, "little") + head + _pressed(b"".join(extra[k] for k in pick))
-        return [(b, SORTED, blob) for b, blob in held.items()]
+        return [(b, R.SORTED, blob) for b, blob in held.items()]
 
     return run
 
@@ -178,8 +175,8 @@ def sort_and_mark(rows: DataFrame, buckets: int) -> DataFrame:
 
         kinds = R.by_kind(table)
         out = list(R.passed(table.column("bucket")[0].as_py(), kinds))
-        cuts = [(8 + int.from_bytes(b[:8], "little"), b) for b in kinds.get(SORTED, [])]
-        cols = R.unpack(SORTED, [b[8:e] for e, b in cuts])
+        cuts = [(8 + int.from_bytes(b[:8], "little"), b) for b in kinds.get(R.SORTED, [])]
+        cols = R.unpack(R.SORTED, [b[8:e] for e, b in cuts])
         data = b"".join(zstandard.ZstdDecompressor().decompress(b[e:]) for e, b in cuts)
         lengths = cols["n"].astype(np.int64) - 1 + WINDOW
         begins = np.cumsum(lengths) - lengths
@@ -217,7 +214,7 @@ def sort_and_mark(rows: DataFrame, buckets: int) -> DataFrame:
 def _spread_each(h: np.ndarray, shards: np.ndarray) -> np.ndarray:
     out = np.empty(len(h), np.int64)
     for s in np.unique(shards).tolist():
-        out[shards == s] = R.spread(h[shards == s], s)
+        out[shards == s] = R.share(h[shards == s], s)
     return out
 
 
