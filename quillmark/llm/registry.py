@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quillmark.llm import chat_format, language_id, pii, sentencepiece_codec, simhash_dedup, suffix_dedup
+from quillmark.llm import chat_format, debruijn_dedup, decontaminate, forest_search, language_id, pii, sentencepiece_codec, simhash_dedup, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_suffix_dedup": suffix_dedup.query,
+    "op4_forest_search": forest_search.query,
+    "op5_debruijn_dedup": debruijn_dedup.query,
     "op7_language_id": language_id.query,
     "op8_chat_format": chat_format.query,
     "op9_simhash_dedup": simhash_dedup.query,
