@@ -19,7 +19,6 @@ between windows go to the first one. Repeated documents are matched each, repeat
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -191,38 +190,44 @@ def index_of(rows: list[tuple[int, str | None]]) -> Index | None:
     return Index([i for i, _ in own], items, known, [np.array(o) for o in owners], sizes, blocks, {len(w): 1 for _, w in own if len(w) < SHINGLE})
 
 
-def find(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_id, similarity, start, n_words): each document with each item it holds; the best window in words."""
-    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+MATCH = "struct<item_id:bigint,similarity:double,start:bigint,n_words:bigint>"
+
+
+def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "matches", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """df with ``out`` array<MATCH>: the items that each text holds, each with its best window in words."""
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     parts = max(1, -(-size["n"] // ITEMS), -(-size["b"] // ITEM_BYTES))
-    schema = f"{key} {docs.schema['key'].dataType.simpleString()}, item_id long, similarity double, start long, n_words long"
-    found = []
+    done = df.withColumn(out, F.array().cast(f"array<{MATCH}>"))
     for p in range(parts):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p)
         index = index_of([(r["item"], r["text"]) for r in block.collect()])
         if index:
-            found.append(docs.mapInArrow(_search(df.sparkSession.sparkContext.broadcast(index), key), schema))
-    return reduce(DataFrame.unionAll, found) if found else df.sparkSession.createDataFrame([], schema)
+            done = done.mapInArrow(_search(df.sparkSession.sparkContext.broadcast(index), text, out), done.schema)
+    return done
 
 
-def _search(shared, key: str):
+def _search(shared, text: str, out: str):
     def run(batches):
         index = shared.value
         for b in batches:
-            rows = []
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                rows += [(i, m) for i, t in enumerate(part.column(1).to_pylist(), at) if t for m in index.matches(t)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([index.ids[m[0]] for _, m in rows], pa.int64()), pa.array([m[1] for _, m in rows], pa.float64()), *(pa.array([m[c] for _, m in rows], pa.int64()) for c in (2, 3))],
-                names=[key, "item_id", "similarity", "start", "n_words"],
-            )
+            own, before = b.schema.get_field_index(text), b.schema.get_field_index(out)
+            kind = b.schema.field(before).type
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                found = [[{"item_id": index.ids[m[0]], "similarity": m[1], "start": m[2], "n_words": m[3]} for m in index.matches(t)] if t else [] for t in part.column(own).to_pylist()]
+                rows = [x + y for x, y in zip(part.column(before).to_pylist(), found, strict=True)]
+                yield part.set_column(before, b.schema.field(before), pa.array(rows, kind))
 
     return run
 
 
+def find(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, item_id, similarity, start, n_words): each document with each item it holds."""
+    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return mark(docs, benchmark).select(F.col("key").alias(key), F.explode("matches").alias("m")).select(key, "m.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.withColumn("similarity", F.round("similarity", 9))
