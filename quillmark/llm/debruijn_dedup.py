@@ -6,7 +6,8 @@ smaller doc_id. Windows are judged on the input and never cross documents.
 Windows are the graph's edges, from the node of their first WINDOW - 1 words to that of their last.
 ``repeats`` finds the repeated edges, each with the coordinates of an earlier occurrence. Then:
 
-* edges in a row whose sources are also in a row are compacted into one path inside their document;
+* edges in a row whose sources are also in a row are compacted into one path inside their document, and
+  a path that runs over and over (a loop, as repeated lines make) into one path of several rounds;
 * each path is verified at its source's coordinates: a digest of the words there must be its own;
 * paths are compacted further through Spark joins: two paths that meet in a document at a node where
   just one path ends and one begins, over all documents, become one. What remains are long repeated
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import repeats as R
-from quillmark.llm.shared import documents
+from quillmark.llm.shared import cut, documents
 from quillmark.llm.suffix_dedup import covered
 
 WINDOW, GRAM = 13, 5
 RULE = R.Rule(WINDOW, GRAM, by_doc=True)
 #: Distinct words whose hashes a Python worker keeps.
 KNOWN = 1 << 20
-PATHS = "bucket int, doc long, tag long, start int, n int, src_bucket int, src_doc long, src_start int, tail long, head long, digest binary"
+PATHS = "bucket int, doc long, tag long, start int, n int, once int, src_bucket int, src_doc long, src_start int, tail long, head long, digest binary"
 
 
 class Words(dict):
@@ -108,7 +109,7 @@ def digest_of(words: list[bytes], start: int, n: int) -> bytes:
 def paths(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     """Rows of PATHS: runs of repeated edges of a document whose sources run alike."""
     names = [c.split()[0] for c in PATHS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(key, left: pa.Table, right: pa.Table):
         cols = R.unpack(R.FULL, R.by_kind(right).get(R.FULL, []))
@@ -121,11 +122,20 @@ def paths(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
                 words, nodes = text.split(), edges_of(symbols(text), WINDOW - 1)
                 start, n, src, src_start = (cols[c][at].astype(np.int64) for c in ("start", "n", "src_doc", "src_start"))
                 new = np.r_[True, (start[1:] != start[:-1] + n[:-1]) | (src[1:] != src[:-1]) | (src_start[1:] != src_start[:-1] + n[:-1])]
-                cut = np.flatnonzero(new)
-                for s, e in pairwise([*cut.tolist(), len(start)]):
-                    total = int(n[s:e].sum())
-                    a = int(start[s])
-                    out.append((key[0].as_py(), doc, k[1], a, total, int(R.spread(src[s : s + 1], buckets)[0]), int(src[s]), int(src_start[s]), _signed(int(nodes[a])), _signed(int(nodes[a + total])), digest_of(words, a, total)))
+                at = np.flatnonzero(new)
+                first, once, src, src_start = start[at], np.add.reduceat(n, at), src[at], src_start[at]
+                # A loop of the graph: the same path over and over. It is one path of that many rounds.
+                again = np.r_[False, (first[1:] == first[:-1] + once[:-1]) & (once[1:] == once[:-1]) & (src[1:] == src[:-1]) & (src_start[1:] == src_start[:-1])]
+                for i in np.flatnonzero(again).tolist():
+                    a, b = int(first[i - 1]), int(first[i])
+                    again[i] = words[a : a + int(once[i]) - 1 + WINDOW] == words[b : b + int(once[i]) - 1 + WINDOW]
+                begin = np.flatnonzero(~again)
+                rounds = np.diff(np.r_[begin, len(again)])
+                to = R.spread(src[begin], buckets)
+                for i, times, b in zip(begin.tolist(), rounds.tolist(), to.tolist(), strict=True):
+                    a, k1 = int(first[i]), int(once[i])
+                    total = k1 * times
+                    out.append((key[0].as_py(), doc, k[1], a, total, k1, b, int(src[i]), int(src_start[i]), _signed(int(nodes[a])), _signed(int(nodes[a + total])), digest_of(words, a, k1)))
         columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -139,7 +149,7 @@ def verified(texts: DataFrame, found: DataFrame) -> DataFrame:
         asked: dict[int, list[int]] = {}
         for i, d in enumerate(right.column("src_doc").to_pylist()):
             asked.setdefault(d, []).append(i)
-        start, n, digest = (right.column(c).to_pylist() for c in ("src_start", "n", "digest"))
+        start, n, digest = (right.column(c).to_pylist() for c in ("src_start", "once", "digest"))
         true: set[int] = set()
         for doc, text in R.texts_of(R.by_kind(left).get(R.TEXTS, [])) if asked else ():
             if rows := asked.get(doc):
@@ -157,10 +167,12 @@ def verified(texts: DataFrame, found: DataFrame) -> DataFrame:
 
 def compacted(found: DataFrame) -> DataFrame:
     """(bucket, doc, tag, start, n) of spans: paths of a document that meet at a node without a branch become one."""
-    out = found.groupBy(F.col("tail").alias("node")).agg(F.count_distinct("digest").alias("leaving"))
-    into = found.groupBy(F.col("head").alias("node")).agg(F.count_distinct("digest").alias("coming"))
-    simple = out.join(into, "node").where("leaving = 1 and coming = 1").select("node", F.lit(True).alias("simple"))
-    marked = found.join(simple, found["tail"] == simple["node"], "left")
+    own = F.xxhash64("digest", "n").alias("path")
+    ends = found.select(F.explode(F.array(F.struct(F.col("tail").alias("node"), F.lit(True).alias("leaves"), own), F.struct(F.col("head").alias("node"), F.lit(False).alias("leaves"), own))).alias("e")).select("e.*").distinct()
+    degrees = ends.groupBy("node").agg(F.count_if("leaves").alias("leaving"), F.count_if(~F.col("leaves")).alias("coming"))
+    # The node is re-made on both sides so that both are shuffled for this join, and a node that very many paths meet in can be split.
+    simple = degrees.where("leaving = 1 and coming = 1").select(F.expr("node ^ 1").alias("node"), F.lit(True).alias("simple"))
+    marked = found.withColumn("at", F.expr("tail ^ 1")).join(simple, F.col("at") == simple["node"], "left").drop("node", "at")
     along = Window.partitionBy("doc", "tag").orderBy("start")
     joined = F.coalesce("simple", F.lit(False)) & (F.lag(F.col("start") + F.col("n")).over(along) == F.col("start"))
     numbered = marked.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("span", F.sum("new").over(along))
@@ -187,7 +199,7 @@ def remove(texts: DataFrame, spans: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     met = R.meet(R.records(docs, RULE, symbols, buckets), RULE, buckets, 1 << 30)
     marks = repeated_edges(R.ask(texts, met, answer(buckets)), buckets)
-    return compacted(verified(texts, paths(texts, marks, buckets)))
+    return compacted(cut(verified(texts, paths(texts, marks, buckets))))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
