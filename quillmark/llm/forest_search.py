@@ -185,6 +185,15 @@ def search(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", ve
                     n = best.shape[1]
                     out.append((np.repeat(qid[who[a : a + step]], n), rows_here[best.ravel()], np.take_along_axis(d, best, 1).ravel()))
         qid, row, d = (np.concatenate([o[c] for o in out]) for c in range(3)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        # Of what a query finds in all leaves of this bucket, only its k + 1 nearest can matter.
+        if len(qid):
+            order = np.lexsort((low[row], d, qid))
+            qid, row, d = qid[order], row[order], d[order]
+            same = np.r_[False, (qid[1:] == qid[:-1]) & (row[1:] == row[:-1])]
+            qid, row, d = qid[~same], row[~same], d[~same]
+            begin = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]])
+            near = np.arange(len(qid)) - np.repeat(begin, np.diff(np.r_[begin, len(qid)])) <= k
+            qid, row, d = qid[near], row[near], d[near]
         ids = points.column("ids").combine_chunks().take(pa.array(row)) if len(points) else pa.array([], pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(qid), pa.array(d), ids], names=["qid", "score", "ids"])
 
