@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quillmark.plans import semantic, structure
+
+_PARTS = (semantic, structure)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+SQL: dict[str, str] = {k: s for part in _PARTS for k, s in part.SQL.items()}
