@@ -35,7 +35,7 @@ from quillmark.llm.suffix_dedup import covered
 WINDOW, GRAM = 13, 5
 RULE = R.Rule(WINDOW, GRAM, by_doc=True)
 #: Distinct words whose hashes a Python worker keeps.
-KNOWN = 1 << 20
+KNOWN = 1 << 18
 PATHS = "bucket int, doc long, tag long, start int, n int, once int, src_bucket int, src_doc long, src_start int, tail long, head long, digest binary"
 
 

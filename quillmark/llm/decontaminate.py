@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import documents
+from quillmark.llm.shared import documents, portions
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 23
 #: Items, and bytes of their texts, that are broadcast at a time.
 ITEMS, ITEM_BYTES = 10_000, 16 << 20
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-KNOWN = 1 << 20
+KNOWN = 1 << 18
 #: Windows that are worked on at a time.
 BLOCK = 4096
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -210,14 +210,11 @@ def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "ma
 def _search(shared, text: str, out: str):
     def run(batches):
         index = shared.value
-        for b in batches:
+        for b in portions(batches):
             own, before = b.schema.get_field_index(text), b.schema.get_field_index(out)
-            kind = b.schema.field(before).type
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                found = [[{"item_id": index.ids[m[0]], "similarity": m[1], "start": m[2], "n_words": m[3]} for m in index.matches(t)] if t else [] for t in part.column(own).to_pylist()]
-                rows = [x + y for x, y in zip(part.column(before).to_pylist(), found, strict=True)]
-                yield part.set_column(before, b.schema.field(before), pa.array(rows, kind))
+            found = [[{"item_id": index.ids[m[0]], "similarity": m[1], "start": m[2], "n_words": m[3]} for m in index.matches(t)] if t else [] for t in b.column(own).to_pylist()]
+            rows = [x + y for x, y in zip(b.column(before).to_pylist(), found, strict=True)]
+            yield b.set_column(before, b.schema.field(before), pa.array(rows, b.schema.field(before).type))
 
     return run
 

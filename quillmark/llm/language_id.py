@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.shared import documents
+from quillmark.llm.shared import documents, portions
 
 UNKNOWN = "und"
 #: Texts a language from which filters are learnt, in expectation; trigrams a language that may enter a filter.
@@ -162,7 +162,7 @@ def identify(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             out = [filters.decide(x) for x in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=schema.names)
 

@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.shared import documents
+from quillmark.llm.shared import documents, portions
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Bound of the table: entries, and characters of a chunk that is kept.
-TABLE_ENTRIES, TABLE_CHARS = 400_000, 48
+TABLE_ENTRIES, TABLE_CHARS = 200_000, 48
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -92,7 +92,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType, column, drop: tuple[str, .
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(name, kind)])
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in rest] + [column(b)], names=[*rest, name])
 
     return df.mapInArrow(run, schema)

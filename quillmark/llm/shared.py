@@ -48,6 +48,13 @@ def tidy() -> None:
         return
 
 
+def portions(batches, rows: int = 512):
+    """The batches in slices of bounded length; memory goes back after each batch."""
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+        tidy()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.shared import components, cut, documents, partitions
+from quillmark.llm.shared import components, cut, documents, partitions, portions
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
 #: Rows of a bucket beyond which it is dealt to several tasks.
@@ -67,7 +67,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp") -> Data
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.LongType())])
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             fps = np.array([fingerprint(x) for x in b.column(b.schema.get_field_index(text)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(fps)], names=schema.names)
 

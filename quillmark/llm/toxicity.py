@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.shared import documents
+from quillmark.llm.shared import documents, portions
 
 SAMPLE, CANDIDATES = 20_000, 5_000
 #: A term occurs in MIN_TEXTS toxic texts at least, in toxic ones RATIO times as often as in clean ones, and is surer than chance by SURE
@@ -43,7 +43,7 @@ REPORTING = frozenset("said says wrote called quote quoted quoting word term phr
 ADDRESS = frozenset("you your youre u du dich dein ihr sie tu te toi vous votre tú tu usted".split())
 BEFORE, AFTER = 6, 6
 FEATURES = ("exact", "misspelt", "quoted", "addressed", "any")
-KNOWN, STATES = 1 << 20, 1 << 16
+KNOWN, STATES = 1 << 18, 1 << 16
 
 
 class Lexicon:
@@ -232,9 +232,9 @@ def _over(df: DataFrame, name: str, kind: T.DataType, text: str, of) -> DataFram
     arrow = pa.float64() if isinstance(kind, T.DoubleType) else pa.list_(pa.float64())
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             at = b.schema.get_field_index(text)
-            out = [of(x) for s in range(0, b.num_rows, 512) for x in b.column(at).slice(s, 512).to_pylist()]
+            out = [of(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(out, arrow)], names=schema.names)
 
     return df.mapInArrow(run, schema)
