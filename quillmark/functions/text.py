@@ -27,14 +27,27 @@ def without_trailing_commas(x: Column) -> Column:
     return F.regexp_replace(x, r",\s*([}\]])", "$1")
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once: inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def char_shingles(x: Column, n: int = 3) -> Column:
     """Distinct runs of n characters; the text itself if it is shorter, none if it is empty."""
-    runs = F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: x.substr(i, F.lit(n)))
-    return F.when(F.length(x) >= n, F.array_distinct(runs)).when(F.length(x) > 0, F.array(x)).otherwise(F.array().cast("array<string>"))
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: t.substr(i, F.lit(n)))
+    return F.when(F.length(x) >= n, F.array_distinct(let(x, runs))).when(F.length(x) > 0, F.array(x)).otherwise(F.array().cast("array<string>"))
+
+
+def words(x: Column) -> Column:
+    """What lies between ASCII white space."""
+    return F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def word_shingles(x: Column, n: int = 5) -> Column:
     """Distinct runs of n words, joined by one blank; all words if there are fewer."""
-    words = F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(some)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words(x), runs)
