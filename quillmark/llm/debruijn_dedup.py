@@ -121,6 +121,11 @@ def paths(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
                 done.add(k)
                 words, nodes = text.split(), edges_of(symbols(text), WINDOW - 1)
                 start, n, src, src_start = (cols[c][at].astype(np.int64) for c in ("start", "n", "src_doc", "src_start"))
+                if (start[1:] < start[:-1] + n[:-1]).any():  # equal rows have marked the same windows more than once
+                    each = np.repeat(np.arange(len(n)), n)
+                    step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    start, first = np.unique(start[each] + step, return_index=True)
+                    src, src_start, n = src[each][first], (src_start[each] + step)[first], np.ones(len(start), np.int64)
                 new = np.r_[True, (start[1:] != start[:-1] + n[:-1]) | (src[1:] != src[:-1]) | (src_start[1:] != src_start[:-1] + n[:-1])]
                 at = np.flatnonzero(new)
                 first, once, src, src_start = start[at], np.add.reduceat(n, at), src[at], src_start[at]
@@ -175,7 +180,7 @@ def compacted(found: DataFrame) -> DataFrame:
     marked = found.withColumn("at", F.expr("tail ^ 1")).join(simple, F.col("at") == simple["node"], "left").drop("node", "at")
     along = Window.partitionBy("doc", "tag").orderBy("start")
     joined = F.coalesce("simple", F.lit(False)) & (F.lag(F.col("start") + F.col("n")).over(along) == F.col("start"))
-    numbered = marked.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("span", F.sum("new").over(along))
+    numbered = marked.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("bucket", "doc", "tag", "span").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"))
 
 

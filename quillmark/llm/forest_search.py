@@ -189,7 +189,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", ve
         if len(qid):
             order = np.lexsort((low[row], d, qid))
             qid, row, d = qid[order], row[order], d[order]
-            same = np.r_[False, (qid[1:] == qid[:-1]) & (row[1:] == row[:-1])]
+            same = np.r_[False, (qid[1:] == qid[:-1]) & (low[row[1:]] == low[row[:-1]])]  # met in several trees
             qid, row, d = qid[~same], row[~same], d[~same]
             begin = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]])
             near = np.arange(len(qid)) - np.repeat(begin, np.diff(np.r_[begin, len(qid)])) <= k

@@ -1,0 +1,351 @@
+"""Operators against brute force on small tables with nulls, empty and very long texts, ties, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quillmark.llm import chat_format, debruijn_dedup, decontaminate, forest_search, language_id, pii, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+rng = random.Random(5)
+vocabulary = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+
+
+def prose(n):
+    return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base = [prose(rng.randint(5, 120)) for _ in range(30)]
+    passage = prose(40)
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + i, base[i % 5]) for i in range(12)]  # copies
+    rows += [(200 + i, prose(9) + " " + passage + " " + prose(9)) for i in range(10)]  # a shared passage
+    rows += [(300, None), (301, ""), (302, "   \t\n"), (303, "x"), (304, None)]
+    rows += [(400, "For " * 300), (401, "For " * 90 + "end"), (402, "a b " * 200), (403, "ab" * 4000), (404, "z" * 30000)]
+    rows += [(500, passage), (500, passage), (None, passage + " tail"), (7, base[7])]  # repeated rows, no id
+    rows += [(600, passage.replace(" ", "\x0b")), (601, passage.upper()), (602, "é" * 150 + prose(5))]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "clash", 1.5) for i, t in texts], "doc_id long, text string, lang_pred string, score double").repartition(3)
+
+
+def test_sentencepiece_is_the_library(docs, texts):
+    model = sentencepiece_codec.model_bytes()
+    library = sentencepiece_codec.table(model).library
+    odd = docs.sparkSession.createDataFrame([(1000 + i, t) for i, t in enumerate([" ", "  a  b ", "▁ ▁x▁", "\n\n a\t", "<s> </s> <unk> <0x41>", "\x00é𝔸😀 😀", "　x​", "tail "])], "doc_id long, text string")
+    rows = sentencepiece_codec.round_trip(docs.select("doc_id", "text").union(odd), model).collect()
+    assert len(rows) == len(texts) + 8
+    for r in rows:
+        ids = library.encode(r.text or "")
+        assert r.token_ids == ids and r.decoded == library.decode(ids)
+    loose = docs.sparkSession.createDataFrame([(1, [1, 5, 0, 400]), (2, [200, 131]), (3, None), (4, [])], "doc_id long, token_ids array<int>")
+    for r in sentencepiece_codec.decode(loose, model).collect():
+        assert r.decoded == library.decode(r.token_ids or [])
+
+
+def expected_bytes(texts):
+    seen, out = set(), {}
+    order = sorted({(-1 if i is None else i, (t or "").encode()) for i, t in texts}, key=lambda x: (x[0], __import__("zlib").crc32(x[1])))
+    for i, x in order:
+        gone = bytearray(len(x))
+        for p in range(len(x) - 99):
+            w = x[p : p + 100]
+            if w in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(w)
+        out[i, x] = gone
+    return out
+
+
+def test_suffix_dedup(docs, texts):
+    want = expected_bytes(texts)
+    by = collections.defaultdict(list)
+    for (i, x), gone in want.items():
+        by[i].append((len(x), sum(gone), bytes(c for c, g in zip(x, gone) if not g)))
+    rows = suffix_dedup.dedup(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        got = (r.n_bytes, sum(s.end - s.start for s in r.removed), bytes(r.kept))
+        assert got in by[-1 if r.doc_id is None else r.doc_id], r.doc_id
+
+
+def test_suffix_order_and_collisions():
+    data = b"".join(bytes(rng.choice(b"ab") for _ in range(260)) for _ in range(6)) * 2
+    at = np.arange(0, len(data) - 100, 3)
+    group = np.sort(np.arange(len(at)) % 5)
+    order = suffix_dedup.merge_sort(suffix_dedup.Suffixes(data, at), group)
+    for g in range(5):
+        mine = order[group[order] == g]
+        assert list(mine) == sorted(np.flatnonzero(group == g), key=lambda k: (data[at[k] : at[k] + 100], k))
+    first = suffix_dedup.repeated(data, at, np.zeros(len(at), np.int64))
+    seen = {}
+    assert [seen.setdefault(data[a : a + 100], i) for i, a in enumerate(at)] == first.tolist()
+
+
+def test_suffix_shards_of_a_hot_anchor(spark, monkeypatch):
+    passage = prose(25)
+    rows = [(i, prose(6) + " " + passage + " " + prose(6)) for i in range(60)]
+    monkeypatch.setattr(suffix_dedup, "SHARD", 4)
+    want = expected_bytes(rows)
+    for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        x = dict(rows)[r.doc_id].encode()
+        assert sum(s.end - s.start for s in r.removed) == sum(want[r.doc_id, x])
+
+
+def test_debruijn_dedup(docs, texts):
+    seen, want = {}, collections.defaultdict(list)
+    for i, t in sorted(((-1 if i is None else i, t) for i, t in texts), key=lambda x: x[0]):
+        w = WORD.findall(t or "")
+        for p in range(len(w) - 12):
+            seen.setdefault(tuple(w[p : p + 13]), i)
+    for i, t in texts:
+        w, i = WORD.findall(t or ""), -1 if i is None else i
+        gone = [False] * len(w)
+        for p in range(len(w) - 12):
+            if seen[tuple(w[p : p + 13])] < i:
+                gone[p : p + 13] = [True] * 13
+        want[i].append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    rows = debruijn_dedup.dedup(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, sum(s.end - s.start for s in r.removed), r.kept) in want[-1 if r.doc_id is None else r.doc_id], r.doc_id
+
+
+def brute_fingerprint(t):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64)) if h else 0
+
+
+def components(ids, near):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in near:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_classes(docs, texts):
+    fp = {}
+    for i, t in texts:
+        fp.setdefault(i, set()).add(brute_fingerprint(t))
+    ids = [i for i in fp if i is not None]
+    near = [(a, b) for a in ids for b in ids if a < b and any(bin(x ^ y).count("1") <= 4 for x in fp[a] for y in fp[b])]
+    want = components(ids, near)
+    rows = simhash_dedup.classes(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.fp & (2**64 - 1)) in fp[r.doc_id]
+        if r.doc_id is not None:
+            assert r.component_id == want[r.doc_id]
+
+
+def test_simhash_search_finds_every_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "CELL", 16)  # so that buckets are dealt to several cells
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    fps = {rng.getrandbits(64) for _ in range(300)}
+    for c in centres:
+        for _ in range(60):
+            x = c
+            for b in rng.sample(range(64), rng.randint(0, 5)):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    near = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bin(fps[i] ^ fps[j]).count("1") <= 4]
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, id long")
+    got = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.links(df)).collect()}
+    want = components(range(len(fps)), near)
+    assert all(got.get(i, i) == want[i] for i in range(len(fps)))
+
+
+def test_thresholds_obey_the_pigeonhole():
+    for m in range(2, 6):
+        widths = [64 // m + (k < 64 % m) for k in range(m)]
+        _, t = simhash_dedup.allocate(widths, [1000.0 * (k + 1) for k in range(m)], 10_000)
+        assert sum(t) == simhash_dedup.RADIUS - m + 1
+
+
+def test_decontamination(spark):
+    items = [(1, prose(30)), (2, prose(7)), (3, "only three words"), (4, ""), (5, None), (6, prose(60)), (6, prose(12))]
+    held = lambda t, k: " ".join(w if j % 25 != k else "CHANGED" for j, w in enumerate(t.split()))
+    rows = [(10, prose(20) + " " + items[0][1].upper() + ". " + prose(5)), (11, held(items[5][1], 24)), (12, "we saw Only three, words."), (13, prose(200)), (14, None), (15, ""), (16, items[0][1][: len(items[0][1]) // 2]), (10, items[1][1]), (17, items[5][1] * 1)]
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    P = decontaminate.PUNCTUATION.decode()
+    words = lambda x: [w for w in (w.strip(P) for w in WORD.findall((x or "").lower())) if w]
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
+    want = collections.Counter()
+    for d, t in rows:
+        for i, x in items:
+            w, y = words(t), words(x)
+            if not w or not y:
+                continue
+            size = min(5, len(y))
+            a, b = grams(w, size), collections.Counter(grams(y, size))
+            n = min(len(a), sum(b.values()))
+            best = max(sum((collections.Counter(a[s : s + n]) & b).values()) / (n + sum(b.values()) - sum((collections.Counter(a[s : s + n]) & b).values())) for s in range(len(a) - n + 1))
+            want[d, i] += best >= 0.8
+    assert got == +want
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), empty).count() == 0
+
+
+def test_hamming_blocks_are_complete():
+    fps = np.array([rng.getrandbits(64) for _ in range(40)], np.uint64)
+    flips = lambda x, n: int(x) ^ sum(1 << b for b in rng.sample(range(64), n))
+    asked = np.array([flips(fps[i % 40], i % 25) for i in range(400)], np.uint64)
+    q, i = decontaminate.HammingBlocks(fps).near(asked)
+    want = {(a, b) for a in range(400) for b in range(40) if bin(int(asked[a]) ^ int(fps[b])).count("1") <= decontaminate.RADIUS}
+    assert set(zip(q.tolist(), i.tolist())) == want
+
+
+def test_forest_search(spark):
+    generator = np.random.default_rng(3)
+    x = (generator.normal(size=(1500, 16)) + 3 * generator.integers(0, 8, 1500)[:, None]).astype(np.float32)
+    x[1000:1400] = x[0]  # one vector that very many rows have
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000, None, 0), (5100, [0.0] * 16, 0), (5200, [float("nan")] * 16, 0), (5300, [1.0] * 3, 0), (None, [1.0] * 16, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    got = collections.defaultdict(list)
+    for r in forest_search.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 1500, 100))
+    found = total = 0
+    for q, g in got.items():
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        near = [j for j in np.lexsort((np.arange(1500), d)) if j != q][:10]
+        assert [r for r, _, _ in g] == list(range(1, 11)) and all(abs(d[v] - s) < 1e-12 for _, v, s in g)
+        assert [(s, v) for _, v, s in g] == sorted((s, v) for _, v, s in g) and q not in [v for _, v, _ in g]
+        found, total = found + len(set(near) & {v for _, v, _ in g}), total + 10
+    assert found / total >= 0.9
+    assert [v for _, v, _ in got[0]] == list(range(1000, 1010))
+    few = spark.createDataFrame([(100, [1.0, 2.0]), (1, [2.0, 2.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in forest_search.search(few, F.col("vec_id") % 100 == 0).collect()] == [(100, 1, 1, 1.0)]
+    assert forest_search.search(few.where("vec_id < 0"), F.lit(True)).count() == 0
+
+
+def test_toxicity(spark):
+    clean = [prose(30) for _ in range(300)]
+    bad = [" ".join(w for w in (prose(12), rng.choice(["zurkling", "blaffer"]), prose(8))) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(clean + bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i, _ in rows] + [(0, None), (9999, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert set(model.terms) == {"zurkling", "blaffer"}
+    probe = spark.createDataFrame([(1, bad[0]), (2, clean[0]), (3, None), (4, ""), (5, prose(10) + " zurklink " + prose(3)), (1, bad[0])], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(probe, model).collect()}
+    assert got[1] >= 0.7 > 0.3 > got[2] and got[3] == got[4] == got[2]
+    assert model.hit("zurkling") == 1 and model.hit("zurklink") == 2 and model.hit("zurk") == 0
+    none = toxicity.learn(docs, labels.where("toxic = 7"))
+    assert none.score("zurkling") < 1e-9
+
+
+def test_lexicon_automaton_is_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    terms = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 13))) for _ in range(30)]
+    own = toxicity.Lexicon(terms)
+    for _ in range(2000):
+        w = "".join(rng.choice("abc") for _ in range(rng.randint(0, 13)))
+        want = min((d for t in terms if (d := distance(w, t)) <= toxicity.allowed(t)), default=-1)
+        assert own.edits(w) == want, (w, terms)
+
+
+def test_language_id(spark, docs, texts):
+    rows = [(i, " ".join(rng.choice(["the", "and", "house", "tree", "with"]) for _ in range(12)), "en") for i in range(40)] + [(50 + i, " ".join(rng.choice(["der", "und", "haus", "baum", "mit"]) for _ in range(12)), "de") for i in range(40)] + [(99, "x y", None)]
+    filters = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(filters.languages) == ["de", "en"]
+    probe = spark.createDataFrame([(1, "the house and the tree"), (2, "der baum und das haus"), (3, None), (4, "123 ... !!"), (5, ""), (6, "ЖЖЖЖ ЩЩЩ"), (7, "the house " * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(probe, filters).collect()}
+    assert got[1][0] == got[7][0] == "en" and got[2][0] == "de"
+    assert got[3] == got[4] == got[5] == ("und", 0.0) and got[6][1] == 0.0
+    assert language_id.identify(docs, filters).count() == len(texts)
+    nothing = language_id.learn(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert nothing.decide("words") == ("und", 0.0)
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(s):
+    return sum(v - 9 * (v > 9) for i, c in enumerate(reversed(s)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
+
+
+def base_spans(x):
+    for k, p in BASE.items():
+        for m in re.finditer(p, x):
+            d = re.sub("[^0-9]", "", m.group())
+            if k == "ip" and any(int(z) > 255 for z in m.group().split(".")) or k == "card" and not (13 <= len(d) <= 19 and luhn(d)) or k == "phone" and not 9 <= len(d) <= 15:
+                continue
+            yield k, m.start(), m.end()
+
+
+def test_pii(spark):
+    letters = "a.@+-1 2%(4)xé😀_:9/0"
+    rows = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 70))) for _ in range(1500)] + [None, "", "a@b.c%x@d.e", "1.2.3.4.5.6.7.8", "😀 4111 1111 1111 1111 +1 (132) 555-1352", "1" * 5000, "a" * 50_000 + "@", "1 " * 20_000, "mail a.b+c@x-y.co.uk!", "DE89 3704 0044 0532 0130 00", "DE00370400440532013000", "ssn 123-45-6789", "123-45-6789"]
+    found = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    for r in found.collect():
+        assert [(s.kind, s.start, s.end) for s in r.pii if s.kind in pii.BASE] == list(base_spans(r.text or ""))
+    more = {r.doc_id: [s.kind for s in r.pii if s.kind not in pii.BASE] for r in found.collect()}
+    assert [more[len(rows) - 4 + i] for i in range(4)] == [["iban"], [], ["ssn"], []]
+    clean = {r.doc_id: r.text for r in pii.redact(found).collect()}
+    assert clean[1500] is None and clean[1504].startswith("😀 [CARD] [PHONE]") and clean[len(rows) - 1] == "123-45-6789"
+
+
+def test_chat_format(spark):
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "bye"), (1, 1, "assistant", "hello"), (1, 0, "user", "hi"), (1, 2, "user", "<|im_end|>"), (1, 3, "assistant", "no"), (2, 0, None, None), (4, 0, "user", "same"), (5, 0, "user", "same"), (7, 0, "assistant", "alone"), (None, 0, "user", "x")]
+    df = spark.createDataFrame([(*r, 3) for r in rows], "conv_id long, turn long, role string, text string, pair_id int").drop("pair_id")
+    sides = df.where("conv_id is not null").withColumns({"pair_id": F.floor(F.col("conv_id") / 2).cast("long"), "side": F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected")})
+    got = {r.pair_id: r for r in chat_format.format_pairs(sides).collect()}
+    a = got[0]
+    assert a.n_prompt_turns == 2 and a.prompt == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n"
+    assert a.chosen == "<|im_start|>user\nbye<|im_end|>\n" and a.chosen_loss == ""
+    start, end = map(int, a.rejected_loss.split(":"))
+    assert a.rejected[start:end] == "no<|im_end|>" and "<| im_end|>" in a.rejected
+    assert got[1].rejected is None and got[1].chosen == "<|im_start|>user\n<|im_end|>\n" and got[1].n_prompt_turns == 0
+    assert got[2].chosen == got[2].rejected == "" and got[2].n_prompt_turns == 1
+    assert got[3].chosen is None and got[3].rejected_loss == "22:37"
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    model = sentencepiece_codec.model_bytes()
+    assert sentencepiece_codec.round_trip(empty, model).count() == 0
+    assert suffix_dedup.dedup(empty).count() == 0 and debruijn_dedup.dedup(empty).count() == 0
+    assert simhash_dedup.classes(empty).count() == 0 and pii.find(empty).count() == 0
+    assert language_id.identify(empty, language_id.learn(empty)).count() == 0
+    assert toxicity.score(empty, toxicity.learn(empty, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
+    turns = spark.createDataFrame([], "pair_id long, side string, conv_id long, turn long, role string, text string")
+    assert chat_format.format_pairs(turns).count() == 0
+
+
+def test_digests_follow_the_operators(spark):
+    d = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    library = sentencepiece_codec.table(sentencepiece_codec.model_bytes()).library
+    for r in sentencepiece_codec.query(spark, d).collect():
+        ids = library.encode(rows[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    for r in simhash_dedup.query(spark, d).collect():
+        assert int(r.fingerprint, 16) == brute_fingerprint(rows[r.doc_id])
