@@ -220,3 +220,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: DuckDB: every window is written out, and the first document of each decides.
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) AS first FROM k GROUP BY g),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i FROM k JOIN m USING (g) WHERE first < doc_id) CROSS JOIN (SELECT unnest(range(13)) AS j)),
+x AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w),
+s AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM x ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(s.n, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)
+"""

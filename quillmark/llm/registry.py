@@ -17,4 +17,4 @@ QUERIES = {
     "op10_pii": pii.query,
 }
 #: DuckDB SQL of those that SQL can express.
-SQL: dict[str, str] = {"op8_chat_format": chat_format.SQL}
+SQL: dict[str, str] = {"op5_debruijn_dedup": debruijn_dedup.SQL, "op8_chat_format": chat_format.SQL}
