@@ -20,7 +20,7 @@ def strip_fences(x: Column) -> Column:
     """Without think blocks; the inside of the first fenced block, if there is one."""
     bare = F.regexp_replace(x, r"(?is)<think>.*?</think>", "")
     fenced = F.regexp_extract(bare, r"(?s)```[A-Za-z0-9_-]*\s*\n?(.*?)```", 1)
-    return F.trim(F.when(F.length(fenced) > 0, fenced).otherwise(bare))
+    return F.regexp_replace(F.when(F.length(fenced) > 0, fenced).otherwise(bare), r"^\s+|\s+$", "")
 
 
 def without_trailing_commas(x: Column) -> Column:

@@ -86,7 +86,7 @@ def read_report(spark: SparkSession, path: str, key: str = "model") -> DataFrame
 def report_columns(df: DataFrame, columns: list[str], digits: int = 4, missing: str = "NA") -> DataFrame:
     """Fixed columns as text: numbers with ``digits`` decimals, NA for null."""
     real = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
-    return df.select(*[F.coalesce(F.format_string(f"%.{digits}f", F.col(c)) if c in real else F.col(c).cast("string"), F.lit(missing)).alias(c) for c in columns])
+    return df.select(*[F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))) if c in real else F.col(c).cast("string"), F.lit(missing)).alias(c) for c in columns])
 
 
 def write_report(df: DataFrame, path: str, columns: list[str], digits: int = 4) -> None:
