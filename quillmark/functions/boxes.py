@@ -59,3 +59,21 @@ def strict(coords: Column, space: Column, width: Column, height: Column) -> Colu
 def f1(matched: Column, predicted: Column, truth: Column, empty: float | None = 1.0) -> Column:
     """2m / (p + t); ``empty`` if both are none (None: not applicable)."""
     return F.when(predicted + truth == 0, F.lit(empty).cast("double")).otherwise(2 * matched / (predicted + truth))
+
+
+def around(polygon: Column) -> Column:
+    """Bounds of a polygon given as x, y, x, y, ...; null if the count is odd or below four."""
+    x, y = F.filter(polygon, lambda v, i: i % 2 == 0), F.filter(polygon, lambda v, i: i % 2 == 1)
+    return F.when((F.size(polygon) >= 4) & (F.size(polygon) % 2 == 0), box(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)))
+
+
+def compact(b: Column) -> Column:
+    """Whole thousandths of the unit page."""
+    return F.array(*[F.round(b[s] * 1000).cast("int") for s in SIDES])
+
+
+def pair_score(a: Column, b: Column) -> Column:
+    """The larger of the overlap and the nearness of the centres in sizes of the second box."""
+    dx, dy = (a["x1"] + a["x2"] - b["x1"] - b["x2"]) / 2, (a["y1"] + a["y2"] - b["y1"] - b["y2"]) / 2
+    size = F.greatest(F.lit(1e-9), F.hypot(b["x2"] - b["x1"], b["y2"] - b["y1"]))
+    return F.greatest(iou(a, b), F.greatest(F.lit(0.0), 1 - F.hypot(dx, dy) / size))

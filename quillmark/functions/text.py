@@ -51,3 +51,19 @@ def word_shingles(x: Column, n: int = 5) -> Column:
         return F.when(F.size(w) >= n, F.array_distinct(some)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
 
     return let(words(x), runs)
+
+
+def signature(parts: Column) -> Column:
+    """First 16 hex digits of the SHA-256 of an array's texts, one a line."""
+    return F.substring(F.sha2(F.array_join(parts, "\n"), 256), 1, 16)
+
+
+def dedup_form(x: Column) -> Column:
+    """Lower case with digits as #, letters and # only, collapsed: what near copies of a form have in common."""
+    return collapse(F.regexp_replace(F.regexp_replace(F.lower(x), r"[0-9]", "#"), r"(?U)[^\p{L}#]+", " "))
+
+
+def holds_all(text: Column, values: Column) -> Column:
+    """Whether a sidecar text has every value, as it is or with its HTML characters escaped."""
+    escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.forall(values, lambda v: text.contains(v) | text.contains(escaped(v)))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillmark.plans import datasets, kernels, layout, rollups, semantic, structure
+from quillmark.plans import datasets, kernels, layout, profiles, rollups, semantic, structure
 
-_PARTS = (semantic, structure, rollups, datasets, kernels, layout)
+_PARTS = (semantic, structure, rollups, datasets, kernels, layout, profiles)
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 SQL: dict[str, str] = {k: s for part in _PARTS for k, s in part.SQL.items()}
