@@ -86,56 +86,49 @@ def table(model: bytes) -> ChunkTable:
     return ChunkTable(model)
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, column, drop: tuple[str, ...] = ()) -> DataFrame:
-    """df with one more Arrow-computed column; column(batch) returns its array."""
-    rest = [c for c in df.columns if c not in (name, *drop)]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(name, kind)])
+def _ids(texts: list[str | None], own: ChunkTable) -> pa.ListArray:
+    parts = [own.encode(x) for x in texts]
+    offsets = np.zeros(len(parts) + 1, "i4")
+    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))]))
+
+
+def _texts(ids: pa.ListArray, own: ChunkTable) -> pa.Array:
+    flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    return pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+
+
+def _with(df: DataFrame, model: bytes, added: list[T.StructField], columns) -> DataFrame:
+    """df with more Arrow-computed columns; columns(batch, table) returns their arrays. One Python worker a task does it all."""
+    rest = [c for c in df.columns if c not in {f.name for f in added}]
+    schema = T.StructType([*(df.schema[c] for c in rest), *added])
 
     def run(batches):
-        for b in portions(batches):
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in rest] + [column(b)], names=[*rest, name])
+        own = table(model)
+        for b in portions(batches, 128):
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), *columns(b, own)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "token_ids") -> DataFrame:
     """df with ``out`` array<int>: the ids of the whole text, without begin or end ids."""
-
-    def ids(batch: pa.RecordBatch) -> pa.Array:
-        own = table(model)
-        parts = [own.encode(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        offsets = np.zeros(len(parts) + 1, "i4")
-        np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))]))
-
-    return _with(df, out, T.ArrayType(T.IntegerType()), ids)
+    return _with(df, model, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda b, own: [_ids(b.column(b.schema.get_field_index(text)).to_pylist(), own)])
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with ``out`` string: the text of the ids; null ids count as none."""
-
-    def texts(batch: pa.RecordBatch) -> pa.Array:
-        own, column = table(model), batch.column(batch.schema.get_field_index(ids))
-        return pa.array([own.decode(x.values.tolist() if hasattr(x, "values") and x.values is not None else []) for x in _lists(column)], pa.string())
-
-    return _with(df, out, T.StringType(), texts)
-
-
-class _Span:
-    __slots__ = ("values",)
-
-    def __init__(self, values) -> None:
-        self.values = values
+    return _with(df, model, [T.StructField(out, T.StringType())], lambda b, own: [_texts(b.column(b.schema.get_field_index(ids)), own)])
 
 
-def _lists(column: pa.ListArray):
-    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    for i in range(len(column)):
-        yield _Span(flat[at[i] : at[i + 1]])
+def round_trip(df: DataFrame, model: bytes, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """Both at once: df with ``ids`` and the text that they decode to."""
 
+    def both(b: pa.RecordBatch, own: ChunkTable) -> list[pa.Array]:
+        found = _ids(b.column(b.schema.get_field_index(text)).to_pylist(), own)
+        return [found, _texts(found, own)]
 
-def round_trip(df: DataFrame, model: bytes) -> DataFrame:
-    return decode(encode(df, model), model)
+    return _with(df, model, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())], both)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
