@@ -252,3 +252,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: DuckDB: every string of 100 bytes is written out, in hexadecimal, and the first place of each decides.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, p, h[2 * p + 1:2 * p + 200] AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d WHERE length(h) >= 200)),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS r FROM k) WHERE r > 1),
+i AS (SELECT doc_id, p, sum(starts) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS starts FROM f)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, n),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM s GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM s UNION ALL SELECT doc_id, max(b), 1000000000000 FROM s GROUP BY doc_id),
+c AS (SELECT e.doc_id, string_agg(h[2 * x + 1:2 * least(y, length(h) // 2)], '' ORDER BY x) AS kept FROM e JOIN d USING (doc_id) WHERE least(y, length(h) // 2) > x GROUP BY e.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
