@@ -201,6 +201,11 @@ SQL = {
     "text_orientation": "WITH v AS (SELECT p_brand, count(*) FILTER (p_size >= 1.35 * (p_partkey % 50 + 1)) AS horizontal, count(*) FILTER (p_partkey % 50 + 1 >= 1.35 * p_size) AS vertical FROM part GROUP BY 1) SELECT *, CASE WHEN vertical > horizontal THEN 'vertical' WHEN horizontal > 0 THEN 'horizontal' ELSE 'unknown' END AS orientation FROM v",
     "graph_statistics": "WITH g AS (SELECT n_name, count(*) AS links, count(DISTINCT c_mktsegment) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT n_name, links, round(links / s, 6) AS branching, links + s AS nodes, round(links / ((links + s) * (links + s - 1)), 8) AS density FROM g",
     "geometry_features": f"{ROWS} SELECT template_name, count(*) AS n_boxes, round(avg(l_quantity * 10), 4) AS width_mean, round(stddev_pop(l_quantity * 10), 4) AS width_deviation, round(avg(l_quantity * 350), 4) AS area_mean, round(sum(l_quantity * 350), 4) AS coverage FROM rw GROUP BY 1",
+    "page_occupancy": f"""WITH {X.INDEX_SQL}, v AS (SELECT template_name, o_orderkey, p, coalesce(bool_or((p % 4 + 0.5::DOUBLE) * 0.25 <= l_quantity / 50 AND (p // 4 + 0.5::DOUBLE) * 0.25 >= k * 0.125::DOUBLE AND (p // 4 + 0.5::DOUBLE) * 0.25 <= k * 0.125::DOUBLE + 0.1::DOUBLE), false)::INT AS t
+          FROM pg CROSS JOIN (SELECT unnest(range(16)) AS p) LEFT JOIN it ON l_orderkey = o_orderkey GROUP BY ALL),
+        f AS (SELECT template_name, min(o_orderkey) AS o FROM pg GROUP BY 1), w AS (SELECT v.template_name, v.p, v.t FROM v JOIN f ON v.template_name = f.template_name AND v.o_orderkey = f.o),
+        d AS (SELECT v.template_name, v.o_orderkey, sum(v.t) AS taken, sum(v.t * w.t) AS vw, sum(v.t * v.t) AS vv, sum(w.t * w.t) AS ww FROM v JOIN w ON v.template_name = w.template_name AND v.p = w.p GROUP BY ALL)
+        SELECT template_name, sum(taken)::BIGINT AS taken, round(avg(CASE WHEN vv = 0 AND ww = 0 THEN 1.0 WHEN vv = 0 OR ww = 0 THEN 0.0 ELSE vw / sqrt(vv * ww) END), 6) AS cosine FROM d GROUP BY 1""",
     "degraded_index": f"""WITH {X.INDEX_SQL}, w AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'short_path' WHEN o_orderkey % 10 = 1 THEN 'unknown_level' WHEN o_orderkey % 10 = 2 THEN 'no_clean_page' WHEN o_orderkey % 10 > 6 THEN 'erode/high' ELSE 'erode/low' END AS what FROM pg) SELECT what, count(*) AS n FROM w GROUP BY 1""",
     "inherited_spaces": "SELECT * FROM (VALUES ('base', 'pixel'), ('child', 'pixel'), ('grandchild', 'pixel'), ('own', 'normalized_1'), ('loop1', NULL), ('loop2', NULL), ('lost', NULL)) AS t(run, source_space)",
     "attempts": f"WITH {X.INDEX_SQL} SELECT template_name, count(*) AS n FROM pg WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) OR o_totalprice > 300000 OR o_orderstatus = 'O' GROUP BY 1",
