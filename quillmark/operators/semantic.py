@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,12 +26,19 @@ def paired(index: DataFrame, models: DataFrame, predictions: DataFrame) -> DataF
     return every.join(predictions, ["model", "sample_id"], "left")
 
 
-def page_counts(truth: str, raw: str | None, widgets: frozenset = frozenset()) -> tuple:
-    """(status, exact, *COUNTS) of one page."""
-    gold = D.leaves(D.tidy(D.unwrapped(json.loads(truth))))
+@lru_cache(256)
+def _gold(truth: str, widgets: frozenset) -> tuple:
+    """A page's truth, read once for the models that follow one another."""
+    whole = D.tidy(D.unwrapped(json.loads(truth)))
+    gold = D.leaves(whole)
     tokens = Counter(t for t in map(D.token, gold.values()) if t)
     chosen = [p for p in gold if p in widgets]
-    base = len(gold), 0, 0, sum(tokens.values()), 0, len(chosen)
+    return whole, gold, tokens, chosen, (len(gold), 0, 0, sum(tokens.values()), 0, len(chosen))
+
+
+def page_counts(truth: str, raw: str | None, widgets: frozenset = frozenset()) -> tuple:
+    """(status, exact, *COUNTS) of one page."""
+    whole, gold, tokens, chosen, base = _gold(truth, widgets)
     if raw is None:
         return "missing_prediction", False, *base
     try:
@@ -43,9 +51,10 @@ def page_counts(truth: str, raw: str | None, widgets: frozenset = frozenset()) -
     said = D.leaves(answer)
     # A missing path counts as null, so a null in the truth matches it; 1, 1.0 and true are equal.
     equal = sum(said.get(p) == v for p, v in gold.items())
-    hits = sum((tokens & Counter(map(D.token, said.values()))).values())
-    exact = equal == len(gold) == len(said) and D.canonical(answer) == D.canonical(D.tidy(D.unwrapped(json.loads(truth))))
-    return "ok", exact, len(gold), equal, hits, sum(tokens.values()), sum(said.get(p) == gold[p] for p in chosen), len(chosen)
+    mine = Counter(map(D.token, said.values()))
+    hits = sum(min(n, mine[t]) for t, n in tokens.items() if t in mine)
+    exact = equal == len(gold) == len(said) and D.canonical(answer) == D.canonical(whole)
+    return "ok", exact, len(gold), equal, hits, base[3], sum(said.get(p) == gold[p] for p in chosen), len(chosen)
 
 
 def score(pages: DataFrame, truth: str = "answer_json", raw: str = "raw_text", keys: tuple[str, ...] = ("model", "sample_id", "template_name"), widgets: frozenset = frozenset()) -> DataFrame:
