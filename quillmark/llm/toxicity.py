@@ -42,7 +42,7 @@ QUOTES = frozenset("\"'“”„«»‘’")
 REPORTING = frozenset("said says wrote called quote quoted quoting word term phrase sagte nannte zitat wort dit appelle mot citation dijo palabra cita".split())
 ADDRESS = frozenset("you your youre u du dich dein ihr sie tu te toi vous votre tú tu usted".split())
 BEFORE, AFTER = 6, 6
-FEATURES = ("exact", "misspelt", "quoted", "addressed", "any")
+FEATURES = ("exact", "misspelt", "quoted", "addressed", "surest")
 KNOWN, STATES = 1 << 18, 1 << 16
 
 
@@ -131,44 +131,54 @@ def allowed(term: str) -> int:
 
 
 class Hits(dict):
-    """Word -> 0: no term, 1: a term, 2: a misspelt one."""
+    """Word -> 0: no term; a term's evidence (above zero); -1: a misspelt term."""
 
-    def __init__(self, terms) -> None:
+    def __init__(self, terms: tuple[str, ...], evidence: tuple[float, ...]) -> None:
         self.lexicon = Lexicon(terms)
+        self.evidence = dict(zip(terms, evidence, strict=True))
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> float:
         if len(self) >= KNOWN:
             self.clear()
-        self[word] = out = (1, 2, 2, 0)[self.lexicon.edits(word)]
+        edits = self.lexicon.edits(word)
+        self[word] = out = self.evidence[word] if edits == 0 else 0.0 if edits < 0 else -1.0
         return out
 
 
 @lru_cache(2)
-def _hits(terms: tuple[str, ...]) -> Hits:
-    return Hits(terms)
+def _hits(terms: tuple[str, ...], evidence: tuple[float, ...]) -> Hits:
+    return Hits(terms, evidence)
 
 
 @dataclass
 class Model:
+    """terms with their evidence, the log of how much more often toxic texts have them; weights of FEATURES."""
+
     terms: tuple[str, ...]
+    evidence: tuple[float, ...]
     weights: tuple[float, ...]
     bias: float
 
-    def hit(self, word: str) -> int:
-        return _hits(self.terms)[word]
+    def hit(self, word: str) -> float:
+        return _hits(self.terms, self.evidence)[word]
 
     def counts(self, text: str | None) -> list[float]:
         if not text or not self.terms:
             return [0.0] * len(FEATURES)
         tokens = TOKEN.findall(text.lower())
-        kinds = list(map(_hits(self.terms).__getitem__, tokens))
-        out = dict.fromkeys(FEATURES, 0)
-        for i in (i for i, k in enumerate(kinds) if k):
+        found = list(map(_hits(self.terms, self.evidence).__getitem__, tokens))
+        out = dict.fromkeys(FEATURES, 0.0)
+        for i in (i for i, e in enumerate(found) if e):
             before, after = tokens[max(0, i - BEFORE) : i], tokens[i + 1 : i + 1 + AFTER]
             quoted = any(t in QUOTES for t in before) and any(t in QUOTES for t in after) or any(t in REPORTING for t in before)
-            out["quoted" if quoted else "exact" if kinds[i] == 1 else "misspelt"] += 1
+            if quoted:
+                out["quoted"] += 1
+            elif found[i] > 0:
+                out["exact"] += found[i]
+                out["surest"] = max(out["surest"], found[i])
+            else:
+                out["misspelt"] += 1
             out["addressed"] += not quoted and any(t in ADDRESS for t in (*before, *after))
-        out["any"] = float(out["exact"] > 0)
         return [math.log1p(v) for v in out.values()]
 
     def score(self, text: str | None) -> float:
@@ -205,14 +215,14 @@ def learn(train: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     known = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     total = known.count()
     if not total:
-        return Model((), (0.0,) * len(FEATURES), -30.0)
+        return Model((), (), (0.0,) * len(FEATURES), -30.0)
     few = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(min(1.0, SAMPLE / total) * (1 << 30)))
     pairs = train.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(few, "key")
     rows = pairs.groupBy("text").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n, p = sizes.get(0, 0), sizes.get(1, 0)
     if not n or not p:
-        return Model((), (0.0,) * len(FEATURES), 30.0 if p else -30.0)
+        return Model((), (), (0.0,) * len(FEATURES), 30.0 if p else -30.0)
     counted = rows.select("text", "toxic").mapInArrow(_word_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = ((F.col("toxic") + 0.5) / (p + 1)) / ((F.col("clean") + 0.5) / (n + 1))
     base, both = p / (n + p), F.col("toxic") + F.col("clean")
@@ -220,10 +230,11 @@ def learn(train: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     able = counted.where((F.col("toxic") >= MIN_TEXTS) & (F.length("word") >= 3) & ~F.col("word").rlike("^[0-9_]+$")).select("word", "clean", "toxic", ratio.alias("ratio"), sure.alias("sure"))
     tried = able.count()
     terms = able.where((F.col("ratio") >= RATIO) & (F.col("sure") >= math.log(max(tried, 1)) + SURE)).orderBy(F.desc("sure"), "word").limit(CANDIDATES).collect()
-    model = Model(tuple(sorted(r["word"] for r in terms)), (0.0,) * len(FEATURES), 0.0)
+    terms = sorted((r["word"], math.log(r["ratio"])) for r in terms)
+    model = Model(tuple(t for t, _ in terms), tuple(e for _, e in terms), (0.0,) * len(FEATURES), 0.0)
     data = counts(rows.select("text", "toxic"), model).select("toxic", "counts").collect()
     w, bias = fit(np.array([r["counts"] for r in data]), np.array([r["toxic"] for r in data], float))
-    return Model(model.terms, tuple(w.tolist()), bias)
+    return Model(model.terms, model.evidence, tuple(w.tolist()), bias)
 
 
 def _over(df: DataFrame, name: str, kind: T.DataType, text: str, of) -> DataFrame:

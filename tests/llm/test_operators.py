@@ -250,7 +250,7 @@ def test_toxicity(spark):
     probe = spark.createDataFrame([(1, bad[0]), (2, clean[0]), (3, None), (4, ""), (5, prose(10) + " zurklink " + prose(3)), (1, bad[0])], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(probe, model).collect()}
     assert got[1] >= 0.7 > 0.3 > got[2] and got[3] == got[4] == got[2]
-    assert model.hit("zurkling") == 1 and model.hit("zurklink") == 2 and model.hit("zurk") == 0
+    assert model.hit("zurkling") > 1 and model.hit("zurklink") == -1 and model.hit("zurk") == 0
     none = toxicity.learn(docs, labels.where("toxic = 7"))
     assert none.score("zurkling") < 1e-9
 
