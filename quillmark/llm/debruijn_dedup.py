@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import repeats as R
-from quillmark.llm.shared import cut, documents
+from quillmark.llm.shared import cut, documents, tidy
 from quillmark.llm.suffix_dedup import covered
 
 WINDOW, GRAM = 13, 5
@@ -147,27 +147,29 @@ def paths(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     return texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(run, PATHS)
 
 
+SOURCE = ["src_doc", "src_start", "once", "digest"]
+
+
 def verified(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """The paths whose words stand at their source's coordinates."""
+    """The paths whose words stand at their source's coordinates. What very many copies ask of one source is asked once."""
+    asked = found.select("src_bucket", *SOURCE).distinct()
 
     def run(key, left: pa.Table, right: pa.Table):
-        asked: dict[int, list[int]] = {}
+        rows: dict[int, list[int]] = {}
         for i, d in enumerate(right.column("src_doc").to_pylist()):
-            asked.setdefault(d, []).append(i)
+            rows.setdefault(d, []).append(i)
         start, n, digest = (right.column(c).to_pylist() for c in ("src_start", "once", "digest"))
         true: set[int] = set()
-        for doc, text in R.texts_of(R.by_kind(left).get(R.TEXTS, [])) if asked else ():
-            if rows := asked.get(doc):
-                words, known = text.split(), {}
-                for i in rows:
-                    at = (start[i], n[i])
-                    if at not in known:
-                        known[at] = digest_of(words, *at)
-                    if known[at] == digest[i]:
-                        true.add(i)
-        return right.take(pa.array(sorted(true), pa.int64()))
-
-    return texts.groupBy("bucket").cogroup(found.groupBy("src_bucket")).applyInArrow(run, PATHS)
+        for doc, text in R.texts_of(R.by_kind(left).get(R.TEXTS, [])) if rows else ():
+            if mine := rows.get(doc):
+                words = text.split()
+                true.update(i for i in mine if digest_of(words, start[i], n[i]) == digest[i])
+        tidy()
+        return right.select(SOURCE).take(pa.array(sorted(true), pa.int64()))
+
+    schema = "src_doc long, src_start int, once int, digest binary"
+    true = texts.groupBy("bucket").cogroup(asked.groupBy("src_bucket")).applyInArrow(run, schema)
+    return found.join(true, SOURCE, "left_semi")
 
 
 def compacted(found: DataFrame) -> DataFrame:
