@@ -21,9 +21,14 @@ COUNTS = ("n_gt", "n_equal", "v_hits", "v_total", "w_equal", "w_total")
 
 
 def paired(index: DataFrame, models: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Every page of every model, with its prediction or null."""
-    every = index.crossJoin(F.broadcast(models.select("model")))
-    return every.join(predictions, ["model", "sample_id"], "left")
+    """Every page of every model, with its prediction or null.
+
+    A page's predictions are put together first (one a model), so its truth is shuffled once and its models stay neighbours.
+    """
+    said = predictions.groupBy("sample_id").agg(F.collect_list(F.struct("model", "raw_text")).alias("__said"))
+    every = index.join(said, "sample_id", "left").crossJoin(F.broadcast(models.select("model")))
+    own = F.filter("__said", lambda s: s["model"] == F.col("model"))
+    return every.withColumn("raw_text", F.get(own, F.lit(0))["raw_text"]).drop("__said")
 
 
 @lru_cache(256)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import boxes as B
-from quillmark.functions.hashing import chosen, unit
+from quillmark.functions.hashing import chosen, code, mark
 from quillmark.operators import structure as S
 from quillmark.sources import derived as X
 from quillmark.sources.derived import _u
@@ -23,10 +23,10 @@ def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda x, i, dx: B.box(F.lit(20.0) + dx, i * 50.0, F.lit(20.0) + dx + x["l_quantity"] * 10, i * 50.0 + 35)
 
     def shift(i: Column) -> Column:
-        u = unit("box", F.col("model"), F.col("sample_id"), i.cast("string"))
+        u = code("box", F.col("model"), F.col("sample_id"), i.cast("string"))
         out = F.lit(float(SHIFTS[3]))
         for q in (2, 1, 0):
-            out = F.when(u < F.lit(str((q + 1) * QUARTER)).cast("decimal(20,0)"), float(SHIFTS[q])).otherwise(out)
+            out = F.when(u < F.lit(mark((q + 1) * QUARTER)), float(SHIFTS[q])).otherwise(out)
         return out
 
     guess = lambda x, i: F.when(chosen(WRONG, "type", F.col("model"), F.col("sample_id"), i.cast("string")), "figure").when(x["l_returnflag"] == "R", "table").otherwise("text")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.functions.hashing import bound, chosen, unit
+from quillmark.functions.hashing import bound, chosen, code, mark
 
 #: model: (severity of leaves, share of pages missing, share of pages cut short)
 MODELS = {"m0": (0.0, 0.0, 0.0), "m1": (0.1, 0.02, 0.03), "m2": (0.3, 0.05, 0.05)}
@@ -59,7 +59,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def models(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, str(bound(s)), str(bound(a)), str(bound(a + b))) for m, (s, a, b) in MODELS.items()], "model string, severity string, missing string, bad string").select("model", *[F.col(c).cast("decimal(20,0)").alias(c) for c in ("severity", "missing", "bad")])
+    """model and the marks of its severity and of its missing and broken pages."""
+    return spark.createDataFrame([(m, mark(bound(s)), mark(bound(a)), mark(bound(a + b))) for m, (s, a, b) in MODELS.items()], "model string, severity string, missing string, bad string")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = with_items(spark, sf_dir).crossJoin(F.broadcast(models(spark)))
     hit = lambda path: chosen(F.col("severity"), F.col("model"), F.col("sample_id"), path)
     damaged = answer(lambda p, v: F.when(hit(p), F.concat(v, F.lit("~"))).otherwise(v), lambda p, v: F.when(hit(p), v + 1).otherwise(v))
-    fate = unit("page", F.col("model"), F.col("sample_id"))
+    fate = code("page", F.col("model"), F.col("sample_id"))
     whole = each.withColumn("fate", fate).where(F.col("fate") >= F.col("missing")).withColumn("j", F.to_json(damaged))
     return whole.select("model", "sample_id", F.when(F.col("fate") < F.col("bad"), F.expr("substring(j, 1, length(j) - 1)")).otherwise(F.col("j")).alias("raw_text"))
 
