@@ -38,7 +38,7 @@ def wasserstein(df: DataFrame, by: list[str], value: str, side: Column) -> DataF
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
     whole, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("x")
-    upto = lambda c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(c).over(whole)
+    upto = lambda c: F.try_divide(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum(c).over(whole))
     steps = counts.withColumns({"gap": F.lead("x").over(order) - F.col("x"), "fa": upto("a"), "fb": upto("b")})
     area = steps.groupBy(*by).agg(F.sum(F.abs(F.col("fa") - F.col("fb")) * F.col("gap")).alias("distance"))
     span = df.where(side).groupBy(*by).agg(F.percentile(F.col(value).cast("double"), F.array(F.lit(0.05), F.lit(0.95))).alias("q"))

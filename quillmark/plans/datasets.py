@@ -158,7 +158,7 @@ def wasserstein_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WASSERSTEIN_SQL = """WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1), d AS (SELECT lang, n_chars::DOUBLE AS x, quality = 1 AS good FROM documents JOIN l USING (doc_id)),
 c AS (SELECT lang, x, count(*) FILTER (good) AS a, count(*) FILTER (NOT good) AS b FROM d GROUP BY ALL),
-s AS (SELECT lang, lead(x) OVER o - x AS gap, sum(a) OVER o / sum(a) OVER p AS fa, sum(b) OVER o / sum(b) OVER p AS fb FROM c WINDOW p AS (PARTITION BY lang), o AS (PARTITION BY lang ORDER BY x)),
+s AS (SELECT lang, lead(x) OVER o - x AS gap, sum(a) OVER o / nullif(sum(a) OVER p, 0) AS fa, sum(b) OVER o / nullif(sum(b) OVER p, 0) AS fb FROM c WINDOW p AS (PARTITION BY lang), o AS (PARTITION BY lang ORDER BY x)),
 q AS (SELECT lang, quantile_cont(x, 0.95) - quantile_cont(x, 0.05) AS span FROM d WHERE good GROUP BY 1)
 SELECT lang, round(sum(abs(fa - fb) * gap), 4) AS distance, round(sum(abs(fa - fb) * gap) / (any_value(span) + 1e-12), 6) AS normalised FROM s JOIN q USING (lang) GROUP BY lang"""
 GOWER = ["n_pages", "n_items", "n_parts", "n_open"]

@@ -20,7 +20,7 @@ def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mean(name: str, metric: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         facts = page_metrics(spark, sf_dir)
-        return facts.groupBy("model").agg(F.count("*").alias("n_total"), F.count_if("valid").alias("n_valid"), F.round(F.avg(metric), 6).alias(name), F.round(F.sum(F.when(F.col("valid"), F.col(metric))) / F.count_if(F.col("valid") & F.col(metric).isNotNull()), 6).alias(f"{name}_valid"))
+        return facts.groupBy("model").agg(F.count("*").alias("n_total"), F.count_if("valid").alias("n_valid"), F.round(F.avg(metric), 6).alias(name), F.round(F.avg(F.when(F.col("valid"), F.col(metric))), 6).alias(f"{name}_valid"))
 
     return query
 

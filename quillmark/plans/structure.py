@@ -56,7 +56,7 @@ def region_f1_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_prf_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = S.region_matches(boxed(spark, sf_dir), "truth", "predicted").groupBy("model").agg(*[F.sum(c).alias(c) for c in ("tp_50", "n_pred", "n_gt")])
-    return m.select("model", "tp_50", "n_pred", "n_gt", F.round(F.col("tp_50") / F.col("n_pred"), 6).alias("precision"), F.round(F.col("tp_50") / F.col("n_gt"), 6).alias("recall"), F.round(B.f1(F.col("tp_50"), F.col("n_pred"), F.col("n_gt")), 6).alias("f1"))
+    return m.select("model", "tp_50", "n_pred", "n_gt", F.round(F.try_divide("tp_50", "n_pred"), 6).alias("precision"), F.round(F.try_divide("tp_50", "n_gt"), 6).alias("recall"), F.round(B.f1(F.col("tp_50"), F.col("n_pred"), F.col("n_gt")), 6).alias("f1"))
 
 
 def lig_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
