@@ -1,7 +1,7 @@
 """A cleaning pipeline over ``documents``: each stage applies one training-data operator to what the last one kept.
 
 1. ``language_id``: documents in no learnt language go; a missing ``lang`` is filled in.
-2. ``simhash_dedup``: of each class of near copies the document with the smallest id stays.
+2. ``simhash_dedup``: of each class of near copies (five-word shingles, Jaccard similarity 0.8 or more, exact) the document with the smallest id stays.
 3. ``decontaminate``: documents that hold a benchmark item go.
 4. ``pii``: personal data are replaced by their kind in brackets; ``n_chars`` follows.
 5. ``sentencepiece``: the texts' token ids, and whether they decode to the text again.
@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontaminate, language_id, pii, sentencepiece_codec, simhash_dedup
+from quillmark.llm import decontaminate, language_id, near_copies, pii, sentencepiece_codec
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = simhash_dedup.classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    stay = near_copies.classes(docs).groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return docs.join(stay, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
 
 
