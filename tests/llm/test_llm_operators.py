@@ -3,16 +3,14 @@
 import collections
 import hashlib
 import random
-import re
 
 import numpy as np
 import pytest
-import xxhash
+from plain_versions import WORD, base_spans, brute_fingerprint, components
 from pyspark.sql import functions as F
 
 from quillmark.llm import chat_format, debruijn_dedup, decontaminate, forest_search, language_id, pii, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 rng = random.Random(5)
 vocabulary = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(2, 7))) for _ in range(400)]
 
@@ -122,26 +120,6 @@ def test_debruijn_dedup(docs, texts):
         assert (r.n_words, sum(s.end - s.start for s in r.removed), r.kept) in want[-1 if r.doc_id is None else r.doc_id], r.doc_id
 
 
-def brute_fingerprint(t):
-    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
-    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64)) if h else 0
-
-
-def components(ids, near):
-    root = {i: i for i in ids}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in near:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in ids}
-
-
 def test_simhash_classes(docs, texts):
     fp = {}
     for i, t in texts:
@@ -285,22 +263,6 @@ def test_language_id(spark, docs, texts):
     assert nothing.decide("words") == ("und", 0.0)
 
 
-BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-
-
-def luhn(s):
-    return sum(v - 9 * (v > 9) for i, c in enumerate(reversed(s)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
-
-
-def base_spans(x):
-    for k, p in BASE.items():
-        for m in re.finditer(p, x):
-            d = re.sub("[^0-9]", "", m.group())
-            if k == "ip" and any(int(z) > 255 for z in m.group().split(".")) or k == "card" and not (13 <= len(d) <= 19 and luhn(d)) or k == "phone" and not 9 <= len(d) <= 15:
-                continue
-            yield k, m.start(), m.end()
-
-
 def test_pii(spark):
     letters = "a.@+-1 2%(4)xé😀_:9/0"
     rows = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 70))) for _ in range(1500)] + [None, "", "a@b.c%x@d.e", "1.2.3.4.5.6.7.8", "😀 4111 1111 1111 1111 +1 (132) 555-1352", "1" * 5000, "a" * 50_000 + "@", "1 " * 20_000, "mail a.b+c@x-y.co.uk!", "DE89 3704 0044 0532 0130 00", "DE00370400440532013000", "ssn 123-45-6789", "123-45-6789"]

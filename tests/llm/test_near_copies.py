@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as P
-from test_operators import components
+from plain_versions import components
 
 from quillmark.llm import near_copies
 

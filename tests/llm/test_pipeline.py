@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline as P
-from test_operators import base_spans, brute_fingerprint, components
+from plain_versions import base_spans, brute_fingerprint, components
 
 from quillmark.llm import decontaminate, sentencepiece_codec
 
