@@ -217,6 +217,60 @@ def test_forest_search(spark):
     assert forest_search.search(few.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_forest_names_leaves_alike_for_rows_and_queries():
+    generator = np.random.default_rng(4)
+    sample = generator.normal(size=(400, 12))
+    for ratio in (1.0, 3.0, 500.0):  # of more rows than points: cuts below the fitted part
+        forest = [forest_search.fit(sample, ratio, 7 + t) for t in range(3)]
+        assert (ratio == 1.0) == all(t.deeper.shape[1] == 0 for t in forest)
+        asked = np.concatenate([generator.normal(size=(20, 12)), sample[:20]])
+        with np.errstate(over="ignore"):
+            own = np.stack([t.leaves(asked) for t in forest], axis=1)
+        for q, names in zip(asked, own, strict=True):
+            first = [n for n, _ in zip(forest_search.leaf_order(forest, q), range(3))]
+            assert sorted(first) == sorted(names.tolist())  # a query's own leaf costs nothing
+    every = list(forest_search.leaf_order([forest_search.fit(sample, 1.0, 3)], sample[0]))
+    with np.errstate(over="ignore"):
+        assert set(forest_search.fit(sample, 1.0, 3).leaves(sample).tolist()) <= set(every) and len(every) == len(set(every))
+
+
+def test_forest_bounds_keep_the_nearest():
+    generator = np.random.default_rng(6)
+    x = generator.normal(size=(300, 5)) * 10.0 ** generator.integers(-3, 3, 300)[:, None]
+    codes, scale, error = forest_search.coded(x)
+    size = np.dtype([("leaf", "<u8"), ("rep", "<i8"), ("scale", "<f8"), ("error", "<f8"), ("code", "i1", (5,))])
+    points = np.empty(600, size)
+    for half in (slice(0, 300), slice(300, 600)):  # as from two trees
+        points["leaf"][half], points["rep"][half], points["scale"][half], points["error"][half], points["code"][half] = np.arange(300) % 7 + half.start, np.arange(300), scale, error, codes
+    asks = np.array([(q, leaf) for q in range(20) for leaf in (0, 1, 2, 300, 304)], [("qid", "<i8"), ("leaf", "<u8")])
+    vectors = np.empty(20, [("qid", "<i8"), ("v", "<f8", (5,))])
+    vectors["qid"], vectors["v"] = np.arange(20), x[:20]
+    q, rep, low, high = forest_search.compared(points, asks, vectors, 6)
+    assert len(set(zip(q.tolist(), rep.tolist()))) == len(q)
+    seen = np.flatnonzero(np.isin(np.arange(300) % 7, (0, 1, 2, 4)))
+    for i in range(20):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        mine = rep[q == i]
+        assert set(seen[np.lexsort((seen, d[seen]))][:6].tolist()) <= set(mine.tolist()) and len(mine) < len(seen)
+        assert (low[q == i] <= d[mine]).all() and (d[mine] <= high[q == i]).all()
+
+
+def test_forest_recall_on_clusters_opens_few_leaves(spark):
+    generator = np.random.default_rng(8)
+    x = generator.normal(size=(300, 24))[generator.integers(0, 300, 9000)] + 0.3 * generator.normal(size=(9000, 24))
+    df = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(x)], "vec_id long, embedding array<double>, score string")
+    rows = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    points = forest_search.distinct_vectors(rows, 10)
+    shared = forest_search.planted(points, 9000)
+    asked = rows.where("id % 100 = 0").select("v", F.col("id").alias("qid"))
+    assert forest_search.calibrated(points, asked, shared, 10) < 80  # of about 9,000 leaves of all trees
+    got = collections.defaultdict(list)
+    for r in forest_search.search(df, F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].append(r.vec_id)
+    found = sum(len(set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist()) & set(g)) for q, g in got.items())
+    assert len(got) == 90 and found >= 0.9 * 900
+
+
 def test_toxicity(spark):
     clean = [prose(30) for _ in range(300)]
     bad = [" ".join(w for w in (prose(12), rng.choice(["zurkling", "blaffer"]), prose(8))) for _ in range(80)]
