@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import word_shingles
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows from the checkpoint folder of the session, which all executors share; one is made only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        where = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or f"{tempfile.gettempdir()}/quillmark-{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+from quillmark.operators.lineage import components, cut
 
 
 def exact_clusters(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -44,29 +34,11 @@ def similar_pairs(df: DataFrame, key: str, group: str, text: str, least: float =
     return texts, scored.where(F.col("jaccard") >= least)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of edges (a, b) can reach. Labels are contracted in rounds, each cut from its lineage."""
-    now = cut(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct())
-    last = None
-    for _ in range(rounds):
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        back = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(back, "v")
-        now = cut(joined.select("m", F.col("v")).union(joined.select("m", F.col("u"))).toDF("u", "v").where("u <> v").distinct())
-        mark = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if mark == last:
-            return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
-        last = mark
-    raise RuntimeError(f"components have not settled after {rounds} rounds")
-
-
 def classes(df: DataFrame, key: str, group: str, text: str, least: float = 0.8) -> DataFrame:
     """(key, class_id, n_links) of each row: the class's smallest id, and to how many different texts its text is linked."""
     texts, pairs = similar_pairs(df, key, group, text, least)
     pairs = cut(pairs)
-    roots = components(pairs)
+    roots = components(pairs, "a", "b")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = texts.join(roots, texts["id"] == roots["node"], "left").join(degree, "id", "left").select("g", "t", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     rows = df.select(F.col(key), F.col(group).alias("g"), F.coalesce(F.col(text), F.lit("")).alias("t"))
