@@ -1,14 +1,14 @@
 """SentencePiece encoding and decoding by a table of distinct chunks (operator 1).
 
 The model marks white space (U+2581) and none of its pieces has a mark after another character,
-so no piece crosses from one marked word into the next: each distinct marked word is segmented
-once by the library and its ids are joined back by the word's positions. The table lives in each
-Python worker, is kept over that worker's tasks and is bounded in entries and length; beyond the
-bound it starts anew, which costs time and changes no result. A shuffle of every word occurrence
-to a single global table would move far more bytes than the texts themselves.
-
-Null text counts as empty: no ids, empty decoded text. Repeated rows give repeated results. A
-column of the input that is named like an output column is replaced.
+so no piece crosses from one marked word into the next. A slice of texts is cut into marked words; a
+table of the distinct ones is made, the library segments each of them once, in one call, and
+their ids are joined back by the words' positions. Decoding gathers the pieces' bytes by the ids likewise. A slice
+holds at most SLICE characters (or one longer text), so the table is bounded. A shuffle of every word
+occurrence to a single global table would move far more bytes than the texts themselves.
+
+Null text counts as empty: no ids, empty decoded text. Very long texts are encoded whole. Repeated rows give repeated results. An
+empty table gives no rows. A column of the input that is named like an output column is replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.shared import documents, portions
+from quillmark.llm.shared import documents, portions, tidy
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Bound of the table: entries, and characters of a chunk that is kept.
-TABLE_ENTRIES, TABLE_CHARS = 200_000, 48
+#: Characters, and texts, of a slice.
+SLICE, TEXTS = 1 << 19, 512
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -40,8 +40,14 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-class ChunkTable(dict):
-    """Marked word -> its ids as little-endian int32 bytes; segments a word when it is first met."""
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of the ranges that begin at ``starts``, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Codec:
+    """The library's processor, and its pieces as bytes."""
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
@@ -52,83 +58,123 @@ class ChunkTable(dict):
         rules = spec.normalizer_spec
         self.mark_id = self.library.piece_to_id(MARK)
         self.separable = rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces and rules.name == "identity" and not spec.trainer_spec.treat_whitespace_as_suffix and not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in spec.pieces) and self.library.id_to_piece(self.mark_id) == MARK
-        self.pieces: list[bytes | None] = [
-            p.piece.replace(MARK, " ").encode() if p.type in (1, 4) else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else None for p in spec.pieces
-        ]
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.library.encode(chunk[1:]) if len(chunk) > 1 else [self.mark_id]
-        out = np.array(ids, "<i4").tobytes()
-        if len(chunk) <= TABLE_CHARS:
-            if len(self) >= TABLE_ENTRIES:
-                self.clear()
-            self[chunk] = out
+        pieces = [p.piece.replace(MARK, " ").encode() if p.type in (1, 4) else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else None for p in spec.pieces]
+        self.plain = np.array([p is not None for p in pieces])
+        self.size = np.array([len(p or b"") for p in pieces], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(p or b"" for p in pieces), np.uint8)
+
+    def segmented(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct marked words, in one call of the library."""
+        found = self.library.encode([w[1:] for w in words], num_threads=1)
+        return [f if len(w) > 1 else [self.mark_id] for w, f in zip(words, found, strict=True)]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, how many each has)."""
+        if not self.separable:
+            each = [self.library.encode(t) if t else [] for t in texts]
+            return np.array([i for e in each for i in e], np.int32), np.array([len(e) for e in each], np.int64)
+        table: dict[str, int] = {}
+        codes, counts = [], []
+        for t in texts:
+            words = CHUNK.findall(MARK + t.replace(" ", MARK)) if t else []
+            counts.append(len(words))
+            codes.extend(table.setdefault(w, len(table)) for w in words)
+        found = self.segmented(list(table))
+        size = np.array([len(f) for f in found], np.int64)
+        flat = np.fromiter((i for f in found for i in f), np.int32, int(size.sum()))
+        code = np.array(codes, np.int64)
+        ids = flat[gathered((np.cumsum(size) - size)[code], size[code])] if len(code) else np.zeros(0, np.int32)
+        ends = np.r_[0, np.cumsum(size[code])] if len(code) else np.zeros(1, np.int64)
+        at = np.r_[0, np.cumsum(counts)].astype(np.int64)
+        return ids, np.diff(ends[at])
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """As the library's decode(ids) of each text; special or unknown ids and broken byte runs go to the library itself."""
+        known = (ids >= 0) & (ids < len(self.plain))
+        safe = np.where(known, ids, 0)
+        good = known & self.plain[safe]
+        size = np.where(good, self.size[safe], 0)
+        data = self.bytes[gathered(self.start[safe], size)].tobytes()
+        ends, at = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(counts)].astype(np.int64)
+        whole = np.r_[0, np.cumsum(good)][at]
+        out = []
+        for a, b, first, last in zip(at[:-1].tolist(), at[1:].tolist(), whole[:-1].tolist(), whole[1:].tolist(), strict=True):
+            try:
+                if last - first < b - a:
+                    raise UnicodeDecodeError("utf-8", b"", 0, 0, "special pieces")
+                text = data[ends[a] : ends[b]].decode()
+                out.append(text[1:] if text[:1] == " " else text)
+            except UnicodeDecodeError:
+                out.append(self.library.decode(ids[a:b].tolist()))
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.separable:
-            return np.array(self.library.encode(text), "<i4").tobytes()
-        return b"".join(map(self.__getitem__, CHUNK.findall(MARK + text.replace(" ", MARK))))
 
-    def decode(self, ids: list[int]) -> str:
-        """As the library's decode(ids); ids of special pieces or broken byte runs go to the library itself."""
-        try:
-            out = b"".join(map(self.pieces.__getitem__, ids)).decode()
-        except (TypeError, IndexError, UnicodeDecodeError):
-            return self.library.decode(ids)
-        return out[1:] if out[:1] == " " else out
+@lru_cache(1)
+def codec(model: bytes) -> Codec:
+    return Codec(model)
 
 
-@lru_cache(1)
-def table(model: bytes) -> ChunkTable:
-    return ChunkTable(model)
+def _list(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype("i4")), pa.array(ids.astype("i4")))
+
 
+def _flat(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each row has) of a column whose null rows, and null ids in rows, count as none."""
+    counts = np.array([0 if x is None else len(x) for x in ids.to_pylist()], np.int64) if ids.null_count else np.diff(ids.offsets.to_numpy()).astype(np.int64)
+    return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts
 
-def _ids(texts: list[str | None], own: ChunkTable) -> pa.ListArray:
-    parts = [own.encode(x) for x in texts]
-    offsets = np.zeros(len(parts) + 1, "i4")
-    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))]))
 
+def slices(b: pa.RecordBatch, text: int):
+    """The batch in slices of at most SLICE characters and TEXTS rows, or one longer text."""
+    import pyarrow.compute as pc
 
-def _texts(ids: pa.ListArray, own: ChunkTable) -> pa.Array:
-    flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-    return pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(b.column(text)), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    at = 0
+    while at < b.num_rows:
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right"))
+        end = min(max(at + 1, end), at + TEXTS)
+        yield b.slice(at, end - at)
+        at = end
 
 
-def _with(df: DataFrame, model: bytes, added: list[T.StructField], columns) -> DataFrame:
-    """df with more Arrow-computed columns; columns(batch, table) returns their arrays. One Python worker a task does it all."""
+def _with(df: DataFrame, model: bytes, added: list[T.StructField], text: str | None, columns) -> DataFrame:
+    """df with more Arrow-computed columns; columns(batch, codec) returns their arrays. One Python worker a task does it all."""
     rest = [c for c in df.columns if c not in {f.name for f in added}]
     schema = T.StructType([*(df.schema[c] for c in rest), *added])
 
     def run(batches):
-        own = table(model)
-        for b in portions(batches, 128):
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), *columns(b, own)], names=schema.names)
+        own = codec(model)
+        for whole in batches:
+            for b in slices(whole, whole.schema.get_field_index(text)) if text else portions([whole], 128):
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), *columns(b, own)], names=schema.names)
+            tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def _column(b: pa.RecordBatch, name: str) -> pa.Array:
+    return b.column(b.schema.get_field_index(name))
+
+
 def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "token_ids") -> DataFrame:
     """df with ``out`` array<int>: the ids of the whole text, without begin or end ids."""
-    return _with(df, model, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda b, own: [_ids(b.column(b.schema.get_field_index(text)).to_pylist(), own)])
+    return _with(df, model, [T.StructField(out, T.ArrayType(T.IntegerType()))], text, lambda b, own: [_list(*own.encode(_column(b, text).to_pylist()))])
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with ``out`` string: the text of the ids; null ids count as none."""
-    return _with(df, model, [T.StructField(out, T.StringType())], lambda b, own: [_texts(b.column(b.schema.get_field_index(ids)), own)])
+    return _with(df, model, [T.StructField(out, T.StringType())], None, lambda b, own: [pa.array(own.decode(*_flat(_column(b, ids))), pa.string())])
 
 
 def round_trip(df: DataFrame, model: bytes, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Both at once: df with ``ids`` and the text that they decode to."""
 
-    def both(b: pa.RecordBatch, own: ChunkTable) -> list[pa.Array]:
-        found = _ids(b.column(b.schema.get_field_index(text)).to_pylist(), own)
-        return [found, _texts(found, own)]
+    def both(b: pa.RecordBatch, own: Codec) -> list[pa.Array]:
+        found, counts = own.encode(_column(b, text).to_pylist())
+        return [_list(found, counts), pa.array(own.decode(found, counts), pa.string())]
 
-    return _with(df, model, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())], both)
+    return _with(df, model, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())], text, both)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

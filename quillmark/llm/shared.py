@@ -1,40 +1,23 @@
-"""What the training-data operators share: lineage cuts, tokenising, Arrow helpers and components.
+"""What the training-data operators share: reading, Arrow helpers, and the lineage cuts and components of the core.
 
 All of it works on any number of rows: nothing here collects rows to the driver.
 """
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but the six ASCII white-space characters.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A-Z to a-z and nothing else; str.lower() would also change other scripts.
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+from quillmark.functions.text import let
+from quillmark.operators.lineage import components, cut, shared_folder
+
+__all__ = ["before_each", "components", "cut", "documents", "let", "partitions", "portions", "shared_folder", "sums_before", "tidy"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; one is made only where none is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        where = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or f"{tempfile.gettempdir()}/quillmark-{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
-
-
 def tidy() -> None:
     """Gives freed memory of this Python worker back to the system, where the C library can."""
     import ctypes
@@ -59,32 +42,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sort_runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts by the keys (the first counts most) and a flag at each run's start of the first key."""
-    order = np.lexsort(keys[::-1])
-    first = keys[0][order]
-    return order, np.r_[True, first[1:] != first[:-1]] if len(first) else np.zeros(0, bool)
+def before_each(numbers: Column, combine) -> Column:
+    """For each element of an int array what ``combine`` makes of 0 and all before it: their sum, or their largest.
 
+    A fold that appends to an array copies it at every step. Here elements are combined in blocks of the cube root of their
+    number, blocks before a block and elements before an element each by a short fold: n ** (4 / 3) steps in all.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0), combine)
+    block = lambda i, w: F.floor(i / w).cast("int")
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): each node of ``edges`` (u, v long) with the smallest node it can reach.
+    def blocked(xs: Column, w: Column) -> Column:
+        count = F.ceil(F.size(xs) / w).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), count), lambda b: total(F.slice(xs, (b - 1) * w + 1, w)))
+        before = lambda blocks: F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
+        each = lambda firsts: F.transform(xs, lambda _, i: combine(F.get(firsts, block(i, w)), total(F.slice(xs, block(i, w) * w + 1, i % w))))
+        return let(let(blocks, before), each)
 
-    Alternating large-star and small-star steps; a step never grows the edge count, a hub's edges
-    are spread over tasks (the minimum of a node's neighbours is a partial aggregate joined back,
-    so no neighbour list is ever collected). Each round is cut from its lineage. Raises if it hasn't
-    settled after ``rounds``, which are logarithmic in the longest path.
-    """
-    now = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    last = None
-    for _ in range(rounds):
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        back = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(back, "v").select(F.explode(F.array(F.struct("m", "v"), F.struct("m", F.col("u").alias("v")))).alias("e")).select(F.col("e.m").alias("u"), F.col("e.v").alias("v")).where("u <> v").distinct()
-        now = cut(small)
-        sums = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(pmod(xxhash64(v, u), 1000003) as bigint))")).first()
-        if tuple(sums) == last:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
-        last = tuple(sums)
-    raise RuntimeError(f"components have not settled after {rounds} rounds")
+    some = let(numbers, lambda xs: let(F.ceil(F.cbrt(F.size(xs))).cast("int"), lambda w: F.when(F.size(xs) > 0, blocked(xs, w))))
+    return F.coalesce(some, F.array().cast("array<int>"))
+
+
+def sums_before(numbers: Column) -> Column:
+    return before_each(numbers, lambda a, b: a + b)
