@@ -17,4 +17,4 @@ QUERIES = {
     "op10_pii": pii.query,
 }
 #: DuckDB SQL of those that SQL can express.
-SQL: dict[str, str] = {"op3_suffix_dedup": suffix_dedup.SQL, "op5_debruijn_dedup": debruijn_dedup.SQL, "op8_chat_format": chat_format.SQL, "op10_pii": pii.SQL}
+SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op5_debruijn_dedup": debruijn_dedup.SQL, "op8_chat_format": chat_format.SQL, "op10_pii": pii.SQL}
