@@ -7,13 +7,15 @@ judged by a window of words around it: within quotation marks or after a word of
 quotation, otherwise as abuse, and a word of address near it is counted too. A logistic model over these
 counts gives the score.
 
-Labelled texts are bounded by SAMPLE (in expectation, chosen by a hash of the id) and lexicon candidates
-by CANDIDATES, so what the driver sees is bounded; the label tells nothing at scoring. Equal texts of the
-sample count once. The words of a text are runs of letters and digits, lower-cased; whole texts are read.
+Labelled texts are bounded by SAMPLE (in expectation, chosen by a hash of the id), so what the driver
+sees is bounded by the words of that sample; no term that is sure enough is left out. The label tells
+nothing at scoring. Equal texts of the sample count once. The words of a text are runs of letters and
+digits, lower-cased; whole texts are read, very long ones too.
 
 Null, empty and hitless texts get the score of a text without hits. With no labels of both kinds the
 score is the share of toxic labels (0 if there are none). An empty table gives no rows. Repeated rows
-get equal scores. Several labels of one id count as toxic if one is. Columns named like an output are replaced.
+get equal scores. Several labels of one id count as toxic if one is; labels other than 0 and 1 are left
+out. A null id is not held out and has no label. Columns named like an output are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.shared import documents, portions
+from quillmark.llm.shared import cut, documents, portions
 
-SAMPLE, CANDIDATES = 20_000, 5_000
+#: Labelled texts that a model is learnt from, in expectation.
+SAMPLE = 20_000
 #: A term occurs in MIN_TEXTS toxic texts at least, in toxic ones RATIO times as often as in clean ones, and is surer than chance by SURE
 #: nats, after allowing for every word that was tried.
 MIN_TEXTS, RATIO, SURE = 4, 12.0, 1.0
@@ -212,13 +215,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, f
 
 def learn(train: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """A model from the labelled rows of ``train``."""
-    known = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
+    known = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     total = known.count()
     if not total:
         return Model((), (), (0.0,) * len(FEATURES), -30.0)
     few = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(min(1.0, SAMPLE / total) * (1 << 30)))
     pairs = train.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(few, "key")
-    rows = pairs.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    rows = cut(pairs.groupBy("text").agg(F.max("toxic").alias("toxic")))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n, p = sizes.get(0, 0), sizes.get(1, 0)
     if not n or not p:
@@ -229,7 +232,7 @@ def learn(train: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     sure = F.col("toxic") * F.log(F.col("toxic") / both / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / both / (1 - base))).otherwise(0.0)
     able = counted.where((F.col("toxic") >= MIN_TEXTS) & (F.length("word") >= 3) & ~F.col("word").rlike("^[0-9_]+$")).select("word", "clean", "toxic", ratio.alias("ratio"), sure.alias("sure"))
     tried = able.count()
-    terms = able.where((F.col("ratio") >= RATIO) & (F.col("sure") >= math.log(max(tried, 1)) + SURE)).orderBy(F.desc("sure"), "word").limit(CANDIDATES).collect()
+    terms = able.where((F.col("ratio") >= RATIO) & (F.col("sure") >= math.log(max(tried, 1)) + SURE)).select("word", "ratio").collect()
     terms = sorted((r["word"], math.log(r["ratio"])) for r in terms)
     model = Model(tuple(t for t, _ in terms), tuple(e for _, e in terms), (0.0,) * len(FEATURES), 0.0)
     data = counts(rows.select("text", "toxic"), model).select("toxic", "counts").collect()
@@ -261,7 +264,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
