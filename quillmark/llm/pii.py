@@ -1,18 +1,19 @@
 """Personal data by pattern, checksum and context (operator 10), in DataFrame functions only.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for IBANs, parts of
-at most 255 for addresses, digit counts for phones), and words close before a span adjust its score.
+at most 255 for addresses, digit counts for phones), and words close by, before or after, adjust their score.
 
 Kinds: the base kinds ``email ip card phone`` are decided by pattern and checksum alone; their score
-only says how sure a span is. ``iban`` (mod 97) and ``ssn`` (three-two-four digits) are added; an
+only says how sure a span is. ``iban`` (mod 97, the country's own length) and ``ssn`` (three-two-four digits) are added; an
 ``ssn`` has no checksum, so a context word must lift it over KEEP. Spans count code points, end
 exclusive, leftmost and non-overlapping within a kind; kinds may overlap each other.
 
 Every pattern is written so that it can't backtrack over a long run (possessive quantifiers, and a
-start only where no longer match starts before), and finds exactly what the plain pattern finds.
+start only where no longer match starts before), and finds exactly what the plain pattern finds. Positions are
+summed in blocks and context is cut from pieces of the text, so that a very long text with very many matches costs little more than its length.
 
 Null texts count as empty: no spans. An empty table gives no rows. Ties don't arise; repeated rows
-give repeated results. Columns named like an output are replaced.
+give repeated results. Columns named like an output are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import documents
+from quillmark.llm.shared import before_each, documents, let, sums_before
 
 #: What a span of each kind looks like. A match starts where no run of its first class
 #: reaches further back, or where the last match ended (\G).
@@ -28,10 +29,28 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _ibans() -> str:
+    """The countries of each length, each with as many letters and digits as its length asks for."""
+    by: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by.setdefault(n, []).append(country)
+    return "(?:" + "|".join(rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by.items())) + ")"
+
+
+IBAN = rf"(?<![A-Za-z0-9]){_ibans()}(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 BYTE_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-#: Words that make a kind likelier when one stands within CONTEXT characters before the span.
+#: Words that make a kind likelier when one begins within CONTEXT characters before the span, or within as many after it.
 WORDS = {
     "email": "e-?mail|contact|write to|courriel|correo",
     "ip": "ip|host|server|address|login",
@@ -41,6 +60,8 @@ WORDS = {
     "ssn": "ssn|social security|tax id|taxpayer",
 }
 CONTEXT = 48
+#: Code points of a piece of a text, from which context is cut.
+PIECE = 4096
 #: Score of a confirmed span without and with a context word; an added kind stays from KEEP on.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
 LIFT, KEEP = 0.3, 0.6
@@ -77,23 +98,40 @@ RULES = {
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
 
+def near(pieces: Column, start: Column, end: Column, kind: str) -> Column:
+    """Whether a context word of the kind begins close to the span. ``pieces``: the text in pieces of PIECE code points."""
+
+    def part(first: Column) -> Column:
+        """CONTEXT code points from ``first``, counted from 0, which may begin before the text."""
+        at = F.greatest(first, F.lit(0))
+        k = F.floor(at / PIECE).cast("int")
+        both = F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+        return F.lower(F.substr(both, at % PIECE + 1, F.lit(CONTEXT) - (at - first)))
+
+    word = lambda text: text.rlike(rf"(?:^|[^a-z])(?:{WORDS[kind]})")
+    return word(part(start - CONTEXT)) | word(part(end))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """array<SPAN> of one kind. The text is cut at the matches; lengths of cuts and matches add up to the positions."""
     pattern, may, holds = RULES[kind]
     cuts, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(cuts, matches, lambda c, m: F.struct(F.length(c).alias("gap"), F.right(c, F.lit(CONTEXT)).alias("before"), m.alias("value")))
-    empty = F.array().cast("array<struct<start:int,end:int,before:string,value:string>>")
+    lengths = lambda x: F.transform(x, lambda m: m["gap"] + F.length(m["value"]))
+
+    def placed(both: Column) -> Column:
+        put = F.zip_with(both, sums_before(lengths(both)), lambda m, before: F.struct((before + m["gap"]).alias("start"), (before + m["gap"] + F.length(m["value"])).alias("end"), m["value"].alias("value")))
+        return F.filter(put, lambda s: holds(s["value"]))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["before"].alias("before"), x["value"].alias("value")))).alias("out")))
+    def scored(spans: Column) -> Column:
+        of = lambda pieces: F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near(pieces, s["start"], s["end"], kind), LIFT).otherwise(0.0)).alias("score")))
+        return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), of)).otherwise(none)
 
-    placed = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    near = lambda s: F.lower(s["before"]).rlike(rf"(?:^|[^a-z])(?:{WORDS[kind]})")
-    scored = F.transform(F.filter(placed, lambda s: holds(s["value"])), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near(s), LIFT).otherwise(0.0)).alias("score")))
-    kept = scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= KEEP)
-    return F.when(may(text), kept).otherwise(F.array().cast(f"array<{SPAN}>"))
+    none = F.array().cast(f"array<{SPAN}>")
+    # There is one more cut than matches: what follows the last one.
+    both = F.filter(F.zip_with(cuts, matches, lambda c, m: F.struct(F.length(c).alias("gap"), m.alias("value"))), lambda x: x["value"].isNotNull())
+    found = let(let(both, placed), scored)
+    kept = found if kind in BASE else F.filter(found, lambda s: s["score"] >= KEEP)
+    return F.when(may(text), kept).otherwise(none)
 
 
 def find(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
@@ -105,16 +143,28 @@ def find(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
-    """df with the spans of ``text`` replaced by [KIND]; overlapping spans go together, under the first one's kind."""
+    """df with the spans of ``text`` replaced by [KIND]; overlapping spans go together, under the first one's kind.
+
+    Spans that overlap are merged from the left; then what is kept before each merged span is cut out of the text's pieces.
+    """
     ordered = F.sort_array(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        grown = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        added = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.col(text).substr(acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
-        return F.when(s["start"] < acc["at"], grown).otherwise(added)
+    def merged(own: Column) -> Column:
+        """(start, kind, from): spans that begin no earlier than all before them end, with where the kept text before each begins; last the text's end."""
+
+        def heads(reach: Column) -> Column:
+            each = F.zip_with(own, reach, lambda s, r: F.when(s["start"] >= r, F.struct(s["start"].alias("start"), s["kind"].alias("kind"), r.alias("from"))))
+            rest = F.struct(F.length(F.col(text)).alias("start"), F.lit(None).cast("string").alias("kind"), F.array_max(F.transform(own, lambda s: s["end"])).alias("from"))
+            return F.concat(F.filter(each, lambda x: x.isNotNull()), F.array(rest))
+
+        return let(before_each(F.transform(own, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), heads)
+
+    def cleaned(pieces: Column) -> Column:
+        kept = lambda a, b: F.concat_ws("", F.transform(F.sequence(F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")), lambda k: F.coalesce(F.substr(F.get(pieces, k), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0))), F.lit(""))))
+        return F.concat_ws("", F.transform(let(ordered, merged), lambda s: F.concat(kept(s["from"], s["start"]), F.when(s["kind"].isNull(), "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))))
 
-    cleaned = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.col(text).substr(acc["at"] + 1, F.length(F.col(text)))))
-    return df.withColumn(text, F.when(F.size(spans) > 0, cleaned).otherwise(F.col(text)))
+    whole = let(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), cleaned)
+    return df.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text)))
 
 
 def written(spans: Column) -> Column:
@@ -142,19 +192,20 @@ def _plain(kind: str) -> str:
         "ip": r"[0-9]+(?:\.[0-9]+){3}",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
         "phone": PHONE,
-        "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+        "iban": _ibans(),
         "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     }
     return plain[kind]
 
 
-_EACH = "SELECT doc_id, '{k}' AS kind, {n} AS o, {prior}::DOUBLE AS prior, '{words}' AS words, regexp_extract_all(t, '{p}') AS v, string_split_regex(t, '{p}') AS g FROM d"
+_EACH = "SELECT doc_id, t, '{k}' AS kind, {n} AS o, {prior}::DOUBLE AS prior, '{words}' AS words, regexp_extract_all(t, '{p}') AS v, string_split_regex(t, '{p}') AS g FROM d"
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(_EACH.format(k=k, n=n, prior=PRIOR[k], words=WORDS[k], p=_plain(k)) for n, k in enumerate(KINDS))}),
-s AS (SELECT doc_id, kind, o, prior, words, v[i] AS x, g[i] AS gap, g[i + 1] AS rest, list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda y: length(y))), 0) AS start
+s AS (SELECT doc_id, t, kind, o, prior, words, v[i] AS x, g[i] AS gap, g[i + 1] AS rest, list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda y: length(y))), 0) AS start
   FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM m WHERE len(v) > 0)),
-n AS (SELECT *, start + length(x) AS stop, regexp_replace(x, '[^0-9]', '', 'g') AS digits, least(1.0, prior + CASE WHEN regexp_matches(lower(right(gap, {CONTEXT})), '(?:^|[^a-z])(?:' || words || ')') THEN {LIFT} ELSE 0 END)::DOUBLE AS score FROM s),
+n AS (SELECT *, start + length(x) AS stop, regexp_replace(x, '[^0-9]', '', 'g') AS digits, least(1.0, prior + CASE WHEN regexp_matches(lower(substr(t, greatest(start - {CONTEXT}, 0)::BIGINT + 1, least(start, {CONTEXT})::BIGINT)), '(?:^|[^a-z])(?:' || words || ')')
+    OR regexp_matches(lower(substr(t, (start + length(x))::BIGINT + 1, {CONTEXT})), '(?:^|[^a-z])(?:' || words || ')') THEN {LIFT} ELSE 0 END)::DOUBLE AS score FROM s),
 k AS (SELECT * FROM n WHERE CASE kind
   WHEN 'email' THEN true
   WHEN 'ip' THEN list_bool_and(list_transform(string_split(x, '.'), lambda y: coalesce(try_cast(y AS HUGEINT) <= 255, false)))
