@@ -16,8 +16,8 @@ more than 2 * CELL rows whatever the skew; every pair of chunks is compared, so
 Components of the edges are then found by label contraction (``shared.components``).
 
 Null, empty and wordless texts have fingerprint zero and are linked like any other. Ties and repeated
-rows share a class. An empty table gives no rows. Null ids keep their fingerprint and get the class of
-their fingerprint, null if no row of it has an id. Columns named like an output are replaced.
+rows share a class. An empty table gives no rows. Rows without an id link others like any row and get the
+class's smallest id, null if no row of it has one. Very long texts are hashed whole; other columns are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -40,25 +40,32 @@ CELL = 2048
 ROW_COST = 400
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint, unsigned."""
+def hashed(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; of all its words, if they are fewer."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII only, in both steps
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, np.uint64)
+    joined, code = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([code(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
-    digest = xxhash.xxh64_intdigest
-    n, ones = len(words) - shingle + 1, np.zeros(BITS, np.int64)
-    a, b = starts[:n].tolist(), ends[shingle - 1 :].tolist()
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(a[at : at + (1 << 16)], b[at : at + (1 << 16)], strict=True)], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    a, b = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
+    return np.fromiter((code(joined[i:j], 42) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint, unsigned: a bit is 1 where over half the hashes have it."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(hashed(text, shingle))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
@@ -258,8 +265,12 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """(key, fp, component_id) of each row of df; component_id is the smallest id that links lead to."""
     marked = cut(with_fingerprint(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", "fp"))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("id")))
-    roots = components(links(distinct.where("id is not null")))
-    named = distinct.join(roots, distinct.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    # Fingerprints name the nodes, so that those of rows without an id link others too.
+    roots = components(links(distinct.select("fp", F.col("fp").alias("id"))))
+    linked = distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "id")
+    least = linked.groupBy("root").agg(F.min("id").alias("least"))
+    met = linked.join(least, "root").select("fp", "least", F.lit(True).alias("met"))
+    named = distinct.join(met, "fp", "left").select("fp", F.when(F.col("met"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
     return marked.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
