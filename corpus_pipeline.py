@@ -1,37 +1,40 @@
 """A cleaning pipeline over ``documents``: each stage applies one training-data operator to what the last one kept.
 
 1. ``language_id``: documents in no learnt language go; a missing ``lang`` is filled in.
-2. ``simhash_dedup``: of each class of near copies (five-word shingles, Jaccard similarity 0.8 or more, exact) the document with the smallest id stays.
+2. ``simhash_dedup``: of each class of near copies (five-word shingles, Jaccard similarity 0.8 or more, exact) the document with the smallest id stays;
+   of several rows with that id the one whose digest is smallest, rows without an id come last. Wordless texts are one class.
 3. ``decontaminate``: documents that hold a benchmark item go.
 4. ``pii``: personal data are replaced by their kind in brackets; ``n_chars`` follows.
 5. ``sentencepiece``: the texts' token ids, and whether they decode to the text again.
 
-All stages but the last return the columns of ``documents``. Each handles null and empty texts, repeated
-rows and empty tables as its operator does; rows without a doc_id pass the second stage as they are.
+All stages but the last return the columns of ``documents``; further columns pass through, whatever they
+are called. Each handles null and empty texts, repeated rows and empty tables as its operator does.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, language_id, near_copies, pii, sentencepiece_codec
+from quillmark.llm.shared import shared_folder
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     filters = language_id.learn(docs.where(~F.coalesce(held, F.lit(False))))
-    named = language_id.identify(docs, filters)
-    kept = named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") > 0))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    named = language_id.identify(docs, filters, out=("__lang", "__score"))
+    kept = named.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") > 0))
+    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = near_copies.classes(docs).groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    digest = F.xxhash64(*docs.columns)
+    rows = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), digest.alias("digest")))
+    stay = near_copies.classes(rows, key="__row").groupBy("class").agg(F.min("__row").alias("__row")).select(F.col("__row.digest").alias("__digest"))
+    return docs.withColumn("__digest", digest).join(stay, "__digest").dropDuplicates(["__digest"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +72,7 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what each stage returns is written in spark.checkpoint.dir and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    base = f"{shared}/corpus-pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"{base}/{name}")

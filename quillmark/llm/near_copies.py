@@ -1,18 +1,23 @@
-"""Near copies by exact Jaccard similarity of word shingles: the pipeline's second stage.
+"""Near copies by exact Jaccard similarity of word shingles, beginning with operator 9's search.
 
 A text's set: A-Z lower-cased, words between ASCII white space, XXH64 with seed 42 of each five words
 (a shorter text is one shingle, a wordless one none). Two texts are linked if their sets have a Jaccard
 similarity of 0.8 or more; classes are the components of all links.
 
-Search, complete: sets are ordered alike, shingles that are frequent in a sample last (the order decides
-cost alone). Two sets that are similar enough share a shingle among the first s - ceil(0.8 s) + 1 of each.
-Under such a shingle all pairs are compared by size and by a sketch of parities, whose distance is never
-more than the symmetric difference, so it drops no link. What is left is verified on a wider
-sketch and then on the whole sets.
-Of a crowd of near copies each member is first tried with its nearest earlier one only; all pairs that
-these links leave in different components follow.
-
-Sets are told apart by a 64-bit digest. Null ids keep their class; an empty table gives no rows.
+Operator 9's generalised pigeonhole (``simhash_dedup.links``) over the sets' SimHash fingerprints proposes
+links first, which are verified on the whole sets; that settles most copies. A similarity of 0.8 lies near
+10 differing bits of 64, where random fingerprints of a large corpus begin to meet by chance, so no radius
+is both complete and cheap there. What the fingerprints leave apart goes through an exact prefix filter:
+sets are ordered alike, shingles that are frequent in a sample last (the order decides cost alone), and two
+sets that are similar enough share a shingle among the first s - ceil(0.8 s) + 1 of each. Under such a
+shingle all pairs of different components are compared by size and by a sketch of parities, whose distance
+is never more than the symmetric difference; of large sets the sketch holds a share, chosen by hash, and the
+bound allows seven deviations, so that it drops a true link with a chance below 1e-9. What is left is
+verified on the whole sets. Of a crowd of near copies each member is first tried with its nearest earlier
+one only; all pairs that these links leave in different components follow.
+
+Sets are told apart by a 64-bit digest. Rows are named by any column, a struct too; null names keep their class; wordless texts are one
+class. An empty table gives no rows. Very long texts are worked on whole; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm import simhash_dedup
 from quillmark.llm.shared import components, cut, partitions, portions
 
 SHINGLE = 5
-#: Bits of a sketch under a shingle, and of one that candidate pairs are looked through by before whole sets are.
-SKETCH, WIDE = 1024, 16_384
+#: Bits of a sketch, and shingles that it may hold: of larger sets it holds the half, quarter and so on that fits.
+SKETCH, HELD = 1024, 1024
+#: Deviations by which a sketch's distance may be above what the similarity allows.
+DEVIATIONS = 7
 #: Texts that frequencies are learnt from, in expectation; a shingle counts as frequent from LEAST of them, and MOST are kept.
 SAMPLE, LEAST, MOST = 4_000, 3, 200_000
 #: Rows of a bucket beyond which it is dealt to several tasks.
@@ -37,23 +45,38 @@ SMALL = 50_000
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted set of a text's shingle hashes."""
-    import xxhash
+    return np.unique(simhash_dedup.hashed(text, shingle))
+
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII only, in both steps
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, code = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([code(joined, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    a, b = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    return np.unique(np.fromiter((code(joined[i:j], 42) for i, j in zip(a, b, strict=True)), np.uint64, len(a)))
+def rate_of(size):
+    """k of the sketch of a set: it holds the shingles whose second hash ends in k zeros."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / HELD))).astype(np.int64)
 
 
 def sketch(hashes: np.ndarray, bits: int = SKETCH) -> bytes:
-    """Parity of the hashes that fall to each bit."""
-    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+    """Parities of the hashes that the sketch holds, in two halves: first those that the next coarser sketch holds too."""
+    rate = int(rate_of(len(hashes)))
+    second = hashes >> np.uint64(20)
+    held = (second & np.uint64((1 << rate) - 1)) == 0
+    coarser = (second[held] >> np.uint64(rate)) & np.uint64(1)
+    place = (hashes[held] % np.uint64(bits // 2)).astype(np.int64) + (bits // 2) * coarser.astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits) & 1).tobytes()
+
+
+def may_be_similar(size_x: np.ndarray, x: np.ndarray, size_y: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each x and y (sizes and sketches, broadcast against each other) may be similar."""
+    rate_x, rate_y = rate_of(size_x), rate_of(size_y)
+    half = x.shape[-1] // 2
+    count = lambda z: np.bitwise_count(z).sum(axis=-1, dtype=np.int64)
+    same = count(x ^ y)
+    # A finer sketch's first half is of the shingles that the next coarser one holds in both halves.
+    finer_x = count(x[..., :half] ^ y[..., :half] ^ y[..., half:])
+    finer_y = count(y[..., :half] ^ x[..., :half] ^ x[..., half:])
+    far = np.where(rate_x == rate_y, same, np.where(rate_x < rate_y, finer_x, finer_y))
+    coarse = np.maximum(rate_x, rate_y)
+    expected = (size_x + size_y) / 9 / 2.0**coarse
+    limit = np.where(coarse == 0, expected, expected + DEVIATIONS * (np.sqrt(expected) + 1))
+    return (far <= limit) & (5 * np.minimum(size_x, size_y) >= 4 * np.maximum(size_x, size_y)) & (np.abs(rate_x - rate_y) <= 1), far
 
 
 def digest(hashes: np.ndarray) -> int:
@@ -62,15 +85,6 @@ def digest(hashes: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes(), 7)], np.uint64).view(np.int64)[0])
 
 
-def sized(hashes: np.ndarray) -> bytes:
-    return len(hashes).to_bytes(8, "little") + sketch(hashes, WIDE)
-
-
-def may_be_similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """False only if the sets of which these are the size and the wide sketch are not similar."""
-    return bool(9 * int(np.bitwise_count(x[1:] ^ y[1:]).sum(dtype=np.int64)) <= int(x[0]) + int(y[0]))
-
-
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -94,7 +108,7 @@ def frequent(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_heads(df: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, code, node, size, prefix, sketch) of each row (id, code, text): the set's digest, and its first shingles in the common order, of which two similar sets share one at least."""
+    """(id, code, node, fp, size, prefix, sketch) of each row (id, code, text): the set's digest, its SimHash fingerprint, and its first shingles in the common order, of which two similar sets share one at least."""
 
     def run(batches):
         common, counts = often
@@ -106,11 +120,11 @@ def with_heads(df: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame
                 if len(common) and len(h):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     order = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
-                out.append((digest(h), len(h), order[: len(h) - (4 * len(h) + 4) // 5 + 1].tobytes(), sketch(h)))
-            node, size, prefix, sketches = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "code", "node", "size", "prefix", "sketch"])
+                out.append((digest(h), simhash_dedup.majority(h), len(h), order[: len(h) - (4 * len(h) + 4) // 5 + 1].tobytes(), sketch(h)))
+            node, fp, size, prefix, sketches = zip(*out, strict=True) if out else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "code", "node", "fp", "size", "prefix", "sketch"])
 
-    return df.select("id", "code", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, code long, node long, size long, prefix binary, sketch binary")
+    return df.select("id", "code", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, code long, node long, fp long, size long, prefix binary, sketch binary")
 
 
 def prefixes(heads: DataFrame) -> DataFrame:
@@ -135,9 +149,8 @@ def near_pairs(node: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.nd
     block = max(1, (1 << 20) // (n * bits.shape[1]))
     for at in range(0, n, block):
         rows = np.arange(at, min(at + block, n))
-        far = np.bitwise_count(bits[rows, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
-        a, b = size[rows, None], size[None]
-        may = (9 * far <= a + b) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (root[rows, None] != root[None]) & (rows[:, None] > np.arange(n)[None])
+        may, far = may_be_similar(size[rows, None], bits[rows, None], size[None], bits[None])
+        may &= (root[rows, None] != root[None]) & (rows[:, None] > np.arange(n)[None])
         if nearest:
             i = np.flatnonzero(may.any(axis=1))
             j = np.where(may[i], far[i], np.iinfo(np.int64).max).argmin(axis=1)
@@ -191,23 +204,18 @@ def candidates(rows: DataFrame, nearest: bool) -> DataFrame:
 
 
 def verified(pairs: DataFrame, heads: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar."""
-    return passed(cut(passed(pairs, heads, rows, sized, may_be_similar)), heads, rows, np.ndarray.tobytes, similar)
-
-
-def passed(pairs: DataFrame, heads: DataFrame, rows: DataFrame, pack, test) -> DataFrame:
-    """The pairs of which the packed sets pass the test; only the texts of the pairs' nodes are read again."""
+    """The pairs whose whole sets are similar; only the texts of the pairs' nodes are read again."""
 
     def sets(batches):
         for b in portions(batches):
             found = [shingles(x) for x in b.column(1).to_pylist()]
             same = [digest(h) == node for h, node in zip(found, b.column(0).to_pylist(), strict=True)]  # not so for another text of the same code
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(h) for h in found], pa.binary())], names=["node", "hashes"]).filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in found], pa.binary())], names=["node", "hashes"]).filter(pa.array(same, pa.bool_()))
 
     def run(batches):
         for b in portions(batches):
             u, v, x, y = (b.column(i) for i in range(4))
-            keep = [test(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+            keep = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -218,15 +226,24 @@ def passed(pairs: DataFrame, heads: DataFrame, rows: DataFrame, pack, test) -> D
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def proposed(heads: DataFrame) -> DataFrame:
+    """Different (u, v) of operator 9: nodes of one fingerprint with the smallest of them, and the star edges of fingerprints within its radius."""
+    fps = cut(heads.groupBy("fp").agg(F.min("node").alias("id")))
+    equal = heads.join(fps, "fp").where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    return simhash_dedup.links(fps).union(equal).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def links(heads: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v): edges between nodes of ``heads`` (one row each) whose components are those of all links; ``texts`` (code, text) has their texts."""
     rows = prefixes(heads)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
     rows = cut(rows.join(shared, "bucket").join(heads.select("node", "size", "sketch"), "node").select("bucket", "k", "node", "size", "sketch"))
-    first = cut(verified(cut(candidates(rows.withColumn("root", F.col("node")), nearest=True)), heads, texts))
-    roots = components(first).select("node", F.col("root").alias("reached"))
-    rest = rows.join(roots, "node", "left").withColumn("root", F.coalesce("reached", "node"))
-    return first.union(cut(verified(cut(candidates(rest, nearest=False)), heads, texts)))
+    known = cut(verified(cut(proposed(heads)), heads, texts))
+    for nearest in (True, False):
+        roots = components(known).select("node", F.col("root").alias("reached"))
+        rest = rows.join(roots, "node", "left").withColumn("root", F.coalesce("reached", "node"))
+        known = known.union(cut(verified(cut(candidates(rest, nearest)), heads, texts)))
+    return known
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

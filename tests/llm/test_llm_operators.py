@@ -40,7 +40,7 @@ def docs(spark, texts):
 
 def test_sentencepiece_is_the_library(docs, texts):
     model = sentencepiece_codec.model_bytes()
-    library = sentencepiece_codec.table(model).library
+    library = sentencepiece_codec.codec(model).library
     odd = docs.sparkSession.createDataFrame([(1000 + i, t) for i, t in enumerate([" ", "  a  b ", "▁ ▁x▁", "\n\n a\t", "<s> </s> <unk> <0x41>", "\x00é𝔸😀 😀", "　x​", "tail "])], "doc_id long, text string")
     rows = sentencepiece_codec.round_trip(docs.select("doc_id", "text").union(odd), model).collect()
     assert len(rows) == len(texts) + 8
@@ -184,13 +184,29 @@ def test_decontamination(spark):
     assert decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), empty).count() == 0
 
 
-def test_hamming_blocks_are_complete():
-    fps = np.array([rng.getrandbits(64) for _ in range(40)], np.uint64)
-    flips = lambda x, n: int(x) ^ sum(1 << b for b in rng.sample(range(64), n))
-    asked = np.array([flips(fps[i % 40], i % 25) for i in range(400)], np.uint64)
-    q, i = decontaminate.HammingBlocks(fps).near(asked)
-    want = {(a, b) for a in range(400) for b in range(40) if bin(int(asked[a]) ^ int(fps[b])).count("1") <= decontaminate.RADIUS}
-    assert set(zip(q.tolist(), i.tolist())) == want
+def test_hamming_blocks_are_complete_and_select():
+    generator = np.random.default_rng(2)
+    fps = generator.integers(0, 256, (150, 32), dtype=np.uint8)
+    bits = np.unpackbits(fps, axis=1)
+    asked = bits[np.arange(900) % 150].copy()
+    for row in asked:
+        row[generator.choice(256, generator.integers(0, 64), replace=False)] ^= 1
+    q, i = decontaminate.HammingBlocks(fps).near(np.packbits(asked, axis=1))
+    far = (asked[:, None, :] != bits[None]).sum(axis=2)
+    assert set(zip(q.tolist(), i.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(far <= decontaminate.RADIUS))))
+    named = np.bitwise_count(decontaminate.HammingBlocks(fps).named(generator.integers(0, 256, (2000, 32), dtype=np.uint8))).sum()
+    assert named < 0.05 * 2000 * 150  # of unrelated windows and items
+
+
+def test_decontamination_in_blocks_is_that_in_one(spark, monkeypatch):
+    items = spark.createDataFrame([(i, prose(rng.randint(3, 40))) for i in range(30)] + [(40, None)], "item_id long, text string")
+    held = {r.item_id: r.text for r in items.collect()}
+    docs = spark.createDataFrame([(i, prose(10) + " " + held[i % 30] + " " + held[(7 * i + 1) % 30], "clash") for i in range(40)] + [(50, None, ""), (51, "", ""), (1, held[1] * 1, "x"), (60, prose(40_000) + " " + held[3], "long")], "doc_id long, text string, item_id string")
+    rows = lambda df: collections.Counter((r.doc_id, r.text, r.item_id, tuple(sorted((m.item_id, round(m.similarity, 9), m.start, m.n_words) for m in r.matches))) for r in df.collect())
+    one = rows(decontaminate.mark(docs, items))
+    assert sum(len(k[3]) for k in one) >= 81 and one[50, None, "", ()] == 1
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    assert rows(decontaminate.mark(docs, items)) == one
 
 
 def test_forest_search(spark):
@@ -359,9 +375,26 @@ def test_empty_tables(spark):
 def test_digests_follow_the_operators(spark):
     d = "/root/testdata/sf0.001"
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-    library = sentencepiece_codec.table(sentencepiece_codec.model_bytes()).library
+    library = sentencepiece_codec.codec(sentencepiece_codec.model_bytes()).library
     for r in sentencepiece_codec.query(spark, d).collect():
         ids = library.encode(rows[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
     for r in simhash_dedup.query(spark, d).collect():
         assert int(r.fingerprint, 16) == brute_fingerprint(rows[r.doc_id])
+
+
+def test_decontamination_at_the_limit_loses_next_to_nothing():
+    """Windows whose similarity lies between 0.8 and 0.9: those that the blocks and the radius let pass."""
+    generator = random.Random(12)
+    found = total = 0
+    for _ in range(300):
+        words = [generator.choice(vocabulary) + str(generator.randint(0, 99)) for _ in range(generator.randint(45, 120))]
+        changed = list(words)
+        for _ in range(generator.randint(1, 2)):
+            changed[generator.randrange(len(changed))] = "CHANGED"
+        index = decontaminate.index_of([(1, " ".join(words))])
+        score = decontaminate.similarity(decontaminate.shingles(decontaminate.word_hashes(" ".join(changed))), index.items[0])
+        if 0.8 <= score < 0.9:
+            total += 1
+            found += any(True for _ in index.matches(" ".join(changed)))
+    assert total > 100 and found >= 0.99 * total

@@ -26,7 +26,7 @@ def test_pipeline_is_its_stages(spark):
     roots = components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if bin(fp[a] ^ fp[b]).count("1") <= 4])
     kept = {i: t for i, t in kept.items() if roots[i] == i}
     kept = {i: t for i, t in kept.items() if not contaminated(t, items)}
-    library = sentencepiece_codec.table(sentencepiece_codec.model_bytes()).library
+    library = sentencepiece_codec.codec(sentencepiece_codec.model_bytes()).library
     rows = {r.doc_id: r for r in P.run(spark, SF).collect()}
     assert set(rows) == set(kept)
     for i, r in rows.items():
