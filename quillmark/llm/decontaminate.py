@@ -274,8 +274,8 @@ g AS (SELECT side, r, id, z, len(w) - z + 1 AS n, p, array_to_string(w[p + 1:p +
 c AS (SELECT r, id, n, g, count(*) AS times FROM g WHERE side = 'i' GROUP BY ALL),
 h AS (SELECT d.r, d.id, d.z, c.r AS ir, c.id AS item, d.n AS dn, c.n AS n, p, g, times FROM (SELECT * FROM g WHERE side = 'd') d JOIN c USING (g)),
 a AS (SELECT DISTINCT r, id, z, ir, item, dn, n, unnest(range(greatest(p - least(n, dn) + 1, 0), least(p, dn - least(n, dn)) + 1)) AS f FROM h),
-b AS (SELECT a.r, a.id, a.z, a.ir, a.item, a.dn, a.n, f, g, least(count(*), any_value(times)) AS shared FROM a JOIN h ON a.r = h.r AND a.z = h.z AND a.ir = h.ir AND p >= f AND p < f + least(a.n, a.dn) GROUP BY ALL),
-j AS (SELECT r, id, z, ir, item, n, dn, f, sum(shared) / (least(n, dn) + n - sum(shared)) AS similarity FROM b GROUP BY ALL),
+b AS (SELECT a.r, a.id, a.z, a.ir, a.item, a.dn, a.n, f, g, least(count(*), any_value(times)) AS shared FROM a JOIN h ON a.r = h.r AND a.z = h.z AND a.ir = h.ir AND p >= f AND p < f + least(a.n, a.dn) GROUP BY a.r, a.id, a.z, a.ir, a.item, a.dn, a.n, f, g),
+j AS (SELECT r, id, z, ir, item, n, dn, f, sum(shared) / (least(n, dn) + n - sum(shared)) AS similarity FROM b GROUP BY r, id, z, ir, item, n, dn, f),
 best AS (SELECT * FROM j WHERE similarity >= {SIMILARITY} QUALIFY row_number() OVER (PARTITION BY r, z, ir ORDER BY similarity DESC, f) = 1)
 SELECT id AS doc_id, item AS item_id, round(similarity, 9) AS similarity, f::BIGINT AS start, (least(n, dn) + z - 1)::BIGINT AS n_words FROM best
 """
