@@ -9,21 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.boxes import area
+from quillmark.functions.structures import EMPTY_MARKS, NO_WORDS, SECTION_MEMBERS
+from quillmark.operators.lineage import cut
 from quillmark.operators.pages import rowwise
 
-#: Spellings of an envelope's parts and of their keys, in order of preference.
-PARTS = {"regions": ("regions", "region_boxes"), "widgets": ("widgets",), "widget_groups": ("widget_groups",), "local_grids": ("local_grids", "grids"), "cells": ("cells",), "line_item_groups": ("line_item_groups",), "relations": ("relations", "edges", "relation_edges")}
-KEYS = {"bbox": ("bbox", "box", "region_box", "bounds"), "source": ("source", "from", "u", "parent"), "target": ("target", "to", "v", "child"), "type": ("type", "r", "relation_type"), "row": ("row", "row_index", "row_start"), "col": ("col", "column", "col_index", "col_start")}
-#: Type of a relation by the roles of its ends; the first rule that fits decides.
-ROLE_TYPES = [(None, "widget", "field-widget"), ("key", "key", "parent-child"), ("key", "value", "key-value"), ("section", None, "section-membership"), ("line_item_group", None, "line-item-membership"), (None, "line_item_group", "line-item-membership")]
-
-
 def relation_type(source: Column, target: Column) -> Column:
-    out = None
-    for s, t, name in ROLE_TYPES:
-        fits = (source == s if s else F.lit(True)) & (target == t if t else F.lit(True))
-        out = F.when(fits, name) if out is None else out.when(fits, name)
-    return out.otherwise(F.concat(source, F.lit("-to-"), target))
+    """Type of a relation by the roles of its ends; null if they don't tell."""
+    return (
+        F.when((target == "widget") & source.isin("key", "section"), "field-widget")
+        .when((source == "key") & (target == "key"), "parent-child")
+        .when((source == "key") & (target == "value"), "key-value")
+        .when((source == "key") & (target == "cell"), "key-to-cell")
+        .when((source == "section") & target.isin(*SECTION_MEMBERS), "section-membership")
+        .when((source == "line_item_group") | (target == "line_item_group"), "line-item-membership")
+    )
 
 
 def folded(rows: DataFrame, key: str, name: str, value: str, order: str, names: list[str]) -> DataFrame:
@@ -37,22 +36,22 @@ def turned(edges: DataFrame, direction: str = "direction") -> DataFrame:
     return edges.select(*[c for c in edges.columns if c not in ("source", "target", direction)], F.when(left, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(left, F.col("source")).otherwise(F.col("target")).alias("target"))
 
 
-def field_paths(nodes: DataFrame, edges: DataFrame, depth: int = 12) -> DataFrame:
+def field_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, path, ambiguous): labels from a root to each node along edges (source, target), the shortest, then the first in order.
 
-    A path that several nodes have is ambiguous. Breadth first, one join a level, at most ``depth`` levels.
+    A path that several nodes have is ambiguous. Breadth first, one join a level, as many levels as there are, each cut from its
+    lineage. A node is reached once, so cycles end; what no root leads to has no row.
     """
     roots = nodes.join(edges.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
-    level = roots.select("id", F.array("label").alias("path"))
+    level = cut(roots.select("id", F.array("label").alias("path")))
     found = level
     labels = nodes.select(F.col("id").alias("target"), "label")
-    for _ in range(depth):
+    while True:
         step = level.join(edges, F.col("id") == F.col("source")).join(labels, "target").select(F.col("target").alias("id"), F.array_append("path", F.col("label")).alias("path"))
-        new = step.join(found.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
-        if new.isEmpty():
-            break
-        level, found = new, found.union(new)
-    return found.withColumn("ambiguous", F.count("*").over(Window.partitionBy("path")) > 1)
+        level = cut(step.join(found.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        if level.isEmpty():
+            return found.withColumn("ambiguous", F.count("*").over(Window.partitionBy("path")) > 1)
+        found = found.union(level)
 
 
 def grid_places(cells: DataFrame, page: str, row: str, x: str) -> DataFrame:
@@ -116,23 +115,18 @@ def cell_components(df: DataFrame, cells: str, gap: float = 0.015, slack: float
     return rowwise(df, [cells], {"component": "array<int>"}, kernel)
 
 
-def widget_state(state: Column, selected: Column, mark: Column, text: Column) -> Column:
-    """State of a predicted widget: as said, from a selected flag, from its mark, or from its text."""
-    said = F.lower(F.trim(state))
-    return (
-        F.when(said.isin("selected", "unselected", "filled", "blank"), said)
-        .when(said.isin("checked", "on"), "selected")
-        .when(said.isin("unchecked", "off"), "unselected")
-        .when(selected.isNotNull(), F.when(selected, "selected").otherwise("unselected"))
-        .when(mark.isNotNull(), F.when(F.trim(mark) != "", "selected").otherwise("unselected"))
-        .when(text.isNotNull(), F.when(F.trim(text) != "", "filled").otherwise("blank"))
-        .otherwise("unknown")
-    )
+def widget_state(kind: Column, state: Column, selected: Column, mark: Column, filled: Column, blank: Column, text: Column) -> Column:
+    """State of a predicted widget: as said; of a checkbox or radio by its flag or mark; of others by their flags or text; ``unknown`` else."""
+    form = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    flag = lambda x, yes, no: F.when(x, yes).otherwise(no)
+    box = F.when(selected.isNotNull(), flag(selected, "selected", "unselected")).when(form(mark) == "", "unknown").otherwise(flag(form(mark).isin(*EMPTY_MARKS), "unselected", "selected"))
+    line = F.when(filled.isNotNull(), flag(filled, "filled", "blank")).when(blank.isNotNull(), flag(blank, "blank", "filled")).when(selected.isNotNull(), flag(selected, "filled", "blank")).otherwise(flag(truthy(text), "filled", "unknown"))
+    return F.when(form(state) != "", form(state)).when(kind.isin("checkbox", "radio"), box).otherwise(line)
 
 
 def truthy(value: Column) -> Column:
     """Whether an answer's text stands for yes."""
-    return ~F.lower(F.trim(F.coalesce(value, F.lit("")))).isin("", "false", "no", "none", "0", "unchecked")
+    return ~F.lower(F.trim(F.coalesce(value, F.lit("")))).isin(*NO_WORDS)
 
 
 def reading_direction(language: Column, vertical: Column) -> Column:
@@ -179,7 +173,13 @@ def layout_elements(df: DataFrame, layout: str) -> DataFrame:
     """A row for each element of a recursive layout: element, path, kind, depth. Fields nest in keys; values hang on fields; sections hold tables."""
 
     def kernel(text):
-        out, value = [], json.loads(text)
+        try:
+            value = json.loads(text or "")
+        except (ValueError, RecursionError):
+            return ([],)
+        if not isinstance(value, dict):
+            return ([],)
+        out = []
         stack = [((), f, 0) for f in reversed(value.get("fields", []))]
         while stack:
             above, f, depth = stack.pop()
@@ -200,57 +200,3 @@ def layout_elements(df: DataFrame, layout: str) -> DataFrame:
 
     rows = rowwise(df, [layout], {"__e": "array<struct<element:string,path:array<string>,kind:string,depth:int>>"}, kernel)
     return rows.select(*[c for c in df.columns if c != layout], F.explode("__e").alias("e")).select("*", "e.*").drop("e")
-
-
-def adapted(df: DataFrame, raw: str) -> DataFrame:
-    """df with ``envelope`` (JSON text) and ``audit`` (map of counts): parts and keys under their usual names.
-
-    Top-level cells fill in what grid cells of the same unique id lack; relations without a type get it from the roles of their ends;
-    edges whose spellings contradict each other are left out and counted.
-    """
-    roles = {"regions": "region", "widgets": "widget", "line_item_groups": "line_item_group", "local_grids": "grid", "cells": "cell"}
-
-    def pick(item: dict, names) -> tuple[object, bool]:
-        said = [item[n] for n in names if item.get(n) is not None]
-        return (said[0] if said else None), any(x != said[0] for x in said)
-
-    def kind(s: str, t: str) -> str:
-        return next((n for a, b, n in ROLE_TYPES if (a is None or a == s) and (b is None or b == t)), f"{s}-to-{t}")
-
-    def kernel(text):
-        value, audit = json.loads(text), {}
-        out = {part: next((list(value[n]) for n in names if isinstance(value.get(n), list)), []) for part, names in PARTS.items()}
-        role = {}
-        for part, items in out.items():
-            for item in (i for i in items if isinstance(i, dict)):
-                for key in ("bbox", "row", "col"):
-                    v, _ = pick(item, KEYS[key])
-                    for n in KEYS[key][1:]:
-                        item.pop(n, None)
-                    if v is not None:
-                        item[key] = v
-                if "id" in item and part in roles:
-                    role[item["id"]] = item["type"] if part == "regions" and item.get("type") in ("key", "value", "section", "line_item_group") else roles[part]
-        ids = [c.get("id") for c in out["cells"]]
-        extra = {c["id"]: c for c in out["cells"] if c.get("id") is not None and ids.count(c["id"]) == 1}
-        for g in out["local_grids"]:
-            for c in g.get("cells", []):
-                for k, v in extra.get(c.get("id"), {}).items():
-                    if c.get(k) is None:
-                        c[k] = v
-                        audit["filled"] = audit.get("filled", 0) + 1
-        kept = []
-        for e in out["relations"]:
-            (s, bad1), (t, bad2), (k, bad3) = (pick(e, KEYS[n]) for n in ("source", "target", "type"))
-            if bad1 or bad2 or bad3:
-                audit["conflict"] = audit.get("conflict", 0) + 1
-            elif s is None or t is None or k is None and (s not in role or t not in role):
-                audit["unresolved"] = audit.get("unresolved", 0) + 1
-            else:
-                audit["inferred"] = audit.get("inferred", 0) + (k is None)
-                kept.append({"source": s, "target": t, "type": k or kind(role[s], role[t])})
-        out["relations"] = kept
-        out["answer"] = value.get("answer")
-        return json.dumps(out, sort_keys=True, separators=(",", ":")), list({k: v for k, v in audit.items() if v}.items())
-
-    return rowwise(df, [raw], {"envelope": "string", "audit": "map<string,int>"}, kernel)

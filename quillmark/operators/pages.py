@@ -45,9 +45,11 @@ def _parsed(text: str | None):
 
 
 def value_similarity(df: DataFrame, truth: str, raw: str, out: str = "value_ned") -> DataFrame:
-    """Best assignment of answer values by edit similarity; 0 for a missing or invalid prediction."""
+    """Best assignment of answer values by edit similarity; 0 for a missing or invalid prediction. Equal texts of an object need no kernel."""
 
     def kernel(t, r):
+        if t == r and r is not None and r[:1] == "{" and _parsed(r) is not None:
+            return (1.0,)
         said = _parsed(r)
         if said is None:
             return (0.0,)
@@ -126,12 +128,36 @@ def table_cells(df: DataFrame, page: str) -> DataFrame:
     return cells.select(*[c for c in df.columns if c != page], F.explode("__c").alias("c")).select("*", "c.*").drop("c")
 
 
+REGION = "struct<kind:string,x1:double,y1:double,x2:double,y2:double,content:string>"
+
+
+def ocr_pages(df: DataFrame, text: str) -> DataFrame:
+    """df with regions array<REGION> and lines array<string> of OCR output."""
+    names = ("kind", "x1", "y1", "x2", "y2", "content")
+
+    def kernel(t):
+        regions, lines = D.ocr_page(t)
+        return [dict(zip(names, (k, *b, c), strict=True)) for k, b, c in regions], lines
+
+    return rowwise(df, [text], {"regions": f"array<{REGION}>", "lines": "array<string>"}, kernel)
+
+
 def ocr_regions(df: DataFrame, text: str) -> DataFrame:
     """A row for each region of OCR output: kind, x1, y1, x2, y2, text."""
-    kind = "struct<kind:string,x1:double,y1:double,x2:double,y2:double,content:string>"
-    names = ("kind", "x1", "y1", "x2", "y2", "content")
-    found = rowwise(df, [text], {"__r": f"array<{kind}>"}, lambda t: ([dict(zip(names, r, strict=True)) for r in D.ocr_regions(t)],))
-    return found.select(*[c for c in df.columns if c != text], F.explode("__r").alias("r")).select("*", "r.*").drop("r")
+    found = ocr_pages(df.withColumnRenamed(text, "__t"), "__t")
+    return found.select(*[c for c in df.columns if c != text], F.explode("regions").alias("r")).select("*", "r.*").drop("r")
+
+
+def ungrounded(df: DataFrame, text: str, out: str = "plain") -> DataFrame:
+    """df with the texts that grounding tags refer to."""
+    return rowwise(df, [text], {out: "string"}, lambda t: (D.without_grounding(t),))
+
+
+def pipeline_pages(df: DataFrame, text: str) -> DataFrame:
+    """df with regions, lines, cells and rows of a layout pipeline's JSON."""
+    region = "struct<id:string,kind:string,box:array<double>,text:string,label:string>"
+    kernel = lambda t: tuple((found := D.pipeline_page(t))[k] for k in ("regions", "lines", "cells", "rows"))
+    return rowwise(df, [text], {"regions": f"array<{region}>", "lines": "array<string>", "cells": "array<string>", "rows": "array<string>"}, kernel)
 
 
 def repeated_members(df: DataFrame, text: str) -> DataFrame:
@@ -141,4 +167,12 @@ def repeated_members(df: DataFrame, text: str) -> DataFrame:
 
 
 def hashed_answers(df: DataFrame, text: str, out: str = "answer_hash") -> DataFrame:
-    return rowwise(df, [text], {out: "string"}, lambda t: (None if t is None else D.canonical_hash(json.loads(t)),))
+    """Hash of the canonical form of JSON texts; null for a text that isn't JSON."""
+
+    def kernel(t):
+        try:
+            return (D.canonical_hash(json.loads(t)),)
+        except (TypeError, ValueError, RecursionError):
+            return (None,)
+
+    return rowwise(df, [text], {out: "string"}, kernel)

@@ -44,9 +44,14 @@ def shifted_region(own: Column, others: Column, steps: int = 4, least: float = 0
 
 
 def reshaped_grid(cells: Column) -> Column:
-    """All cells in one row, or in one column if they are in one row already."""
-    one_row = F.array_max(F.transform(cells, lambda c: c["r"])) == 0
-    return F.transform(cells, lambda c, i: F.struct(F.when(one_row, i).otherwise(0).cast("int").alias("r"), F.when(one_row, 0).otherwise(i).cast("int").alias("c"), F.lit(1).alias("h"), F.lit(1).alias("w")))
+    """All cells in one column if the grid is at least as wide as high, in one row else, and the other way round if that is how they stand; null if there is no other shape."""
+    extent = lambda at, size: F.array_max(F.transform(cells, lambda c: c[at] + c[size]))
+    place = lambda r, c, h, w: F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"), h.cast("int").alias("h"), w.cast("int").alias("w"))
+    now = F.transform(cells, lambda c: place(c["r"], c["c"], c["h"], c["w"]))
+    column, row = (F.transform(cells, lambda _, i, down=down: place(i if down else F.lit(0), F.lit(0) if down else i, F.lit(1), F.lit(1))) for down in (True, False))
+    wide = extent("c", "w") >= extent("r", "h")
+    first, second = F.when(wide, column).otherwise(row), F.when(wide, row).otherwise(column)
+    return F.when(F.size(cells) > 1, F.when(first != now, first).when(second != now, second))
 
 
 def wrong_relation(source: Column, target: Column, kind: Column, kinds: list[str], reverse: Column) -> Column:

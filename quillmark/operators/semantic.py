@@ -32,16 +32,19 @@ def paired(index: DataFrame, models: DataFrame, predictions: DataFrame) -> DataF
 
 
 @lru_cache(256)
-def _gold(truth: str, widgets: frozenset) -> tuple:
+def _gold(truth: str | None, widgets: frozenset) -> tuple:
     """A page's truth, read once for the models that follow one another."""
-    whole = D.tidy(D.unwrapped(json.loads(truth)))
+    try:
+        whole = D.tidy(D.unwrapped(json.loads(truth)))
+    except (TypeError, ValueError):  # a truth that is missing or no JSON has nothing to score
+        whole = {}
     gold = D.leaves(whole)
     tokens = Counter(t for t in map(D.token, gold.values()) if t)
     chosen = [p for p in gold if p in widgets]
     return whole, gold, tokens, chosen, (len(gold), 0, 0, sum(tokens.values()), 0, len(chosen))
 
 
-def page_counts(truth: str, raw: str | None, widgets: frozenset = frozenset()) -> tuple:
+def page_counts(truth: str | None, raw: str | None, widgets: frozenset = frozenset()) -> tuple:
     """(status, exact, *COUNTS) of one page."""
     whole, gold, tokens, chosen, base = _gold(truth, widgets)
     if raw is None:

@@ -2,45 +2,67 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import kernels as K
-from quillmark.functions.boxes import f1
+from quillmark.functions.boxes import f1, iou
+from quillmark.functions.structures import COMPATIBLE
+from quillmark.functions.text import let
+
 
-#: Categories of the truth that a predicted type may stand for.
-COMPATIBLE = {"text": ("label", "value"), "table": ("table", "group"), "label": ("label",), "value": ("value",), "group": ("group",), "section": ("section",)}
+def overlaps(truth: str, predicted: str, least: float, typed: bool = True) -> Column:
+    """array<struct<i, j, s>>: predicted region i and true region j whose categories fit and whose boxes overlap by s, at least ``least``."""
+    fits = lambda p, g: reduce(lambda a, b: a | b, [(p["kind"] == k) & g["kind"].isin(*kinds) for k, kinds in COMPATIBLE.items() if kinds]) if typed else F.lit(True)
+    edge = lambda p, i, g, j: F.when(fits(p, g), let(iou(p["box"], g["box"]), lambda s: F.when(s >= least, F.struct(i.alias("i"), j.alias("j"), s.alias("s")))))
+    each = F.transform(predicted, lambda p, i: F.transform(truth, lambda g, j: edge(p, i, g, j)))
+    return F.coalesce(F.filter(F.flatten(each), lambda e: e.isNotNull()), F.array().cast("array<struct<i:int,j:int,s:double>>"))
 
 
 def region_matches(df: DataFrame, truth: str, predicted: str, thresholds: tuple[float, ...] = (0.5, 0.75), keys: tuple[str, ...] = ("model", "sample_id"), typed: bool = True) -> DataFrame:
     """keys, n_pred, n_gt and tp_<threshold in hundredths>: largest matchings of compatible regions whose boxes overlap enough.
 
     Both columns hold array<struct<kind, box struct<x1, y1, x2, y2>>>; a predicted region without a box still counts as predicted.
+    Overlaps are computed in the plan and only their numbers go to Python, where pages without a choice are counted and the others matched.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     names = [*keys, "n_pred", "n_gt", *[f"tp_{round(100 * t)}" for t in thresholds]]
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + ", ".join(f"{c} long" for c in names[len(keys) :])
-    flat = lambda b: [b["x1"], b["y1"], b["x2"], b["y2"]] if b else None
-
-    def count(gold: list[dict], said: list[dict]) -> tuple[int, ...]:
-        overlap = [[K.box_overlap(flat(p["box"]), flat(g["box"])) if not typed or g["kind"] in COMPATIBLE.get(p["kind"], ()) else 0.0 for g in gold] for p in said]
-        return len(said), len(gold), *(K.matching_size([[j for j, s in enumerate(row) if s >= t] for row in overlap]) for t in thresholds)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+
+    def matched(rows: int, row: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Size of the largest matching of each row's edges."""
+        out = np.bincount(row, minlength=rows)
+        for side in (i, j):
+            pair = row.astype(np.int64) << 32 | side
+            _, back, times = np.unique(pair, return_inverse=True, return_counts=True)
+            for r in np.unique(row[times[back] > 1]).tolist():
+                at = np.flatnonzero(row == r)
+                own: dict[int, list[int]] = {}
+                for x, y in zip(i[at].tolist(), j[at].tolist(), strict=True):
+                    own.setdefault(x, []).append(y)
+                out[r] = K.matching_size(list(own.values()))
+        return out
 
     def run(batches):
         n = len(keys)
         for b in batches:
-            rows = [count(g or [], p or []) for g, p in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * (2 + len(thresholds))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(c, pa.int64()) for c in cols)], names=names)
+            edges = b.column(n + 2)
+            row = np.repeat(np.arange(len(edges)), np.diff(edges.offsets.to_numpy()))
+            flat = edges.flatten()
+            i, j, s = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            found = [matched(len(edges), row[s >= t], i[s >= t], j[s >= t]) for t in thresholds]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n + 2)), *(pa.array(f, pa.int64()) for f in found)], names=names)
 
-    return df.select(*keys, truth, predicted).mapInArrow(run, schema)
+    return df.select(*keys, size(predicted).alias("n_pred"), size(truth).alias("n_gt"), overlaps(truth, predicted, min(thresholds), typed).alias("edges")).mapInArrow(run, schema)
 
 
 def deduplicated(regions: Column, kind: str = "region", other: str = "section", least: float = 0.9) -> Column:
     """Regions of one kind go where they nearly coincide with one of the other kind."""
-    from quillmark.functions.boxes import iou
-
     return F.filter(regions, lambda r: ~((r["kind"] == kind) & F.exists(regions, lambda s: (s["kind"] == other) & (iou(r["box"], s["box"]) >= least))))
 
 

@@ -9,7 +9,7 @@ from quillmark.functions.hashing import chosen
 from quillmark.operators import distributions as Q
 from quillmark.operators import pages as P
 from quillmark.operators import perturb as T
-from quillmark.operators import semantic as S
+from quillmark.plans.predictions import values
 from quillmark.plans.semantic import page_metrics
 from quillmark.sources import derived as X
 from quillmark.sources.derived import _u
@@ -20,8 +20,7 @@ def _with_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_ned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = S.paired(X.answers(spark, sf_dir), X.models(spark), X.predictions(spark, sf_dir))
-    return P.value_similarity(pages, "answer_json", "raw_text").groupBy("model").agg(F.count("*").alias("n_pages"), F.round(F.avg("value_ned"), 6).alias("value_ned"))
+    return P.value_similarity(X.page_pairs(spark, sf_dir), "answer_json", "raw_text").groupBy("model").agg(F.count("*").alias("n_pages"), F.round(F.avg("value_ned"), 6).alias("value_ned"))
 
 
 def schema_nted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +89,11 @@ RESPONSES = [
     ('{"a": 1', False, "invalid_json", None),
     ("nothing", False, "no_json", None),
     ("", False, "no_json", None),
+    ('<THINK>x</THINK>a <think> {"a": {"b": "\\\\\\"}"}} ]', True, None, '{"a":{"b":"\\\\\\"}"}}'),
+    ('[1, {"a": ]} , 2] {}', False, "invalid_json", None),
 ]
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
-
-
 def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed responses, and all conversation texts as one line of counts."""
     own = P.responses(spark.createDataFrame([(str(i), r[0]) for i, r in enumerate(RESPONSES)], "id string, text string"), "text").select("id", "ok", "error", "json", F.lit(1).cast("long").alias("n"))
@@ -105,8 +101,9 @@ def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(rest.select(F.lit("conversations").alias("id"), "ok", "error", F.lit(None).cast("string").alias("json"), "n"))
 
 
-TABLES = ["<table><tr><th>A</th><th>B &amp; C</th></tr><tr><td>1<br>2</td><td> x  y </td></tr></table>", "<table><tr><td>open<td>cell</table><p>out</p>", "<p>none</p>"]
-TABLE_CELLS = [(0, 0, 0, "A"), (0, 0, 1, "B & C"), (0, 1, 0, "1 2"), (0, 1, 1, "x y"), (1, 0, 0, "open"), (1, 0, 1, "cell")]
+TABLES = ["<table><tr><th>A</th><th>B &amp; C</th><th> </th></tr><tr><td>1<br>2</td><td> x  y </td></tr><tr><td></td></tr></table>", "<table><tr><td>open<td>- cell</table><p>in</p>", "<p>none</p>", "<td># free</td></tr><tr><td>next</td>"]
+#: Empty cells and rows are left out, a break is a line, marks of headings and lists go, an unclosed cell goes on to the end.
+TABLE_CELLS = [(0, 0, 0, "A"), (0, 0, 1, "B & C"), (0, 1, 0, "1\n2"), (0, 1, 1, "x y"), (1, 0, 0, "open"), (1, 0, 1, "cellin"), (3, 0, 0, "free"), (3, 1, 0, "next")]
 
 
 def html_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +112,41 @@ def html_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(P.table_cells(X.table(spark, sf_dir, "pages").select(F.col("page_id").cast("int").alias("id"), "html"), "html"))
 
 
-OCR = "title[[10, 20, 300, 60]]\n# Order  &amp; form\n\ntext[[10,80,200,110]] first\nsecond line\ntable[[1,2,3,4]]"
-OCR_ROWS = [("title", 10.0, 20.0, 300.0, 60.0, "Order & form"), ("text", 10.0, 80.0, 200.0, 110.0, "first second line"), ("table", 1.0, 2.0, 3.0, 4.0, "")]
+OCR = "\n".join(["title[[10, 20, 300, 60]]", "# Order  &amp; form", "", "text[[10,80,200,110]]", "", "Name: x", "plain", "text[[1,2,3,4]]", "table[[5,6,7,8]]", "after", "sub_title[[1,2,x,4]]", "- list", "text[[1,2,3,9]]", "list", "<|det|>image [1, 2, 3, 4]<|/det|> in line", "text[[9,9,9,9]]"])
+#: A mark takes the next line that isn't empty, even if it is a mark; a mark without four numbers gives no region; equal lines are listed once.
+OCR_ROWS = [("title", 10.0, 20.0, 300.0, 60.0, "Order  & form"), ("field", 10.0, 80.0, 200.0, 110.0, "Name: x"), ("text", 1.0, 2.0, 3.0, 9.0, "list"), ("text", 1.0, 2.0, 3.0, 4.0, "in line")]
 
 
 def ocr_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ocr_regions(spark.createDataFrame([(OCR,)], "text string"), "text")
 
 
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of OCR output in order; what is left of grounded texts."""
+    lines = P.ocr_pages(spark.createDataFrame([(OCR,)], "t string"), "t").select(F.array_join("lines", "|").alias("text"))
+    return lines.union(P.ungrounded(spark.createDataFrame([(t,) for t in GROUNDED], "t string"), "t").select("plain"))
+
+
+GROUNDED = ["a<|ref|> # One <|/ref|><|det|>[[1,2,3,4]]<|/det|><|ref|>Two<|/ref|>", "x <|det|>1\n2<|/det|>y<|ref|> ", None]
+LINE_TEXTS = ["Order  & form|Name: x|plain|after|list|in line", "One\nTwo", "x y", ""]
+
+PIPELINE = """{"pages": [{"res": {"parsing_res_list": [
+  {"block_content": "# Title", "block_label": "doc_title", "block_bbox": [0, 0, 10, 2], "block_id": 7},
+  {"content": "<table><tr><td>a</td><td>b</td></tr></table>", "label": "table", "bbox": [0, 10, 10, 2]},
+  {"content": "Sum: 3\\nSum: 3", "poly": [0, 20, 10, 20, 10, 30, 0, 30]}, "odd", {"content": "lost"}],
+  "layout_det_res": {"boxes": [{"coordinate": [0, 0, 10, 2], "label": "DOC_TITLE"}, {"coordinate": [[1, 1], [2, 5]], "label": "seal"}, {"coordinate": [1]}]}}}, 5]}"""
+
+
+def pipeline_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, lines and table rows of a layout pipeline's pages; a text that isn't JSON has none."""
+    p = P.pipeline_pages(spark.createDataFrame([("page", PIPELINE), ("broken", "{"), ("null", None)], "page string, t string"), "t")
+    regions = F.array_join(F.transform("regions", lambda r: F.concat_ws(" ", r["id"], r["kind"], r["label"], F.array_join(F.transform(r["box"], lambda v: v.cast("int").cast("string")), ","))), "|")
+    return p.select("page", regions.alias("regions"), F.array_join("lines", "|").alias("lines"), F.array_join("cells", "|").alias("cells"), F.array_join("rows", "/").alias("rows"))
+
+
+PIPELINE_ROWS = [("page", "7 title doc_title 0,0,10,2|r2 table table 0,2,10,10|r3 field text 0,20,10,30|det1_2 seal seal 1,1,2,5", "Title|a | b|Sum: 3|lost", "a|b", "a | b"), ("broken", "", "", "", ""), ("null", "", "", "", "")]
+
+
 def perturbation_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Altered values at three severities: drop of field accuracy in points, over templates, and the injected share."""
     held = X.with_items(spark, sf_dir)
@@ -149,14 +173,16 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.bootstrap(page_metrics(spark, sf_dir), ["model"], "template_name", "tsr_path")
 
 
-QUERIES = {f.__name__: f for f in (value_ned, schema_nted, grits_top, widget_group_f1, greedy_align, response_parse, html_table_text, ocr_markdown, perturbation_response, cluster_bootstrap)}
+QUERIES = {f.__name__: f for f in (value_ned, schema_nted, grits_top, widget_group_f1, greedy_align, response_parse, html_table_text, ocr_markdown, ocr_lines, pipeline_pages, perturbation_response, cluster_bootstrap)}
 SQL = {
     "schema_nted": SHAPE_SQL,
     "grits_top": GRID_SQL,
     "widget_group_f1": WIDGET_SQL,
     "greedy_align": ALIGN_SQL,
-    "response_parse": _values([(str(i), ok, e, j, 1) for i, (_, ok, e, j) in enumerate(RESPONSES)], "id, ok, error, json, n") + " UNION ALL SELECT 'conversations', false, 'no_json', NULL, count(*) FROM conversations",
-    "html_table_text": _values(TABLE_CELLS, 'id, "row", "col", "text"'),
-    "ocr_markdown": _values(OCR_ROWS, "kind, x1, y1, x2, y2, content"),
+    "response_parse": values([(str(i), ok, e, j, 1) for i, (_, ok, e, j) in enumerate(RESPONSES)], "id, ok, error, json, n") + " UNION ALL SELECT 'conversations', false, 'no_json', NULL, count(*) FROM conversations",
+    "html_table_text": values(TABLE_CELLS, 'id, "row", "col", "text"'),
+    "ocr_lines": values([(t,) for t in LINE_TEXTS], "text"),
+    "pipeline_pages": values(PIPELINE_ROWS, "page, regions, lines, cells, rows"),
+    "ocr_markdown": values(OCR_ROWS, "kind, x1, y1, x2, y2, content"),
     "perturbation_response": RESPONSE_SQL,
 }

@@ -83,19 +83,6 @@ def field_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.array_join("path", "/").alias("path"), "ambiguous")
 
 
-def relation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roles = [(s, t) for s in ("key", "value", "section", "widget", "line_item_group") for t in ("key", "value", "widget", "line_item_group")]
-    return spark.createDataFrame(roles, "source string, target string").withColumn("type", L.relation_type(F.col("source"), F.col("target")))
-
-
-def widget_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as widgets whose evidence differs: said, flagged, marked or written."""
-    line = X.table(spark, sf_dir, "lineitem")
-    n = F.col("l_linenumber") % 4
-    s = L.widget_state(F.when(n == 0, F.when(F.col("l_returnflag") == "A", "Checked").otherwise("off")), F.when(n == 1, F.col("l_linestatus") == "O"), F.when(n == 2, F.when(F.col("l_tax") > 0.04, "x").otherwise(" ")), F.when(n == 3, F.when(F.col("l_discount") > 0.05, F.col("l_returnflag"))))
-    return line.select(s.alias("state"), L.truthy(F.col("l_returnflag")).alias("yes")).groupBy("state").agg(F.count("*").alias("n"), F.count_if("yes").alias("n_yes"))
-
-
 def text_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of parts by brand: which way most are longer."""
     p = X.table(spark, sf_dir, "part").select("p_brand", B.box(F.lit(0.0), F.lit(0.0), F.col("p_size").cast("double"), F.pmod("p_partkey", F.lit(50)) + 1.0).alias("box"))
@@ -164,29 +151,16 @@ def dedup_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("template_name").agg(F.sum("n").alias("n_rows"), F.sum("kept").alias("n_kept"))
 
 
-LEGACY = [
-    ('{"region_boxes":[{"id":"a","type":"key","box":[0,0,1,1]},{"id":"b","type":"value"}],"edges":[{"from":"a","to":"b"},{"u":"a","v":"b","r":"key-value"},{"source":"a","from":"b","target":"b"},{"source":"a","target":"zz"}]}',
-     '{"answer":null,"cells":[],"line_item_groups":[],"local_grids":[],"regions":[{"bbox":[0,0,1,1],"id":"a","type":"key"},{"id":"b","type":"value"}],"relations":[{"source":"a","target":"b","type":"key-value"},{"source":"a","target":"b","type":"key-value"}],"widget_groups":[],"widgets":[]}', 1, 1, 1),
-    ('{"grids":[{"id":"g","cells":[{"id":"c"}]}],"cells":[{"id":"c","row_index":2,"column":1}],"answer":{"x":1}}',
-     '{"answer":{"x":1},"cells":[{"col":1,"id":"c","row":2}],"line_item_groups":[],"local_grids":[{"cells":[{"col":1,"id":"c","row":2}],"id":"g"}],"regions":[],"relations":[],"widget_groups":[],"widgets":[]}', None, None, None),
-]
-
-
-def legacy_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = L.adapted(spark.createDataFrame([(r[0],) for r in LEGACY], "raw string"), "raw")
-    return a.select("envelope", *[F.col("audit")[k].alias(k) for k in ("conflict", "unresolved", "inferred")])
-
-
 def layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layout for each nation: fields are its segments with values of its customers; elements by kind."""
     c = X.table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("boxes"))
     value = lambda kind: F.struct(F.lit(kind).alias("data_type"))
-    field = F.struct(F.col("c_mktsegment").alias("semantic_key"), F.concat(F.transform(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(3))), lambda i: value("text")), F.array(value("checkbox"))).alias("values"), F.array(F.struct(F.lit("sub").alias("semantic_key"))).alias("keys"))
+    field = F.struct(F.col("c_mktsegment").alias("semantic_key"), F.concat(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: value("text")), F.array(value("checkbox"))).alias("values"), F.array(F.struct(F.lit("sub").alias("semantic_key"))).alias("keys"))
     layouts = c.groupBy("c_nationkey").agg(F.to_json(F.struct(F.sort_array(F.collect_list(field)).alias("fields"))).alias("layout"))
     return L.layout_elements(layouts, "layout").groupBy("c_nationkey", "element", "kind", "depth").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (grid_inference, implicit_cells, tiled_grids, cell_components, smallest_parents, recovered_parents, annotation_fold, field_paths, relation_types, widget_states, text_orientation, graph_statistics, geometry_features, page_occupancy, degraded_index, inherited_spaces, attempts, latest_error, meta_summary, dedup_regions, legacy_adapter, layout_elements)}
+QUERIES = {f.__name__: f for f in (grid_inference, implicit_cells, tiled_grids, cell_components, smallest_parents, recovered_parents, annotation_fold, field_paths, text_orientation, graph_statistics, geometry_features, page_occupancy, degraded_index, inherited_spaces, attempts, latest_error, meta_summary, dedup_regions, layout_elements)}
 SQL = {
     "grid_inference": f"{ROWS}, g AS (SELECT template_name, dense_rank() OVER (PARTITION BY sample_id ORDER BY l_linenumber) - 1 AS r, dense_rank() OVER (PARTITION BY sample_id ORDER BY l_quantity * 10 + 20) - 1 AS c FROM rw) SELECT template_name, count(*) AS n, sum(r)::BIGINT AS r, sum(c)::BIGINT AS c, max(r)::INT AS last_r, max(c)::INT AS last_c FROM g GROUP BY 1",
     "implicit_cells": f"{ROWS}, b AS (SELECT sample_id, max(k) AS m, count(*) AS n FROM rw WHERE NOT gone GROUP BY 1), g AS (SELECT rw.sample_id, min(k) AS f FROM rw JOIN b USING (sample_id) WHERE gone AND k < m GROUP BY 1) SELECT sample_id, 2 * (m + 1 - n) AS n_missing, f::INT AS first_row FROM b JOIN g USING (sample_id)",
@@ -196,8 +170,6 @@ SQL = {
     "recovered_parents": f"{ROWS}, m AS (SELECT sample_id, max(k) * 50 + 35 AS y FROM rw GROUP BY 1) SELECT 'page' AS region, count(*) AS n FROM m WHERE y > 200 AND y <= 500",
     "annotation_fold": "SELECT user_id, arg_max(round(value, 4), event_id) FILTER (event_type = 'view') AS view, arg_max(round(value, 4), event_id) FILTER (event_type = 'click') AS click, arg_max(round(value, 4), event_id) FILTER (event_type = 'error') AS error FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY 1",
     "field_paths": "WITH p AS (SELECT 'r' || r_regionkey AS id, r_name AS path FROM region UNION ALL SELECT 'n' || n_nationkey, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'c' || c_custkey, r_name || '/' || n_name || '/' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT *, count(*) OVER (PARTITION BY path) > 1 AS ambiguous FROM p",
-    "relation_types": "SELECT s AS source, t AS target, CASE WHEN t = 'widget' THEN 'field-widget' WHEN s = 'key' AND t = 'key' THEN 'parent-child' WHEN s = 'key' AND t = 'value' THEN 'key-value' WHEN s = 'section' THEN 'section-membership' WHEN s = 'line_item_group' OR t = 'line_item_group' THEN 'line-item-membership' ELSE s || '-to-' || t END AS type FROM (SELECT unnest(['key', 'value', 'section', 'widget', 'line_item_group']) AS s) CROSS JOIN (SELECT unnest(['key', 'value', 'widget', 'line_item_group']) AS t)",
-    "widget_states": "WITH s AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN CASE WHEN l_returnflag = 'A' THEN 'selected' ELSE 'unselected' END WHEN 1 THEN CASE WHEN l_linestatus = 'O' THEN 'selected' ELSE 'unselected' END WHEN 2 THEN CASE WHEN l_tax > 0.04 THEN 'selected' ELSE 'unselected' END ELSE CASE WHEN l_discount > 0.05 THEN 'filled' ELSE 'unknown' END END AS state FROM lineitem) SELECT state, count(*) AS n, count(*) AS n_yes FROM s GROUP BY 1",
     "text_orientation": "WITH v AS (SELECT p_brand, count(*) FILTER (p_size >= 1.35 * (p_partkey % 50 + 1)) AS horizontal, count(*) FILTER (p_partkey % 50 + 1 >= 1.35 * p_size) AS vertical FROM part GROUP BY 1) SELECT *, CASE WHEN vertical > horizontal THEN 'vertical' WHEN horizontal > 0 THEN 'horizontal' ELSE 'unknown' END AS orientation FROM v",
     "graph_statistics": "WITH g AS (SELECT n_name, count(*) AS links, count(DISTINCT c_mktsegment) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT n_name, links, round(links / s, 6) AS branching, links + s AS nodes, round(links / ((links + s) * (links + s - 1)), 8) AS density FROM g",
     "geometry_features": f"{ROWS} SELECT template_name, count(*) AS n_boxes, round(avg(l_quantity * 10), 4) AS width_mean, round(stddev_pop(l_quantity * 10), 4) AS width_deviation, round(avg(l_quantity * 350), 4) AS area_mean, round(sum(l_quantity * 350), 4) AS coverage FROM rw GROUP BY 1",
@@ -212,8 +184,7 @@ SQL = {
     "latest_error": "SELECT user_id, event_id, round(value, 4) AS value, props FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "meta_summary": "SELECT event_type, count(json_extract(props, '$.k')) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY 1",
     "dedup_regions": f"WITH {X.INDEX_SQL}, n AS (SELECT template_name, count(l_orderkey) AS n, count(*) FILTER (l_returnflag = 'A') AS a FROM pg LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT template_name, n AS n_rows, 2 * n - a AS n_kept FROM n",
-    "legacy_adapter": "SELECT * FROM (VALUES " + ", ".join(f"('{e}', {c or 'NULL'}, {u or 'NULL'}, {i or 'NULL'})" for _, e, c, u, i in LEGACY) + ") AS t(envelope, conflict, unresolved, inferred)",
-    "layout_elements": """WITH c AS (SELECT c_nationkey, c_mktsegment, least(count(*), 3) AS v FROM customer GROUP BY ALL), t AS (SELECT c_nationkey, count(*) AS f, sum(v)::BIGINT AS v FROM c GROUP BY 1)
+    "layout_elements": """WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS v FROM customer GROUP BY ALL), t AS (SELECT c_nationkey, count(*) AS f, sum(v)::BIGINT AS v FROM c GROUP BY 1)
         SELECT c_nationkey, 'region' AS element, 'key' AS kind, 0 AS depth, f AS n FROM t UNION ALL SELECT c_nationkey, 'region', 'key', 1, f FROM t UNION ALL SELECT c_nationkey, 'region', 'text', 1, v FROM t UNION ALL SELECT c_nationkey, 'widget', 'checkbox', 1, f FROM t
         UNION ALL SELECT c_nationkey, 'relation', 'key-value', 0, v + f FROM t UNION ALL SELECT c_nationkey, 'relation', 'parent-child', 0, f FROM t""",
 }

@@ -13,8 +13,7 @@ WIDGETS = frozenset({("order", "status"), ("order", "priority")})
 
 def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact: model, sample_id, template_name, counts and metrics."""
-    pages = S.paired(X.answers(spark, sf_dir), X.models(spark), X.predictions(spark, sf_dir))
-    return S.with_metrics(S.score(pages, widgets=WIDGETS))
+    return S.with_metrics(S.score(X.page_pairs(spark, sf_dir), widgets=WIDGETS))
 
 
 def _mean(name: str, metric: str):
@@ -35,7 +34,8 @@ def page_em_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by status, and each model's kind of run: comparable if all pages were tried and enough are valid."""
-    facts = page_metrics(spark, sf_dir)
+    pages = S.paired(X.answers(spark, sf_dir), X.models(spark), X.predictions(spark, sf_dir))
+    facts = S.with_metrics(S.score(pages, widgets=WIDGETS))
     runs = facts.groupBy("model").agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "invalid_json", "missing_prediction")], F.count("*").alias("n_total"))
     enough = F.col("n_ok") >= F.least(F.lit(5000), F.col("n_total"))
     kind = F.when(F.lower("model").contains("smoke"), "smoke").when(F.lower("model").contains("aligned"), "aligned_diagnostic").when(F.col("n_ok") == 0, "failed").when((F.col("n_missing_prediction") == 0) & enough, "comparable_raw").otherwise("partial_raw")

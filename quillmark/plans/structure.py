@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import boxes as B
 from quillmark.functions.hashing import chosen, code, mark
+from quillmark.functions.text import let
 from quillmark.operators import structure as S
 from quillmark.sources import derived as X
 from quillmark.sources.derived import _u
@@ -23,17 +26,15 @@ def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda x, i, dx: B.box(F.lit(20.0) + dx, i * 50.0, F.lit(20.0) + dx + x["l_quantity"] * 10, i * 50.0 + 35)
 
     def shift(i: Column) -> Column:
-        u = code("box", F.col("model"), F.col("sample_id"), i.cast("string"))
-        out = F.lit(float(SHIFTS[3]))
-        for q in (2, 1, 0):
-            out = F.when(u < F.lit(mark((q + 1) * QUARTER)), float(SHIFTS[q])).otherwise(out)
-        return out
+        quarter = lambda u: reduce(lambda out, q: F.when(u < F.lit(mark((q + 1) * QUARTER)), float(SHIFTS[q])).otherwise(out), (2, 1, 0), F.lit(float(SHIFTS[3])))
+        return let(code("box", F.col("model"), F.col("sample_id"), i.cast("string")), quarter)
 
+    moved = lambda x, i: let(shift(i), lambda dx: box(x, i, dx))
     guess = lambda x, i: F.when(chosen(WRONG, "type", F.col("model"), F.col("sample_id"), i.cast("string")), "figure").when(x["l_returnflag"] == "R", "table").otherwise("text")
     return held.select(
         "model", "sample_id", "template_name",
         F.transform("items", lambda x, i: F.struct(kind(x).alias("kind"), box(x, i, F.lit(0.0)).alias("box"))).alias("truth"),
-        F.transform("items", lambda x, i: F.struct(guess(x, i).alias("kind"), box(x, i, shift(i)).alias("box"))).alias("predicted"),
+        F.transform("items", lambda x, i: F.struct(guess(x, i).alias("kind"), moved(x, i).alias("box"))).alias("predicted"),
     )
 
 

@@ -63,14 +63,20 @@ def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m, mark(bound(s)), mark(bound(a)), mark(bound(a + b))) for m, (s, a, b) in MODELS.items()], "model string, severity string, missing string, bad string")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model, sample_id, raw_text: what each model returned; pages that it missed have no row."""
+def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, sample_id, template_name, answer_json, raw_text: every page of every model, derived in one pass; what a model missed is null."""
     each = with_items(spark, sf_dir).crossJoin(F.broadcast(models(spark)))
     hit = lambda path: chosen(F.col("severity"), F.col("model"), F.col("sample_id"), path)
     damaged = answer(lambda p, v: F.when(hit(p), F.concat(v, F.lit("~"))).otherwise(v), lambda p, v: F.when(hit(p), v + 1).otherwise(v))
     fate = code("page", F.col("model"), F.col("sample_id"))
-    whole = each.withColumn("fate", fate).where(F.col("fate") >= F.col("missing")).withColumn("j", F.to_json(damaged))
-    return whole.select("model", "sample_id", F.when(F.col("fate") < F.col("bad"), F.expr("substring(j, 1, length(j) - 1)")).otherwise(F.col("j")).alias("raw_text"))
+    whole = each.withColumn("fate", fate).withColumn("j", F.when(F.col("fate") >= F.col("missing"), F.to_json(damaged)))
+    raw = F.when(F.col("fate") < F.col("bad"), F.expr("substring(j, 1, length(j) - 1)")).otherwise(F.col("j"))
+    return whole.select("model", "sample_id", "template_name", F.to_json(answer()).alias("answer_json"), raw.alias("raw_text"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, sample_id, raw_text: what each model returned; pages that it missed have no row."""
+    return page_pairs(spark, sf_dir).select("model", "sample_id", "raw_text").where("raw_text is not null")
 
 
 def _u(text: str) -> str:

@@ -89,7 +89,7 @@ def test_levels_and_merging(spark):
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101)], "a long, b long")
-    got = {r.node: r.root for r in U.components(edges).collect()}
+    got = {r.node: r.root for r in U.components(edges, "a", "b").collect()}
     assert all(got[i] == 0 for i in range(1, n + 1)) and got[101] == 100
 
 
