@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.boxes import box, iou
 from quillmark.functions.hashing import chosen
+from quillmark.functions.text import let
 
 #: The opposite of a widget's state.
 FLIPPED = {"selected": "unselected", "unselected": "selected", "filled": "blank", "blank": "filled"}
@@ -34,13 +35,20 @@ def flipped_state(x: Column) -> Column:
 
 
 def shifted_region(own: Column, others: Column, steps: int = 4, least: float = 0.5) -> Column:
-    """The box moved by the smallest of (2 * steps + 1)**2 offsets of its own size after which it overlaps no other by ``least``; unmoved if there is none."""
-    offsets = F.flatten(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda i: F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda j: F.struct((F.abs(i) + F.abs(j)).alias("far"), i.alias("i"), j.alias("j")))))
-    wide, high = own["x2"] - own["x1"], own["y2"] - own["y1"]
-    moved = lambda o: box(own["x1"] + o["i"] * wide * 0.6, own["y1"] + o["j"] * high * 0.6, own["x2"] + o["i"] * wide * 0.6, own["y2"] + o["j"] * high * 0.6)
-    free = F.filter(offsets, lambda o: (o["far"] > 0) & ~F.exists(F.array_append(others, own), lambda b: iou(moved(o), b) >= least))
-    best = F.array_min(free)
-    return F.when(best.isNull(), own).otherwise(moved(best))
+    """The box moved by the smallest of (2 * steps + 1)**2 offsets of its own size after which it overlaps no other by ``least``; unmoved if there is none.
+
+    Offsets are tried ring by ring, so the near ones, which mostly do, are all that is looked at.
+    """
+
+    def tried(b: Column) -> Column:
+        wide, high = b["x2"] - b["x1"], b["y2"] - b["y1"]
+        moved = lambda i, j: box(b["x1"] + i * 0.6 * wide, b["y1"] + j * 0.6 * high, b["x2"] + i * 0.6 * wide, b["y2"] + j * 0.6 * high)
+        free = lambda m: ~F.exists(others, lambda o: iou(m, o) >= least) & (iou(m, b) < least)
+        rings = [[(i, j) for i in range(-steps, steps + 1) for j in range(-steps, steps + 1) if abs(i) + abs(j) == far] for far in range(1, 2 * steps + 1)]
+        first = lambda ring: F.get(F.filter(F.array(*[moved(i, j) for i, j in ring]), free), F.lit(0))
+        return F.coalesce(*map(first, rings), b)
+
+    return let(own, tried)
 
 
 def reshaped_grid(cells: Column) -> Column:
@@ -48,7 +56,8 @@ def reshaped_grid(cells: Column) -> Column:
     extent = lambda at, size: F.array_max(F.transform(cells, lambda c: c[at] + c[size]))
     place = lambda r, c, h, w: F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"), h.cast("int").alias("h"), w.cast("int").alias("w"))
     now = F.transform(cells, lambda c: place(c["r"], c["c"], c["h"], c["w"]))
-    column, row = (F.transform(cells, lambda _, i, down=down: place(i if down else F.lit(0), F.lit(0) if down else i, F.lit(1), F.lit(1))) for down in (True, False))
+    column = F.transform(cells, lambda _, i: place(i, F.lit(0), F.lit(1), F.lit(1)))
+    row = F.transform(cells, lambda _, i: place(F.lit(0), i, F.lit(1), F.lit(1)))
     wide = extent("c", "w") >= extent("r", "h")
     first, second = F.when(wide, column).otherwise(row), F.when(wide, row).otherwise(column)
     return F.when(F.size(cells) > 1, F.when(first != now, first).when(second != now, second))

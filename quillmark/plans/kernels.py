@@ -1,4 +1,4 @@
-"""Queries: per-page kernels, parsers, perturbation response and bootstrap intervals."""
+"""Queries: per-page kernels and parsers."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.hashing import chosen
-from quillmark.operators import distributions as Q
 from quillmark.operators import pages as P
 from quillmark.operators import perturb as T
 from quillmark.plans.predictions import values
-from quillmark.plans.semantic import page_metrics
 from quillmark.sources import derived as X
 from quillmark.sources.derived import _u
 
@@ -147,33 +145,7 @@ def pipeline_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIPELINE_ROWS = [("page", "7 title doc_title 0,0,10,2|r2 table table 0,2,10,10|r3 field text 0,20,10,30|det1_2 seal seal 1,1,2,5", "Title|a | b|Sum: 3|lost", "a|b", "a | b"), ("broken", "", "", "", ""), ("null", "", "", "", "")]
 
 
-def perturbation_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Altered values at three severities: drop of field accuracy in points, over templates, and the injected share."""
-    held = X.with_items(spark, sf_dir)
-    paths = F.concat(F.array(*[F.lit(p) for p in ("order/status", "order/priority", "customer/name", "customer/segment")]), F.transform("items", lambda x, i: F.concat(F.lit("items/"), i.cast("string"), F.lit("/flag"))))
-    pages = held.select("sample_id", "template_name", paths.alias("paths"), (F.size("items") * 3 + 6).alias("n_leaves"))
-    each = [pages.select("template_name", F.lit(s).alias("severity"), F.size("paths").alias("eligible"), F.size(F.filter("paths", _hit(s))).alias("injected"), "n_leaves") for s in (0.1, 0.25, 0.5)]
-    rows = each[0].union(each[1]).union(each[2]).select("*", F.lit(1.0).alias("clean"), (1 - F.col("injected") / F.col("n_leaves")).alias("corrupted"))
-    c = T.curves(rows, ["severity"])
-    return c.select("severity", "n_pages", F.round("drop", 6).alias("drop"), F.round("injected_share", 6).alias("injected_share"))
-
-
-def _hit(severity: float):
-    return lambda p: T.hit(severity, 11, "value", F.col("sample_id"), p)
-
-
-_RESPONSE = """SELECT {s}::DOUBLE AS severity, template_name, sample_id, count(*) AS leaves, count(s) AS e, count(*) FILTER (s IS NOT NULL AND {u} < {b}::HUGEINT) AS i FROM leaf GROUP BY ALL"""
-RESPONSE_SQL = f"""WITH {X.INDEX_SQL}, r AS ({" UNION ALL ".join(_RESPONSE.format(s=s, b=int(s * 2**64), u=_u("'11|value|' || sample_id || '|' || path")) for s in (0.1, 0.25, 0.5))}),
-m AS (SELECT severity, template_name, avg(100.0 * i / leaves) AS d, sum(i) AS i, sum(e) AS e, count(*) AS n FROM r GROUP BY ALL)
-SELECT severity, sum(n)::BIGINT AS n_pages, round(avg(d), 6) AS drop, round(sum(i) / sum(e), 6) AS injected_share FROM m GROUP BY severity"""
-
-
-def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean field accuracy over templates with an interval from resampled templates; a seeded generator, so rows only."""
-    return Q.bootstrap(page_metrics(spark, sf_dir), ["model"], "template_name", "tsr_path")
-
-
-QUERIES = {f.__name__: f for f in (value_ned, schema_nted, grits_top, widget_group_f1, greedy_align, response_parse, html_table_text, ocr_markdown, ocr_lines, pipeline_pages, perturbation_response, cluster_bootstrap)}
+QUERIES = {f.__name__: f for f in (value_ned, schema_nted, grits_top, widget_group_f1, greedy_align, response_parse, html_table_text, ocr_markdown, ocr_lines, pipeline_pages)}
 SQL = {
     "schema_nted": SHAPE_SQL,
     "grits_top": GRID_SQL,
@@ -184,5 +156,4 @@ SQL = {
     "ocr_lines": values([(t,) for t in LINE_TEXTS], "text"),
     "pipeline_pages": values(PIPELINE_ROWS, "page, regions, lines, cells, rows"),
     "ocr_markdown": values(OCR_ROWS, "kind, x1, y1, x2, y2, content"),
-    "perturbation_response": RESPONSE_SQL,
 }
