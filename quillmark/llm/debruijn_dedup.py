@@ -8,35 +8,33 @@ Windows are the graph's edges, from the node of their first WINDOW - 1 words to
 
 * edges in a row whose sources are also in a row are compacted into one path inside their document, and
   a path that runs over and over (a loop, as repeated lines make) into one path of several rounds;
-* each path is verified at its source's coordinates: a digest of the words there must be its own;
-* paths are compacted further through Spark joins: two paths that meet in a document at a node where
-  just one path ends and one begins, over all documents, become one. What remains are long repeated
-  spans; they, and only they, are removed.
+* each path is verified at its source's coordinates: a digest of the words there must be its own. The edges of a
+  path that fails are looked up one by one in all documents;
+* the verified sources tell all edges that enter and leave a node, of ends and insides of paths alike. Paths are
+  compacted further through Spark joins: two paths that meet in a document at a node without a branch become
+  one. What remains are long repeated spans of verified pieces; they, and only they, are removed.
 
 Words are what lies between ASCII white space, unchanged. Null texts have none; a text shorter than
 WINDOW words keeps all. Rows with equal id and text count as one document, each with the same result;
-rows of one id with different texts never count as earlier than each other. An empty table gives no rows.
+rows of one id with different texts never count as earlier than each other. An empty table gives no rows. Very long
+texts are worked on in chunks that overlap. Other columns are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
 
-import hashlib
-from itertools import pairwise
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import repeats as R
-from quillmark.llm.shared import cut, documents, tidy
+from quillmark.llm.shared import documents
 from quillmark.llm.suffix_dedup import covered
 
 WINDOW, GRAM = 13, 5
 RULE = R.Rule(WINDOW, GRAM, by_doc=True)
 #: Distinct words whose hashes a Python worker keeps.
 KNOWN = 1 << 18
-PATHS = "bucket int, doc long, tag long, start int, n int, once int, src_bucket int, src_doc long, src_start int, tail long, head long, digest binary"
 
 
 class Words(dict):
@@ -52,11 +50,14 @@ class Words(dict):
 _hashes = Words()
 
 
-def symbols(text: bytes) -> np.ndarray:
-    words = text.split()
+def symbols_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+def symbols(text: bytes) -> np.ndarray:
+    return symbols_of(text.split())
+
+
 def edges_of(words: np.ndarray, k: int = WINDOW) -> np.ndarray:
     """Hash of each k words in a row, whatever the length of ``words``."""
     out = [np.empty(0, np.uint64)]
@@ -66,7 +67,7 @@ def edges_of(words: np.ndarray, k: int = WINDOW) -> np.ndarray:
     return np.concatenate(out)
 
 
-def answer(buckets: int):
+def answer(buckets: int, rule: R.Rule):
     """The open records' edges, under the bucket of their hash."""
 
     def run(texts: list[bytes], cols: dict[str, np.ndarray]):
@@ -74,146 +75,68 @@ def answer(buckets: int):
         for doc, text in R.texts_of(texts):
             if (at := where.pop((doc, R.tagged(text)), None)) is None:
                 continue
-            h = edges_of(symbols(text))
+            h = edges_of(symbols(text)) >> np.uint64(64 - rule.bits)
             n = cols["n"][at].astype(np.int64)
             start = np.repeat(cols["start"][at].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             found.append({"edge": h[start], "doc": np.full(len(start), doc), "tag": np.full(len(start), cols["tag"][at.start]), "start": start, "n": np.ones(len(start), "<u1")})
         if not found:
             return []
         edges = {c: np.concatenate([x[c] for x in found]).astype(t) for c, t in R.KINDS[R.EDGE]}
-        order, first, late = R.earlier(edges, [edges["edge"]], RULE)
+        order, first, late = R.earlier(edges, [edges["edge"]], rule)
         marks, rest = R.full_marks(edges, order, first, late), R.take(edges, order[~late])
         return [*R.dealt(R.FULL, marks, R.spread(marks["doc"], buckets)), *R.dealt(R.EDGE, rest, R.spread(rest["edge"], buckets))]
 
     return run
 
 
-def repeated_edges(rows: DataFrame, buckets: int) -> DataFrame:
+def repeated_edges(rows: DataFrame, buckets: int, rule: R.Rule) -> DataFrame:
     def run(table: pa.Table):
         kinds = R.by_kind(table)
         edges = R.unpack(R.EDGE, kinds.get(R.EDGE, []))
-        marks = R.full_marks(edges, *R.earlier(edges, [edges["edge"]], RULE))
+        marks = R.full_marks(edges, *R.earlier(edges, [edges["edge"]], rule))
         yield from R.arrow([*R.passed(table.column("bucket")[0].as_py(), kinds), *R.dealt(R.FULL, marks, R.spread(marks["doc"], buckets))])
 
     return R.grouped(rows, run)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def digest_of(words: list[bytes], start: int, n: int) -> bytes:
-    return hashlib.blake2b(b" ".join(words[start : start + n - 1 + WINDOW]), digest_size=16).digest()
-
-
-def paths(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
-    """Rows of PATHS: runs of repeated edges of a document whose sources run alike."""
-    names = [c.split()[0] for c in PATHS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-
-    def run(key, left: pa.Table, right: pa.Table):
-        cols = R.unpack(R.FULL, R.by_kind(right).get(R.FULL, []))
-        where, out, done = R.by_document(cols), [], set()
-        with np.errstate(over="ignore"):
-            for doc, text in R.texts_of(R.by_kind(left).get(R.TEXTS, [])):
-                if (at := where.get(k := (doc, R.tagged(text)))) is None or k in done:
-                    continue
-                done.add(k)
-                words, nodes = text.split(), edges_of(symbols(text), WINDOW - 1)
-                start, n, src, src_start = (cols[c][at].astype(np.int64) for c in ("start", "n", "src_doc", "src_start"))
-                if (start[1:] < start[:-1] + n[:-1]).any():  # equal rows have marked the same windows more than once
-                    each = np.repeat(np.arange(len(n)), n)
-                    step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                    start, first = np.unique(start[each] + step, return_index=True)
-                    src, src_start, n = src[each][first], (src_start[each] + step)[first], np.ones(len(start), np.int64)
-                new = np.r_[True, (start[1:] != start[:-1] + n[:-1]) | (src[1:] != src[:-1]) | (src_start[1:] != src_start[:-1] + n[:-1])]
-                at = np.flatnonzero(new)
-                first, once, src, src_start = start[at], np.add.reduceat(n, at), src[at], src_start[at]
-                # A loop of the graph: the same path over and over. It is one path of that many rounds.
-                again = np.r_[False, (first[1:] == first[:-1] + once[:-1]) & (once[1:] == once[:-1]) & (src[1:] == src[:-1]) & (src_start[1:] == src_start[:-1])]
-                for i in np.flatnonzero(again).tolist():
-                    a, b = int(first[i - 1]), int(first[i])
-                    again[i] = words[a : a + int(once[i]) - 1 + WINDOW] == words[b : b + int(once[i]) - 1 + WINDOW]
-                begin = np.flatnonzero(~again)
-                rounds = np.diff(np.r_[begin, len(again)])
-                to = R.spread(src[begin], buckets)
-                for i, times, b in zip(begin.tolist(), rounds.tolist(), to.tolist(), strict=True):
-                    a, k1 = int(first[i]), int(once[i])
-                    total = k1 * times
-                    out.append((key[0].as_py(), doc, k[1], a, total, k1, b, int(src[i]), int(src_start[i]), _signed(int(nodes[a])), _signed(int(nodes[a + total])), digest_of(words, a, k1)))
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-    return texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(run, PATHS)
-
-
-SOURCE = ["src_doc", "src_start", "once", "digest"]
-
-
-def verified(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """The paths whose words stand at their source's coordinates. What very many copies ask of one source is asked once."""
-    asked = found.select("src_bucket", *SOURCE).distinct()
-
-    def run(key, left: pa.Table, right: pa.Table):
-        rows: dict[int, list[int]] = {}
-        for i, d in enumerate(right.column("src_doc").to_pylist()):
-            rows.setdefault(d, []).append(i)
-        start, n, digest = (right.column(c).to_pylist() for c in ("src_start", "once", "digest"))
-        true: set[int] = set()
-        for doc, text in R.texts_of(R.by_kind(left).get(R.TEXTS, [])) if rows else ():
-            if mine := rows.get(doc):
-                words = text.split()
-                true.update(i for i in mine if digest_of(words, start[i], n[i]) == digest[i])
-        tidy()
-        return right.select(SOURCE).take(pa.array(sorted(true), pa.int64()))
-
-    schema = "src_doc long, src_start int, once int, digest binary"
-    true = texts.groupBy("bucket").cogroup(asked.groupBy("src_bucket")).applyInArrow(run, schema)
-    return found.join(true, SOURCE, "left_semi")
-
-
-def compacted(found: DataFrame) -> DataFrame:
-    """(bucket, doc, tag, start, n) of spans: paths of a document that meet at a node without a branch become one."""
-    own = F.xxhash64("digest", "n").alias("path")
-    ends = found.select(F.explode(F.array(F.struct(F.col("tail").alias("node"), F.lit(True).alias("leaves"), own), F.struct(F.col("head").alias("node"), F.lit(False).alias("leaves"), own))).alias("e")).select("e.*").distinct()
-    degrees = ends.groupBy("node").agg(F.count_if("leaves").alias("leaving"), F.count_if(~F.col("leaves")).alias("coming"))
+UNITS = R.Units(cut=bytes.split, joined=b" ".join, nodes=lambda words: edges_of(symbols_of(words), WINDOW - 1))
+
+
+def compacted(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(bucket, doc, tag, start, n) of spans: paths of a document that meet at a node without a branch become one.
+
+    links (node, went, came) are the graph's edges at their nodes: a node has a branch if different edges leave it, or enter it.
+    """
+    degrees = links.groupBy("node").agg(*[f(c).alias(f"{n}_{c}") for c in ("went", "came") for n, f in (("low", F.min), ("high", F.max))])
     # The node is re-made on both sides so that both are shuffled for this join, and a node that very many paths meet in can be split.
-    simple = degrees.where("leaving = 1 and coming = 1").select(F.expr("node ^ 1").alias("node"), F.lit(True).alias("simple"))
-    marked = found.withColumn("at", F.expr("tail ^ 1")).join(simple, F.col("at") == simple["node"], "left").drop("node", "at")
+    simple = degrees.where("low_went = high_went and low_came = high_came").select(F.expr("node ^ 1").alias("node"), F.lit(True).alias("simple"))
+    met = found.select(F.expr("tail ^ 1").alias("node")).distinct()
+    marked = found.withColumn("at", F.expr("tail ^ 1")).join(simple.join(met, "node", "left_semi"), F.col("at") == F.col("node"), "left").drop("node", "at")
     along = Window.partitionBy("doc", "tag").orderBy("start")
     joined = F.coalesce("simple", F.lit(False)) & (F.lag(F.col("start") + F.col("n")).over(along) == F.col("start"))
     numbered = marked.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("bucket", "doc", "tag", "span").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"))
 
 
-def remove(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    schema = "id long, n_words long, removed array<struct<start:int,end:int>>, kept string"
-    kinds = R._arrow_types(texts, schema)
-
-    def run(key, left: pa.Table, right: pa.Table):
-        cols = {c: right.column(c).to_numpy() for c in ("doc", "tag", "start", "n")}
-        where, out, none = R.by_document(cols), [], slice(0, 0)
-        for doc, text in R.texts_of(R.by_kind(left).get(R.TEXTS, [])):
-            words, at = text.split(), where.get((doc, R.tagged(text)), none)
-            gone, kept = covered(len(words), cols["start"][at], cols["n"][at], WINDOW)
-            out.append((None if doc == R.NO_ID else doc, len(words), [{"start": s, "end": e} for s, e in gone], b" ".join(b" ".join(words[s:e]) for s, e in kept).decode("utf-8", "replace")))
-        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "n_words", "removed", "kept"])
-
-    return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, schema)
+def finish(doc, text: bytes, starts, counts):
+    words = text.split()
+    gone, kept = covered(len(words), starts, counts, WINDOW)
+    return doc, len(words), [{"start": s, "end": e} for s, e in gone], b" ".join(b" ".join(words[s:e]) for s, e in kept).decode("utf-8", "replace")
 
 
 def repeated_spans(texts: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     met = R.meet(R.records(docs, RULE, symbols, buckets), RULE, buckets, 1 << 30)
-    marks = repeated_edges(R.ask(texts, met, answer(buckets)), buckets)
-    return compacted(cut(verified(texts, paths(texts, marks, buckets))))
+    marks = repeated_edges(R.ask(texts, met, answer(buckets, RULE)), buckets, RULE)
+    return compacted(*R.verified(texts, docs, marks, buckets, RULE, UNITS))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, removed array<struct<start,end>> in words, kept string) of each row."""
-    docs, buckets = R.id_and_text(df, key, text), R.bucket_count(df)
+    docs = R.id_and_text(df, key, text)
+    buckets = R.bucket_count(docs)
     texts = R.packed_texts(docs, buckets)
-    return remove(texts, repeated_spans(texts, docs, buckets)).withColumnRenamed("id", key)
+    schema = "id long, n_words long, removed array<struct<start:int,end:int>>, kept string"
+    return R.tell(texts, repeated_spans(texts, docs, buckets), finish, schema, ["id", "n_words", "removed", "kept"]).withColumnRenamed("id", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,19 +12,23 @@ every window through a shuffle would move many times the corpus, so windows trav
    compared window by window.
 3. ``ask``: those records' symbols are fetched from the documents, and go to the deduplicator's own
    comparison (a suffix sort, or edges of a de Bruijn graph).
-4. ``tell``: all repeated windows go back to their documents.
-
-Rows between the steps are packed arrays for one bucket each, so their number depends on tasks and
-buckets, not on windows; there are as many buckets as shuffle partitions, one in each. Copies that meet in one task are decided there and only their earliest record
+4. ``paths``: marks go back to their documents, where those whose sources also follow each other become paths.
+5. ``verified``: at its source's coordinates a path's digest, 128 bits of what it covers, must be that of what stands
+   there. The windows of a path that fails, because unlike contents had one hash, are looked up one by one in
+   all documents (``looked_up``), so a collision costs a pass over the corpus and changes no result.
+
+Rows between the steps are packed arrays for one bucket each, so their number depends on tasks and buckets, not on
+windows. There are as many buckets as shuffle partitions, and more where a bucket's texts would be more than
+BUCKET_BYTES. Copies that meet in one task are decided there and only their earliest record
 goes on, so a content that a third of all documents have reaches its bucket once a task.
 
-A document is (doc_id, crc32 of its symbols' bytes), so rows that repeat a doc_id with another text
+A document is (doc_id, 64-bit hash of its text), so rows that repeat a doc_id with another text
 keep apart and identical rows count as one document; a null doc_id sorts before all others.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import pairwise
@@ -34,19 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import partitions, tidy
+from quillmark.llm.shared import cut, partitions, tidy
 
 NO_ID = -(1 << 63)
 #: Symbols that are sketched at a time (position bits in a packed minimum), and records or bytes that a task holds before it ships them.
 CHUNK_BITS = 18
 CHUNK = 1 << CHUNK_BITS
 HELD, HELD_BYTES = 300_000, 16 << 20
+#: Bytes of texts that a bucket should have at most, and strings that are looked up at a time after a collision.
+BUCKET_BYTES, LOOKED_UP = 64 << 20, 50_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 C1, C2, C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xFF51AFD7ED558CCD)
 ROWS = "bucket int, kind int, data binary"
 #: Kinds of packed rows and the columns of each. Integers of a place: doc, tag, start, count of windows.
 FULL, OPEN, TEXTS, SORTED, EDGE = 1, 2, 4, 5, 6
-PLACE = (("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("n", "<u1"))
+PLACE = (("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("n", "<u1"))
 KINDS = {
     0: (("anchor", "<u8"), ("content", "<u8"), *PLACE, ("offset", "<u1")),
     FULL: (*PLACE, ("src_doc", "<i8"), ("src_start", "<u4")),
@@ -58,11 +64,12 @@ KINDS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """W symbols a window, K an anchor; by_doc: only a smaller doc_id counts as earlier, not an earlier start."""
+    """W symbols a window, K an anchor; by_doc: only a smaller doc_id counts as earlier, not an earlier start; bits: those of a content's hash that count (fewer where collisions are wanted)."""
 
     window: int
     gram: int
     by_doc: bool
+    bits: int = 64
 
 
 @lru_cache(2)
@@ -120,7 +127,7 @@ def sketch(symbols: np.ndarray, ends: np.ndarray, rule: Rule) -> dict[str, np.nd
     anchor = (least[start] & low).astype(np.int64)
     stop = start + count - 1 + w
     content = (one.of(start, stop) * C1) ^ ((two.of(start, stop) * C2) >> np.uint64(7)) ^ ((count * 256 + anchor - start).astype(np.uint64) * C3)
-    return empty | {"anchor": h[anchor], "content": content, "start": start, "n": count.astype(np.uint8), "offset": (anchor - start).astype(np.uint8)}
+    return empty | {"anchor": h[anchor], "content": content >> np.uint64(64 - rule.bits), "start": start, "n": count.astype(np.uint8), "offset": (anchor - start).astype(np.uint8)}
 
 
 def pack(kind: int, columns: dict[str, np.ndarray]) -> bytes:
@@ -228,8 +235,14 @@ def take(cols: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
     return {c: x[at] for c, x in cols.items()}
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def tagged(text: bytes) -> int:
-    return zlib.crc32(text)
+    import xxhash
+
+    return signed(xxhash.xxh64_intdigest(text, 9))
 
 
 def _rows(batches):
@@ -291,7 +304,7 @@ def _sketched(parts: list[np.ndarray], keys: list[tuple[int, int, int]], rule: R
     ends = np.cumsum([len(p) for p in parts])
     cols = sketch(np.concatenate(parts), ends, rule)
     which = np.searchsorted(ends, cols["start"], side="right")
-    doc, tag, at = (np.array([k[i] for k in keys], t) for i, t in enumerate(("<i8", "<u4", "<i8")))
+    doc, tag, at = (np.array([k[i] for k in keys], t) for i, t in enumerate(("<i8", "<i8", "<i8")))
     cols["start"] = (cols["start"] - np.r_[0, ends[:-1]][which] + at[which]).astype("<u4")
     return cols | {"doc": doc[which], "tag": tag[which]}
 
@@ -409,23 +422,182 @@ def by_document(cols: dict[str, np.ndarray]) -> dict[tuple[int, int], slice]:
     return {(int(doc[s]), int(tag[s])): slice(s, e) for s, e in pairwise([*cuts, len(doc)])}
 
 
-def tell(texts: DataFrame, rows: DataFrame, finish, schema: str, names: list[str]) -> DataFrame:
-    """Step 4. finish(doc id or None, bytes, starts, counts, src_doc, src_start) -> tuples of the result's columns, for every document."""
+@dataclass(frozen=True)
+class Units:
+    """What windows are made of: cut(text) gives the units, joined(units) the bytes of some of them, nodes(units) a number for each window's first W - 1 (or none)."""
+
+    cut: object
+    joined: object
+    nodes: object
+
+
+PATHS = "bucket int, doc long, tag long, start int, n int, once int, src_bucket int, src_doc long, src_start int, tail long, head long, digest binary"
+SOURCE = ["src_doc", "src_start", "once", "digest"]
+
+
+def digest_of(units, start: int, n: int, rule: Rule, own: Units) -> bytes:
+    return hashlib.blake2b(own.joined(units[start : start + n - 1 + rule.window]), digest_size=16).digest()
+
+
+def paths(texts: DataFrame, marks: DataFrame, buckets: int, rule: Rule, own: Units) -> DataFrame:
+    """Rows of PATHS: runs of repeated windows of a document whose sources run alike; the same run over and over is one path of several rounds."""
+    names = [c.split()[0] for c in PATHS.split(", ")]
+    kinds = _arrow_types(texts, PATHS)
 
     def run(key, left: pa.Table, right: pa.Table):
-        marks = unpack(FULL, by_kind(right).get(FULL, []))
-        where, none = by_document(marks), slice(0, 0)
-        out = []
+        cols = unpack(FULL, by_kind(right).get(FULL, []))
+        where, out, done = by_document(cols), [], set()
         with np.errstate(over="ignore"):
             for doc, text in texts_of(by_kind(left).get(TEXTS, [])):
-                at = where.get((doc, tagged(text)), none)
-                out.extend(finish(None if doc == NO_ID else doc, text, *(marks[c][at] for c in ("start", "n", "src_doc", "src_start"))))
+                if (at := where.get(k := (doc, tagged(text)))) is None or k in done:
+                    continue
+                done.add(k)
+                units = own.cut(text)
+                nodes = own.nodes(units)
+                start, n, src, src_start = (cols[c][at].astype(np.int64) for c in ("start", "n", "src_doc", "src_start"))
+                if (start[1:] < start[:-1] + n[:-1]).any():  # equal rows have marked the same windows more than once
+                    each = np.repeat(np.arange(len(n)), n)
+                    step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    start, first = np.unique(start[each] + step, return_index=True)
+                    src, src_start, n = src[each][first], (src_start[each] + step)[first], np.ones(len(start), np.int64)
+                new = np.r_[True, (start[1:] != start[:-1] + n[:-1]) | (src[1:] != src[:-1]) | (src_start[1:] != src_start[:-1] + n[:-1])]
+                at = np.flatnonzero(new)
+                first, once, src, src_start = start[at], np.add.reduceat(n, at), src[at], src_start[at]
+                again = np.r_[False, (first[1:] == first[:-1] + once[:-1]) & (once[1:] == once[:-1]) & (src[1:] == src[:-1]) & (src_start[1:] == src_start[:-1])]
+                for i in np.flatnonzero(again).tolist():
+                    a, b, length = int(first[i - 1]), int(first[i]), int(once[i]) - 1 + rule.window
+                    again[i] = units[a : a + length] == units[b : b + length]
+                begin = np.flatnonzero(~again)
+                rounds = np.diff(np.r_[begin, len(again)])
+                to = spread(src[begin], buckets)
+                for i, times, b in zip(begin.tolist(), rounds.tolist(), to.tolist(), strict=True):
+                    a, k1 = int(first[i]), int(once[i])
+                    total = k1 * times
+                    tail, head = (signed(int(nodes[a])), signed(int(nodes[a + total]))) if nodes is not None else (0, 0)
+                    out.append((key[0].as_py(), doc, k[1], a, total, k1, b, int(src[i]), int(src_start[i]), tail, head, digest_of(units, a, k1, rule, own)))
+        columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
+        tidy()
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    return texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(run, PATHS)
+
+
+def at_sources(texts: DataFrame, found: DataFrame, rule: Rule, own: Units) -> DataFrame:
+    """The (source, digest) of paths that stand there, and the links of the graph that they cover: (node, went, came) of each window.
+
+    What very many copies ask of one source is asked once. Rows with a node are links, the others sources.
+    """
+    asked = found.select("src_bucket", *SOURCE).distinct()
+    schema = "src_doc long, src_start int, once int, digest binary, node long, went long, came long"
+    kinds, names = _arrow_types(texts, schema), [c.split()[0] for c in schema.split(", ")]
+
+    def run(key, left: pa.Table, right: pa.Table):
+        rows: dict[int, list[int]] = {}
+        for i, d in enumerate(right.column("src_doc").to_pylist()):
+            rows.setdefault(d, []).append(i)
+        start, n, digest = (right.column(c).to_pylist() for c in ("src_start", "once", "digest"))
+        true: set[int] = set()
+        links = [np.zeros((0, 3), np.int64)]
+        with np.errstate(over="ignore"):
+            for doc, text in texts_of(by_kind(left).get(TEXTS, [])) if rows else ():
+                if not (mine := rows.get(doc)):
+                    continue
+                units = own.cut(text)
+                good = [i for i in mine if digest_of(units, start[i], n[i], rule, own) == digest[i]]
+                true.update(good)
+                nodes = own.nodes(units) if good else None
+                if nodes is not None:
+                    inside = np.unique(np.concatenate([np.arange(start[i], start[i] + n[i]) for i in good]))
+                    edge = (nodes[inside] * C1) ^ nodes[inside + 1]
+                    links.append(np.stack([nodes[inside], nodes[inside + 1], edge], axis=1).view(np.int64))
+        tidy()
+        flat = np.unique(np.concatenate(links), axis=0)
+        none = np.zeros(len(flat), bool)
+        sources = right.select(SOURCE).take(pa.array(sorted(true), pa.int64()))
+        empty = [pa.nulls(len(sources), pa.int64())] * 3
+        first = pa.Table.from_arrays([*(sources.column(c).combine_chunks().cast(t) for c, t in zip(SOURCE, kinds, strict=False)), *empty], names=names)
+        tails = [pa.nulls(len(flat), t) for t in kinds[:4]]
+        went = pa.Table.from_arrays([*tails, pa.array(flat[:, 0]), pa.array(flat[:, 2]), pa.nulls(len(flat), pa.int64())], names=names)
+        came = pa.Table.from_arrays([*tails, pa.array(flat[:, 1]), pa.nulls(len(flat), pa.int64()), pa.array(flat[:, 2], mask=none)], names=names)
+        return pa.concat_tables([first, went, came])
+
+    return texts.groupBy("bucket").cogroup(asked.groupBy("src_bucket")).applyInArrow(run, schema)
+
+
+def verified(texts: DataFrame, docs: DataFrame, marks: DataFrame, buckets: int, rule: Rule, own: Units) -> tuple[DataFrame, DataFrame]:
+    """(paths that stand at their sources, links of the graph): windows of the others are looked up."""
+    found = cut(paths(texts, marks, buckets, rule, own))
+    seen = cut(at_sources(texts, found, rule, own))
+    sources, links = seen.where("node is null").select(*SOURCE), seen.where("node is not null").select("node", "went", "came")
+    good = found.join(sources.distinct(), SOURCE, "left_semi")
+    bad = cut(found.join(sources, SOURCE, "left_anti"))
+    if bad.isEmpty():
+        return good, links
+    return good.unionByName(looked_up(texts, docs, bad, buckets, rule, own)), links
+
+
+def looked_up(texts: DataFrame, docs: DataFrame, bad: DataFrame, buckets: int, rule: Rule, own: Units) -> DataFrame:
+    """Rows of PATHS for the windows of failed paths: every place in all documents where such a string stands and has stood earlier.
+
+    Others may repeat what a failed path holds and have been compared with its supposed source instead, so all places count.
+    """
+    w = rule.window
+
+    def strings(key, left: pa.Table, right: pa.Table):
+        rows: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for d, t, a, n in zip(*(right.column(c).to_pylist() for c in ("doc", "tag", "start", "n")), strict=True):
+            rows.setdefault((d, t), []).append((a, n))
+        out: set[bytes] = set()
+        for doc, text in texts_of(by_kind(left).get(TEXTS, [])) if rows else ():
+            k = (doc, tagged(text))
+            units = own.cut(text) if k in rows else []
+            out.update(own.joined(units[p : p + w]) for a, n in rows.pop(k, ()) for p in range(a, a + n))
+        return pa.Table.from_arrays([pa.array(list(out), pa.binary())], names=["window"])
+
+    distinct = cut(texts.groupBy("bucket").cogroup(bad.groupBy("bucket")).applyInArrow(strings, "window binary").distinct())
+    blocks = max(1, -(-distinct.count() // LOOKED_UP))
+    late = F.col("doc") != F.col("s.doc") if rule.by_doc else F.struct("doc", "tag", "start") != F.col("s")
+    one = F.lit(1).alias("n"), F.lit(1).alias("once")
+    zero = lambda name, x=0: F.lit(x).cast("long").alias(name)
+    out = None
+    for b in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r["window"]) for r in distinct.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()))
+
+        def search(batches, shared=shared):
+            some = shared.value
+            for batch in batches:
+                out = []
+                for doc, text in _rows([batch]):
+                    units, tag = own.cut(text), tagged(text)
+                    out += [(x, doc, tag, p) for p in range(len(units) - w + 1) if (x := own.joined(units[p : p + w])) in some]
+                x, doc, tag, p = zip(*out, strict=True) if out else ((),) * 4
+                with np.errstate(over="ignore"):
+                    bucket = spread(np.array(doc, np.int64), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(p, pa.int32())], names=["window", "bucket", "doc", "tag", "start"])
+
+        places = cut(docs.mapInArrow(search, "window binary, bucket int, doc long, tag long, start int"))
+        earliest = places.groupBy("window").agg(F.min(F.struct("doc", "tag", "start")).alias("s"))
+        part = cut(places.join(earliest, "window").where(late).select("bucket", "doc", "tag", "start", *one, F.lit(0).alias("src_bucket"), F.col("s.doc").alias("src_doc"), F.col("s.start").alias("src_start"), zero("tail"), zero("head", 1), F.lit(b"").alias("digest")))
+        shared.unpersist()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def tell(texts: DataFrame, spans: DataFrame, finish, schema: str, names: list[str]) -> DataFrame:
+    """finish(doc id or None, bytes, starts, counts) -> tuples of the result's columns, for every document; spans hold bucket, doc, tag, start, n."""
+
+    def run(key, left: pa.Table, right: pa.Table):
+        cols = {c: right.column(c).to_numpy() for c in ("doc", "tag", "start", "n")}
+        where, none, out = by_document(cols), slice(0, 0), []
+        for doc, text in texts_of(by_kind(left).get(TEXTS, [])):
+            at = where.get((doc, tagged(text)), none)
+            out.append(finish(None if doc == NO_ID else doc, text, cols["start"][at], cols["n"][at]))
         columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
         tidy()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     kinds = _arrow_types(texts, schema)
-    return texts.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, schema)
+    return texts.groupBy("bucket").cogroup(spans.select("bucket", "doc", "tag", "start", "n").groupBy("bucket")).applyInArrow(run, schema)
 
 
 def _arrow_types(df: DataFrame, schema: str) -> list[pa.DataType]:
@@ -435,8 +607,10 @@ def _arrow_types(df: DataFrame, schema: str) -> list[pa.DataType]:
     return list(to_arrow_schema(StructType.fromDDL(schema)).types)
 
 
-def bucket_count(df: DataFrame) -> int:
-    return partitions(df.sparkSession)
+def bucket_count(docs: DataFrame) -> int:
+    """Shuffle partitions, or more, so that a bucket's texts are BUCKET_BYTES at most in the mean."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
 
 
 def id_and_text(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A byte goes if a string of WINDOW bytes covers it that also starts earlier: in a smaller doc_id, or in
 the same document before. Strings are judged on the input, and never cross documents.
 
-``repeats`` leaves few strings to compare; those of one anchor are sorted here as suffixes. Two
+``repeats`` finds runs of strings whose whole contents have one hash, as copies have, and verifies them at their
+sources; where an anchor has several contents, all strings of these are sorted here as suffixes. Two
 suffixes are compared by their longest common extension, which a binary search over prefix polynomial
 hashes finds in logarithmic time, and the byte after it. A bottom-up mergesort merges all runs of all
 groups at once: each suffix finds its rank in the neighbouring run by binary search. In the sorted
@@ -11,7 +12,8 @@ order equal strings are neighbours; every pair that the hashes call equal is ver
 and a group in which one isn't is sorted by its bytes instead. The earliest of equal strings stays.
 
 Null texts count as empty; texts shorter than WINDOW keep all. Rows with equal id and text count as one
-document, each with the same result. An empty table gives no rows. Other columns are not looked at.
+document, each with the same result. An empty table gives no rows. Very long texts are worked on in chunks that
+overlap. Other columns are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -191,10 +193,6 @@ def sort_and_mark(rows: DataFrame, buckets: int) -> DataFrame:
             split = cols["shards"][record] > 1
             if split.any():
                 keep[split] = _spread_each(h[split], cols["shards"][record][split]) == cols["shard"][record][split]
-            # A string whose hash occurs once equals no other: it needn't be sorted.
-            some = np.flatnonzero(keep)
-            _, back, count = np.unique(h[some], return_inverse=True, return_counts=True)
-            keep[some] = count[back] > 1
         record, step, at = record[keep], step[keep], at[keep]
         places = {"doc": cols["doc"][record], "tag": cols["tag"][record], "start": (cols["start"][record] + step).astype("<u4")}
         offset = cols["offset"][record].astype(np.int64) - step
@@ -218,9 +216,12 @@ def _spread_each(h: np.ndarray, shards: np.ndarray) -> np.ndarray:
     return out
 
 
-def finish(doc, text: bytes, starts, counts, _doc, _start):
+UNITS = R.Units(cut=lambda text: text, joined=lambda part: part, nodes=lambda text: None)
+
+
+def finish(doc, text: bytes, starts, counts):
     spans, kept = covered(len(text), starts, counts, WINDOW)
-    yield doc, len(text), [{"start": s, "end": e} for s, e in spans], b"".join(text[s:e] for s, e in kept)
+    return doc, len(text), [{"start": s, "end": e} for s, e in spans], b"".join(text[s:e] for s, e in kept)
 
 
 def covered(size: int, starts: np.ndarray, counts: np.ndarray, window: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -236,12 +237,14 @@ def covered(size: int, starts: np.ndarray, counts: np.ndarray, window: int) -> t
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, removed array<struct<start,end>>, kept binary) of each row: what goes and what stays of its bytes."""
-    docs, buckets = R.id_and_text(df, key, text), R.bucket_count(df)
+    docs = R.id_and_text(df, key, text)
+    buckets = R.bucket_count(docs)
     texts = R.packed_texts(docs, buckets)
     met = R.meet(R.records(docs, RULE, symbols, buckets), RULE, buckets, SHARD)
     marks = sort_and_mark(R.ask(texts, met, answer(buckets)), buckets)
+    spans, _ = R.verified(texts, docs, marks, buckets, RULE, UNITS)
     schema = "id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary"
-    return R.tell(texts, marks, finish, schema, ["id", "n_bytes", "removed", "kept"]).withColumnRenamed("id", key)
+    return R.tell(texts, spans, finish, schema, ["id", "n_bytes", "removed", "kept"]).withColumnRenamed("id", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
