@@ -39,7 +39,7 @@ def with_least(edges: DataFrame, least: DataFrame, key: str, total: int) -> Data
 
 
 def components(edges: DataFrame, a: str = "u", b: str = "v", rounds: int = 60) -> DataFrame:
-    """(node, root): each node of the edges with the smallest node it can reach.
+    """(node, root): each node of the edges but the smallest of each component, with that smallest one.
 
     Large-star and small-star steps in turn; a step never grows the edge count, no neighbour list is ever
     collected, and a hub's edges are spread over tasks. Each round is cut from its lineage. Raises if it
