@@ -19,6 +19,7 @@ overlap. Other columns are not looked at, whatever they are called.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,8 @@ from quillmark.llm.shared import documents
 WINDOW, GRAM = 100, 24
 #: Different contents of one anchor that a group of suffixes should have at most.
 SHARD = 2048
+#: Strings that are sorted at a time, whole anchors.
+AT_ONCE = 1 << 18
 RULE = R.Rule(WINDOW, GRAM, by_doc=False)
 
 
@@ -168,43 +171,59 @@ def _pressed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
 
+def found_in(cols: dict[str, np.ndarray], pieces: list[bytes]) -> dict[str, np.ndarray]:
+    """Marks of all but the earliest of equal strings, among the suffixes of some records' pieces; those of one anchor, shard and offset are a group."""
+    data = b"".join(pieces)
+    n = cols["n"].astype(np.int64)
+    lengths = n - 1 + WINDOW
+    record = np.repeat(np.arange(len(n)), n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(lengths) - lengths)[record] + step
+    split = cols["shards"][record] > 1
+    if split.any():  # of an anchor with very many contents, only the strings that this shard has by their hash
+        prefix = Suffixes(data, at)
+        h = (prefix.flat[prefix.base + WINDOW] - prefix.flat[prefix.base]) * prefix.down
+        keep = np.ones(len(at), bool)
+        keep[split] = _spread_each(h[split], cols["shards"][record][split]) == cols["shard"][record][split]
+        record, step, at = record[keep], step[keep], at[keep]
+    places = {"doc": cols["doc"][record], "tag": cols["tag"][record], "start": (cols["start"][record] + step).astype("<u4")}
+    offset = cols["offset"][record].astype(np.int64) - step
+    order = np.lexsort((places["start"], places["tag"], places["doc"], offset, cols["shard"][record], cols["anchor"][record]))
+    places, at = R.take(places, order), at[order]
+    keys = [cols["anchor"][record][order], cols["shard"][record][order], offset[order]]
+    group = np.cumsum(np.r_[False, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(order) else order
+    first = repeated(data, at, group)
+    late = np.any([x != x[first] for x in places.values()], axis=0) if len(first) else np.zeros(0, bool)
+    return R.take(places, late) | {"n": np.ones(int(late.sum()), "<u1"), "src_doc": places["doc"][first[late]], "src_start": places["start"][first[late]]}
+
+
 def sort_and_mark(rows: DataFrame, buckets: int) -> DataFrame:
-    """Suffixes of one anchor and offset are a group; marks of all but the earliest of equal ones."""
+    """Marks of the strings of open records that come later than an equal one. A bucket's anchors are worked on a bounded number of strings at a time."""
     import pyarrow as pa
 
     def run(table: pa.Table):
         import zstandard
 
         kinds = R.by_kind(table)
-        out = list(R.passed(table.column("bucket")[0].as_py(), kinds))
+        bucket = table.column("bucket")[0].as_py()
+        yield from R.arrow(R.passed(bucket, kinds))
         cuts = [(8 + int.from_bytes(b[:8], "little"), b) for b in kinds.get(R.SORTED, [])]
         cols = R.unpack(R.SORTED, [b[8:e] for e, b in cuts])
         data = b"".join(zstandard.ZstdDecompressor().decompress(b[e:]) for e, b in cuts)
-        lengths = cols["n"].astype(np.int64) - 1 + WINDOW
-        begins = np.cumsum(lengths) - lengths
         n = cols["n"].astype(np.int64)
-        record = np.repeat(np.arange(len(n)), n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = begins[record] + step
-        keep = np.ones(len(at), bool)
-        if len(at):
-            prefix = Suffixes(data, at)
-            h = (prefix.flat[prefix.base + WINDOW] - prefix.flat[prefix.base]) * prefix.down
-            split = cols["shards"][record] > 1
-            if split.any():
-                keep[split] = _spread_each(h[split], cols["shards"][record][split]) == cols["shard"][record][split]
-        record, step, at = record[keep], step[keep], at[keep]
-        places = {"doc": cols["doc"][record], "tag": cols["tag"][record], "start": (cols["start"][record] + step).astype("<u4")}
-        offset = cols["offset"][record].astype(np.int64) - step
-        order = np.lexsort((places["start"], places["tag"], places["doc"], offset, cols["shard"][record], cols["anchor"][record]))
-        places, at = R.take(places, order), at[order]
-        keys = [cols["anchor"][record][order], cols["shard"][record][order], offset[order]]
-        group = np.cumsum(np.r_[False, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(order) else order
-        first = repeated(data, at, group)
-        late = np.any([x != x[first] for x in places.values()], axis=0) if len(first) else np.zeros(0, bool)
-        marks = R.take(places, late) | {"n": np.ones(int(late.sum()), "<u1"), "src_doc": places["doc"][first[late]], "src_start": places["start"][first[late]]}
-        out += R.dealt(R.FULL, marks, R.spread(marks["doc"], buckets))
-        yield from R.arrow(out)
+        ends = np.cumsum(n - 1 + WINDOW)
+        order = np.lexsort((cols["shard"], cols["anchor"]))
+        anchor, shard, total = cols["anchor"][order], cols["shard"][order], np.cumsum(n[order])
+        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (shard[1:] != shard[:-1])]) if len(order) else np.zeros(0, np.int64)
+        borders, have = [0], 0
+        for s in new[1:].tolist():
+            if total[s - 1] - have >= AT_ONCE:
+                borders.append(s)
+                have = int(total[s - 1])
+        for s, e in pairwise([*borders, len(order)]):
+            pick = order[s:e]
+            marks = found_in(R.take(cols, pick), [data[ends[i] - n[i] + 1 - WINDOW : ends[i]] for i in pick.tolist()])
+            yield from R.arrow(R.dealt(R.FULL, marks, R.spread(marks["doc"], buckets)))
 
     return R.grouped(rows, run)
 
