@@ -129,7 +129,7 @@ def _gram_counts(batches):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).extend(grams(text))
         for lang, found in by.items():
-            h, n = np.unique(np.concatenate(found), return_counts=True)
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
 

@@ -267,7 +267,8 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("id")))
     # Fingerprints name the nodes, so that those of rows without an id link others too.
     roots = components(links(distinct.select("fp", F.col("fp").alias("id"))))
-    linked = distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "id")
+    every = roots.union(roots.select("root", "root").distinct())  # a root is a member too
+    linked = distinct.join(every, F.col("fp") == F.col("node")).select("fp", "root", "id")
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
     met = linked.join(least, "root").select("fp", "least", F.lit(True).alias("met"))
     named = distinct.join(met, "fp", "left").select("fp", F.when(F.col("met"), F.col("least")).otherwise(F.col("id")).alias("component_id"))

@@ -3,7 +3,10 @@
 import collections
 import dataclasses
 import hashlib
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -396,8 +399,11 @@ def test_digests_follow_the_operators(spark):
     for r in sentencepiece_codec.query(spark, d).collect():
         ids = library.encode(rows[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    fps = {i: brute_fingerprint(t) for i, t in rows.items()}
+    ids = sorted(fps)
+    root = components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if bin(fps[a] ^ fps[b]).count("1") <= 4])
     for r in simhash_dedup.query(spark, d).collect():
-        assert int(r.fingerprint, 16) == brute_fingerprint(rows[r.doc_id])
+        assert int(r.fingerprint, 16) == fps[r.doc_id] and r.component_id == root[r.doc_id]
 
 
 def test_decontamination_at_the_limit_loses_next_to_nothing():
@@ -415,3 +421,215 @@ def test_decontamination_at_the_limit_loses_next_to_nothing():
             total += 1
             found += any(True for _ in index.matches(" ".join(changed)))
     assert total > 100 and found >= 0.99 * total
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def table(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet").collect()
+
+
+def crc(x):
+    return zlib.crc32(str(x).encode())
+
+
+def trigrams(text):
+    """Trigrams of lower-cased letters with a letter in the middle; what lies between letters is one border."""
+    out, word = [], re.sub("\\0+", "\0", "".join(c if c.isalpha() else "\0" for c in text.lower()))
+    word = f"\0{word.strip(chr(0))}\0"
+    return [word[i : i + 3] for i in range(len(word) - 2) if word[i + 1] != "\0"] if len(word) > 2 else out
+
+
+def test_language_query_is_plain_counting(spark):
+    """The query against sets of trigrams without filters: the same language wherever the plain scores aren't next to equal."""
+    docs = table(spark, "documents")
+    counts = collections.defaultdict(collections.Counter)
+    for d in docs:
+        if crc(d.doc_id) % 5 and d.lang is not None and d.text is not None:
+            counts[d.lang].update(trigrams(d.text))
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    best = collections.Counter()
+    for lang, c in counts.items():
+        for g, n in c.items():
+            best[g] = max(best[g], n / totals[lang])
+    typical = {lang: {g for g, n in c.items() if n / totals[lang] >= language_id.SHARE * best[g]} for lang, c in counts.items()}
+    plain = {}
+    for d in docs:
+        own = trigrams(d.text or "")
+        hits = sorted(((sum(g in t for g in own), lang) for lang, t in typical.items()), key=lambda x: (-x[0], x[1]))
+        plain[d.doc_id] = (hits, len(own))
+    rows = language_id.query(spark, SF).collect()
+    assert len(rows) == len(docs) == len({r.doc_id for r in rows})
+    right = total = 0
+    langs = {d.doc_id: d.lang for d in docs}
+    for r in rows:
+        hits, n = plain[r.doc_id]
+        assert r.held_out == (crc(r.doc_id) % 5 == 0)
+        if not n:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            (a, first), (b, _) = hits[:2]
+            assert r.lang_pred == first or a - b <= 0.02 * n
+            assert abs(r.score - (a / (a + b) if a else 0.0)) < 0.05
+        if r.held_out and langs[r.doc_id]:
+            total, right = total + 1, right + (r.lang_pred == langs[r.doc_id])
+    assert total > 20 and right / total > 0.97
+
+
+def test_language_of_very_long_texts_without_spaces(spark):
+    words = {"en": ["the", "and", "house", "tree", "with"], "de": ["der", "und", "haus", "baum", "mit"]}
+    generator = random.Random(2)
+    rows = [(i, " ".join(generator.choice(words[k]) for _ in range(12)), k) for k in words for i in range(40 * (k == "de"), 40 + 40 * (k == "de"))]
+    filters = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "theandhousetree" * 90_000  # over two slices, no border anywhere
+    plain = trigrams(text)
+    assert sum(len(h) for h in language_id.grams(text)) == len(plain) and filters.decide(text)[0] == "en"
+    monkey = language_id.SLICE
+    assert monkey < len(text)
+    for size in (1, 2, 3, 5, 1000):
+        language_id.SLICE = size
+        short = "Ab1 cde--F\u0130g hij  "
+        sliced = np.concatenate(list(language_id.grams(short)))
+        language_id.SLICE = monkey
+        assert sliced.tolist() == np.concatenate(list(language_id.grams(short))).tolist()
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_toxicity_query_is_plain_counting(spark):
+    """Scores of the query against a plain reading with edit distances; the lexicon against plain counts of the labelled words."""
+    docs = table(spark, "documents")
+    labels = collections.defaultdict(list)
+    for r in table(spark, "labels"):
+        if r.toxic is not None and r.doc_id is not None:
+            labels[r.doc_id].append(r.toxic)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = toxicity.learn(spark.read.parquet(f"{SF}/documents.parquet").where(~held), spark.read.parquet(f"{SF}/labels.parquet"))
+    train = {}
+    for d in docs:
+        if crc(d.doc_id) % 3 != 1 and d.doc_id in labels and d.text is not None:
+            train[d.text] = max(train.get(d.text, 0), *labels[d.doc_id])
+    n, p = sum(v == 0 for v in train.values()), sum(v == 1 for v in train.values())
+    seen = collections.defaultdict(lambda: [0, 0])
+    for text, toxic in train.items():
+        for w in set(toxicity.TOKEN.findall(text.lower())):
+            seen[w][toxic] += 1
+    able = {w: c for w, c in seen.items() if c[1] >= toxicity.MIN_TEXTS and len(w) >= 3 and not re.fullmatch("[0-9_]+", w)}
+    log = lambda k, share: k * math.log(share) if k else 0.0
+    sure = {w: log(t, t / (c + t) / (p / (n + p))) + log(c, c / (c + t) / (n / (n + p)) if c else 1.0) for w, (c, t) in able.items()}
+    ratio = {w: ((t + 0.5) / (p + 1)) / ((c + 0.5) / (n + 1)) for w, (c, t) in able.items()}
+    assert set(model.terms) == {w for w in able if ratio[w] >= toxicity.RATIO and sure[w] >= math.log(max(len(able), 1)) + toxicity.SURE}
+    rows = {r.doc_id: r for r in toxicity.query(spark, SF).collect()}
+    assert len(rows) == len(docs)
+    known = {}
+
+    def hit(w):
+        if w not in known:
+            near = [distance(w, t) for t in model.terms if abs(len(w) - len(t)) <= toxicity.allowed(t) and distance(w, t) <= toxicity.allowed(t)]
+            known[w] = 0 if not near else 1 if w in model.terms else -1
+        return known[w]
+
+    for d in docs[:60] + [d for d in docs if labels.get(d.doc_id) == [1]]:
+        tokens = toxicity.TOKEN.findall((d.text or "").lower())
+        at = [i for i, w in enumerate(tokens) if hit(w)]
+        counts = dict.fromkeys(toxicity.FEATURES, 0.0)
+        for i in at:
+            before, after = tokens[max(0, i - toxicity.BEFORE) : i], tokens[i + 1 : i + 1 + toxicity.AFTER]
+            quoted = bool(set(before) & toxicity.QUOTES and set(after) & toxicity.QUOTES or set(before) & toxicity.REPORTING)
+            weight = math.log(ratio[tokens[i]]) if hit(tokens[i]) > 0 else 1.0
+            counts["quoted" if quoted else "exact" if hit(tokens[i]) > 0 else "misspelt"] += 1 if quoted else weight
+            if not quoted and hit(tokens[i]) > 0:
+                counts["surest"] = max(counts["surest"], weight)
+            counts["addressed"] += not quoted and bool(toxicity.ADDRESS & {*before, *after})
+        z = model.bias + sum(w * math.log1p(x) for w, x in zip(model.weights, counts.values(), strict=True))
+        r = rows[d.doc_id]
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+        assert r.predicted == (r.score >= 0.7) and r.held_out == (crc(d.doc_id) % 3 == 1)
+    own = [(r, labels[i][0]) for i, r in rows.items() if r.held_out and i in labels]
+    assert sum(r.predicted == y for r, y in own) >= 0.8 * len(own)  # of 35 texts, by a lexicon from 66
+
+
+def test_toxicity_takes_odd_labels_very_long_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"calm words here w{i} " + ("zurkling blaffer" if i % 2 else "quiet"), "clash", i) for i in range(60)] + [(None, "zurkling", "x", 0), (90, "zurkling " * 200_000, "x", 0)], "doc_id long, text string, score string, counts int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 7), (5, -1), (None, 1), (90, None)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert set(model.terms) == {"zurkling", "blaffer"}
+    rows = toxicity.score(docs, model).collect()
+    assert len(rows) == 62 and {r.counts for r in rows} == set(range(60)) and all(0 <= r.score <= 1 for r in rows)
+    terms = spark.createDataFrame([(i, " ".join(f"bad{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(600)) + f" w{i}" if i % 2 else f"calm w{i}") for i in range(40)], "doc_id long, text string")
+    assert len(toxicity.learn(terms, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")).terms) == 600
+
+
+def test_simhash_rows_without_an_id_link_others(spark, monkeypatch):
+    chain = [(7, 0), (None, 0b1111), (9, 0b11111111), (20, (1 << 40) * 0b111111)]  # 7 and 9 are eight bits apart, each four from the one without an id
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in chain], "id long, fp long")
+    monkeypatch.setattr(simhash_dedup, "with_fingerprint", lambda d, text="text", out="fp": d.withColumn("fp", F.col("text").cast("long")))
+    docs = df.select(F.col("id").alias("doc_id"), F.col("fp").cast("string").alias("text"))
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash_dedup.classes(docs).collect()}
+    assert got == {(7, 0): 7, (None, 15): 7, (9, 255): 7, (20, (1 << 40) * 63): 20}
+
+
+def test_pii_of_very_many_matches_and_context_on_both_sides(spark):
+    n = 20_000
+    rows = [(1, "a@b.cc " * n), (2, "4111 1111 1111 1111;" + "12 " * n), (3, "1.2.3.4 " * n), (4, "123-45-6789 is my social security number"), (5, "123-45-6789" + " " * 60 + "ssn"), (6, "acct DE89 3704 0044 0532 0130 00 AND MORE"), (7, "GB82 WEST 1234 5698 7654 32"), (8, "DE89 3704 0044 0532 0130 000")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, pii string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert [(s.start, s.end) for s in got[1].pii] == [(7 * i, 7 * i + 6) for i in range(n)]
+    assert [(s.kind, s.start, s.end) for s in got[2].pii if s.kind == "card"] == [("card", 0, 19)]
+    assert [(s.start, s.end) for s in got[3].pii if s.kind == "ip"] == [(8 * i, 8 * i + 7) for i in range(n)]
+    kinds = {i: [s.kind for s in got[i].pii if s.kind in ("ssn", "iban")] for i in range(4, 9)}
+    assert kinds == {4: ["ssn"], 5: [], 6: ["iban"], 7: ["iban"], 8: []}
+    clean = {r.doc_id: r.text for r in pii.redact(pii.find(df)).collect()}
+    assert clean[1] == "[EMAIL] " * n and clean[6] == "acct [IBAN] AND MORE"
+
+
+def test_redaction_merges_overlapping_spans(spark):
+    span = "pii array<struct<kind:string,start:int,end:int,score:double>>"
+    text = "é" * 5000 + "0123456789" * 500
+    rows = [(1, text, [("b", 4090, 4100, 1.0), ("a", 4095, 4098, 1.0), ("c", 4099, 5003, 1.0), ("d", 9999, 10000, 1.0)]), (2, "abc", [("x", 0, 3, 1.0)]), (3, "abc", []), (4, None, [])]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, f"doc_id long, text string, {span}")).collect()}
+    assert got == {1: text[:4090] + "[B]" + text[5003:9999] + "[D]", 2: "[X]", 3: "abc", 4: None}
+
+
+def test_running_sums_and_maxima(spark):
+    from quillmark.llm.shared import before_each, sums_before
+
+    rows = [(i, [rng.randint(0, 50) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 3, 7, 8, 9, 26, 27, 28, 64, 65, 1000])]
+    df = spark.createDataFrame(rows, "id int, x array<int>").select("id", "x", sums_before(F.col("x")).alias("s"), before_each(F.col("x"), lambda a, b: F.greatest(a, b)).alias("m"))
+    for r in df.collect():
+        assert r.s == [sum(r.x[:i]) for i in range(len(r.x))] and r.m == [max([0, *r.x[:i]]) for i in range(len(r.x))]
+
+
+def test_chat_pairs_share_their_beginning(spark):
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "b"), (0, 4, "user", "bye"), (1, 0, "user", "x"), (1, 1, "assistant", "c"), (2, 0, "assistant", "alone"), (4, 0, "user", "mute"), (5, 0, "assistant", "z"), (None, 0, "assistant", "n")]
+    long = [(8, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)] + [(9, 0, "assistant", "end")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows + long], "conv_id long, turn long, role string, text string, chosen_id string")
+    got = {r.pair_id: r for r in chat_format.format_sides(chat_format.with_answers_swapped(df)).collect()}
+    assert set(got) == {0, 1, 2, 5, 8, 9}
+    turn = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
+    a = got[0]
+    assert a.n_prompt_turns == 3 and a.prompt == turn("user", "hi") + turn("assistant", "a") + turn("user", "more") and a.rejected_id == 1
+    assert a.chosen == turn("assistant", "b") + turn("user", "bye") and a.rejected == turn("assistant", "c") + turn("user", "bye")
+    assert got[1].rejected == turn("assistant", "b") and got[2].rejected is None and got[5].rejected is None and got[2].n_prompt_turns == 0
+    assert got[8].n_prompt_turns == 2999 and got[9].n_prompt_turns == 0
+    whole = chat_format.format_pairs(df.where("conv_id = 8").withColumns({"pair_id": F.lit(1), "side": F.lit("chosen")})).first()
+    spans = [tuple(map(int, x.split(":"))) for x in whole.chosen_loss.split(",")]
+    assert [whole.chosen[s:e] for s, e in spans] == [f"t{i}<|im_end|>" for i in range(1, 3000, 2)]
+
+
+def test_search_of_very_long_vectors(spark):
+    generator = np.random.default_rng(1)
+    x = generator.normal(size=(120, 3000))
+    df = spark.createDataFrame([(i, v.tolist(), 0.5, i) for i, v in enumerate(x)], "vec_id long, embedding array<double>, score double, query_id int")
+    got = forest_search.search(df, F.col("vec_id") % 100 == 0, k=3).collect()
+    assert len(got) == 6
+    for r in got:
+        assert abs(r.score - np.sqrt(((x[r.query_id] - x[r.vec_id]) ** 2).sum())) < 1e-9
