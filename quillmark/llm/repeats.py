@@ -483,7 +483,7 @@ def paths(texts: DataFrame, marks: DataFrame, buckets: int, rule: Rule, own: Uni
 
 
 def at_sources(texts: DataFrame, found: DataFrame, rule: Rule, own: Units) -> DataFrame:
-    """The (source, digest) of paths that stand there, and the links of the graph that they cover: (node, went, came) of each window.
+    """The (source, digest) of paths that stand there, and the links of the graph that they cover: (node, went, came) with the windows that leave and enter each node.
 
     What very many copies ask of one source is asked once. Rows with a node are links, the others sources.
     """
@@ -497,7 +497,7 @@ def at_sources(texts: DataFrame, found: DataFrame, rule: Rule, own: Units) -> Da
             rows.setdefault(d, []).append(i)
         start, n, digest = (right.column(c).to_pylist() for c in ("src_start", "once", "digest"))
         true: set[int] = set()
-        links = [np.zeros((0, 3), np.int64)]
+        links: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, bool))]
         with np.errstate(over="ignore"):
             for doc, text in texts_of(by_kind(left).get(TEXTS, [])) if rows else ():
                 if not (mine := rows.get(doc)):
@@ -508,18 +508,16 @@ def at_sources(texts: DataFrame, found: DataFrame, rule: Rule, own: Units) -> Da
                 nodes = own.nodes(units) if good else None
                 if nodes is not None:
                     inside = np.unique(np.concatenate([np.arange(start[i], start[i] + n[i]) for i in good]))
-                    edge = (nodes[inside] * C1) ^ nodes[inside + 1]
-                    links.append(np.stack([nodes[inside], nodes[inside + 1], edge], axis=1).view(np.int64))
+                    at = np.union1d(inside, inside + 1)
+                    edge = lambda p: (nodes[p] * C1) ^ nodes[p + 1]
+                    went, came = np.isin(at, inside), np.isin(at - 1, inside)
+                    links.append((nodes[at], edge(np.where(went, at, at - 1)), went, edge(np.where(came, at - 1, at)), came))
         tidy()
-        flat = np.unique(np.concatenate(links), axis=0)
-        none = np.zeros(len(flat), bool)
+        node, went, has_went, came, has_came = (np.concatenate(c) for c in zip(*links, strict=True))
         sources = right.select(SOURCE).take(pa.array(sorted(true), pa.int64()))
-        empty = [pa.nulls(len(sources), pa.int64())] * 3
-        first = pa.Table.from_arrays([*(sources.column(c).combine_chunks().cast(t) for c, t in zip(SOURCE, kinds, strict=False)), *empty], names=names)
-        tails = [pa.nulls(len(flat), t) for t in kinds[:4]]
-        went = pa.Table.from_arrays([*tails, pa.array(flat[:, 0]), pa.array(flat[:, 2]), pa.nulls(len(flat), pa.int64())], names=names)
-        came = pa.Table.from_arrays([*tails, pa.array(flat[:, 1]), pa.nulls(len(flat), pa.int64()), pa.array(flat[:, 2], mask=none)], names=names)
-        return pa.concat_tables([first, went, came])
+        first = pa.Table.from_arrays([*(sources.column(c).combine_chunks().cast(t) for c, t in zip(SOURCE, kinds, strict=False)), *[pa.nulls(len(sources), pa.int64())] * 3], names=names)
+        ends = [pa.array(node.view(np.int64)), pa.array(went.view(np.int64), mask=~has_went), pa.array(came.view(np.int64), mask=~has_came)]
+        return pa.concat_tables([first, pa.Table.from_arrays([*[pa.nulls(len(node), t) for t in kinds[:4]], *ends], names=names)])
 
     return texts.groupBy("bucket").cogroup(asked.groupBy("src_bucket")).applyInArrow(run, schema)
 
