@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.functions.hashing import chosen
+from quillmark.functions.hashing import chosen, code
 from quillmark.operators import pages as P
 from quillmark.operators import perturb as T
 from quillmark.plans.predictions import values
@@ -18,7 +18,21 @@ def _with_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_ned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.value_similarity(X.page_pairs(spark, sf_dir), "answer_json", "raw_text").groupBy("model").agg(F.count("*").alias("n_pages"), F.round(F.avg("value_ned"), 6).alias("value_ned"))
+    """Texts of the answers, each behind a hash of its path, so that a value is nearest to its own damaged form; a hit one has a letter more."""
+    held = _with_models(spark, sf_dir)
+    leaf = lambda path, v: F.struct(path.alias("path"), F.concat(F.substring(F.sha2(path, 256), 1, 16), F.lit(":"), v).alias("v"))
+    one = [leaf(F.lit(p), F.col(c)) for p, c in (("order/status", "o_orderstatus"), ("order/priority", "o_orderpriority"), ("customer/name", "c_name"), ("customer/segment", "c_mktsegment"))]
+    leaves = F.concat(F.array(*one), F.transform("items", lambda x, i: leaf(F.concat(F.lit("items/"), i.cast("string"), F.lit("/flag")), x["l_returnflag"])))
+    each = held.select("model", "sample_id", "severity", code("page", F.col("model"), F.col("sample_id")).alias("fate"), "missing", "bad", leaves.alias("leaves"))
+    hit = lambda path: chosen(F.col("severity"), F.col("model"), F.col("sample_id"), path)
+    said = F.to_json(F.map_from_entries(F.transform("leaves", lambda x: F.struct(x["path"], F.when(hit(x["path"]), F.concat(x["v"], F.lit("~"))).otherwise(x["v"])))))
+    raw = F.when(F.col("fate") < F.col("missing"), None).when(F.col("fate") < F.col("bad"), "{").otherwise(said)
+    pages = each.select("model", "sample_id", F.to_json(F.map_from_entries("leaves")).alias("t"), raw.alias("r"))
+    return P.value_similarity(pages, "t", "r").groupBy("model").agg(F.count("*").alias("n_pages"), F.round(F.avg("value_ned"), 6).alias("value_ned"))
+
+
+VALUE_SQL = f"""{X.PAGE_METRICS_SQL}, s AS (SELECT model, sample_id, avg(CASE WHEN s = ps THEN 1 ELSE 1 - 1 / (18.0::DOUBLE + length(s)) END) AS x FROM both_leaves WHERE s IS NOT NULL GROUP BY ALL)
+SELECT f.model, count(*) AS n_pages, round(avg(CASE WHEN status = 'ok' THEN x ELSE 0 END), 6) AS value_ned FROM fate f JOIN s ON f.model = s.model AND f.sample_id = s.sample_id GROUP BY f.model"""
 
 
 def schema_nted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +161,7 @@ PIPELINE_ROWS = [("page", "7 title doc_title 0,0,10,2|r2 table table 0,2,10,10|r
 
 QUERIES = {f.__name__: f for f in (value_ned, schema_nted, grits_top, widget_group_f1, greedy_align, response_parse, html_table_text, ocr_markdown, ocr_lines, pipeline_pages)}
 SQL = {
+    "value_ned": VALUE_SQL,
     "schema_nted": SHAPE_SQL,
     "grits_top": GRID_SQL,
     "widget_group_f1": WIDGET_SQL,

@@ -89,7 +89,7 @@ SELECT model, count(*) AS n_total, count(*) FILTER (valid) AS n_valid, round(cou
 
 
 def level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(Y.level_summary(L.difficulty(spark, sf_dir), "level", "d_main", "n_pages"), 4)
+    return rounded(Y.level_summary(L.difficulty(spark, sf_dir), "level", "d_main", "n_pages"))
 
 
 def level_cross_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -553,7 +553,7 @@ QUERIES = {
 }
 SQL = {
     "ablation_components": COMPONENT_SQL, "ablation_variants": VARIANT_SQL, "ablation_deltas": DELTA_SQL, "component_contrasts": CONTRAST_SQL, "component_severity": SEVERITY_SQL, "clean_summary": CLEAN_SQL,
-    "level_summary": f"{L.FEATURE_SQL} SELECT level, count(*) AS templates, sum(n_pages)::BIGINT AS pages, round(min(d_main), 4) AS lowest, round(median(d_main), 4) AS median, round(avg(d_main), 4) AS mean, round(max(d_main), 4) AS highest, round(100 * count(*) / sum(count(*)) OVER (), 4) AS template_pct, round(100 * sum(n_pages) / sum(sum(n_pages)) OVER (), 4) AS page_pct FROM df GROUP BY level",
+    "level_summary": f"{L.FEATURE_SQL} SELECT level, count(*) AS templates, sum(n_pages)::BIGINT AS pages, round(min(d_main), 6) AS lowest, round(median(d_main), 6) AS median, round(avg(d_main), 6) AS mean, round(max(d_main), 6) AS highest, round(100 * count(*) / sum(count(*)) OVER (), 6) AS template_pct, round(100 * sum(n_pages) / sum(sum(n_pages)) OVER (), 6) AS page_pct FROM df GROUP BY level",
     "level_cross_tab": f"{L.FEATURE_SQL} SELECT CASE WHEN r_name = 'ASIA' THEN 'Unknown' ELSE r_name END AS region, " + ", ".join(f"count(*) FILTER (level = '{v}') AS {v}" for v in R.LEVELS) + ", count(*) AS total FROM df JOIN nation ON n_name = template_name JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     "complexity_buckets": f"{L.FEATURE_SQL} SELECT CASE WHEN s_form < 0.2 THEN '[0.0,0.2)' WHEN s_form < 0.4 THEN '[0.2,0.4)' WHEN s_form < 0.6 THEN '[0.4,0.6)' WHEN s_form < 0.8 THEN '[0.6,0.8)' ELSE '[0.8,1.0]' END AS bucket, count(*) AS n FROM df GROUP BY 1",
     "domain_composition": COMPOSITION_SQL, "tag_distribution": TAG_SQL,
