@@ -548,6 +548,14 @@ def grid_matches(predicted: list[dict], truth: list[dict], parents: dict[str, st
     return sum(table[i][j] for i, j in pairs), pairs, named
 
 
+def grid_agreement(a: list[dict], b: list[dict]) -> float | None:
+    """F1 of two annotations' grids: those that overlap by half are matched for the most likeness of their topology; nothing if neither has a grid."""
+    cells = lambda g: [(c["r"], c["c"], c["h"], c["w"]) for c in g["cells"]]
+    like = lambda x, y: found[0] if K.box_overlap(x["bbox"], y["bbox"]) >= 0.5 and (found := K.grid_topology(cells(x), cells(y))) else 0.0
+    table = [[like(x, y) for y in b] for x in a]
+    return 2 * sum(table[i][j] for i, j in K.best_weights(table)) / (len(a) + len(b)) if a or b else None
+
+
 def group_matches(predicted: list[dict], truth: list[dict]) -> float:
     """Total similarity of widget groups of one type, members matched on type, state and place."""
     return K.widget_groups(predicted, truth)[0]

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.boxes import area
-from quillmark.functions.structures import EMPTY_MARKS, NO_WORDS, SECTION_MEMBERS
+from quillmark.functions.metadata import part
+from quillmark.functions.structures import EMPTY_MARKS, NO_WORDS, SECTION_MEMBERS, dicts
 from quillmark.operators.lineage import cut
 from quillmark.operators.pages import rowwise
 
@@ -180,22 +181,22 @@ def layout_elements(df: DataFrame, layout: str) -> DataFrame:
         if not isinstance(value, dict):
             return ([],)
         out = []
-        stack = [((), f, 0) for f in reversed(value.get("fields", []))]
+        stack = [((), f, 0) for f in reversed(dicts(value.get("fields")))]
         while stack:
             above, f, depth = stack.pop()
             path = (*above, str(f.get("semantic_key") or f.get("original_label") or "").strip())
             out.append(("region", path, "key", depth))
-            values = [v for v in (f.get("value"), *(f.get("values") or ())) if isinstance(v, dict)]
+            values = [v for v in (f.get("value"), *dicts(f.get("values"))) if isinstance(v, dict)]
             for v in values:
                 kind = str(v.get("data_type") or f.get("data_type") or "text")
                 out.append(("widget" if re.search("check|radio|select", kind) else "cell" if "row_id" in v else "region", path, kind, depth + 1))
                 out.append(("relation", path, "key-value", depth))
-            children = [k for k in f.get("keys") or () if isinstance(k, dict)]
+            children = dicts(f.get("keys"))
             out += [("relation", path, "parent-child", depth)] * len(children)
             stack += [(path, k, depth + 1) for k in reversed(children)]
-        for s in value.get("metadata", {}).get("layout_structure", {}).get("sections", []):
+        for s in dicts(part(part(value, "metadata"), "layout_structure").get("sections")):
             out.append(("region", (str(s.get("title")),), "section", 0))
-            out += [("region", (str(s.get("title")),), "table", 1)] * len(s.get("table_regions", []))
+            out += [("region", (str(s.get("title")),), "table", 1)] * len(s["table_regions"] if isinstance(s.get("table_regions"), list) else ())
         return ([{"element": e, "path": list(p), "kind": k, "depth": d} for e, p, k, d in out],)
 
     rows = rowwise(df, [layout], {"__e": "array<struct<element:string,path:array<string>,kind:string,depth:int>>"}, kernel)

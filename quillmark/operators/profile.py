@@ -51,14 +51,15 @@ def same_multiset(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def text_neighbours(left: DataFrame, right: DataFrame, left_key: str, right_key: str, grams: Column, k: int) -> DataFrame:
-    """(left_key, rank, right_key, cosine): nearest right rows by TF-IDF of ``grams``, an array column of either side. Only pairs that share a gram are made."""
+def text_neighbours(left: DataFrame, right: DataFrame, left_key: str, right_key: str, grams: Column, k: int, apart: bool = False) -> DataFrame:
+    """(left_key, rank, right_key, cosine): nearest right rows by TF-IDF of ``grams``, an array column of either side. Only pairs that share a gram are made; with ``apart`` rows of one key are no neighbours."""
     count = lambda d, key: d.select(F.col(key), F.explode(grams).alias("g")).groupBy(key, "g").agg(F.count("*").alias("tf"))
     l, r = count(left, left_key), count(right, right_key)  # noqa: E741
     n = right.count()
     idf = r.groupBy("g").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
     weigh = lambda d, key: d.join(idf, "g").withColumn("w", F.col("tf") * F.col("idf")).withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).select(key, "g", "w")
     a, b = weigh(l, left_key).withColumnRenamed("w", "wa"), weigh(r, right_key).withColumnRenamed("w", "wb")
-    scored = a.join(b, "g").groupBy(left_key, right_key).agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine"))
+    both = a.join(b, "g")
+    scored = (both.where(F.col(left_key) != F.col(right_key)) if apart else both).groupBy(left_key, right_key).agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine"))
     rank = Window.partitionBy(left_key).orderBy(F.desc("cosine"), right_key)
     return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(left_key, "rank", right_key, "cosine")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillmark.plans import datasets, kernels, layout, predictions, profiles, rollups, semantic, structure, summaries
+from quillmark.plans import datasets, kernels, layout, metadata, predictions, profiles, rollups, semantic, structure, summaries
 
-_PARTS = (semantic, structure, rollups, datasets, kernels, layout, predictions, profiles, summaries)
+_PARTS = (semantic, structure, rollups, datasets, kernels, layout, metadata, predictions, profiles, summaries)
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 SQL: dict[str, str] = {k: s for part in _PARTS for k, s in part.SQL.items()}

@@ -78,11 +78,11 @@ def box_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items against each other and by words of four letters or more: the nearest two."""
+    """Benchmark items against each other and by words of four letters or more: the nearest three others."""
     b = X.table(spark, sf_dir, "benchmark")
     grams = F.filter(words(F.lower("text")), lambda w: F.length(w) >= 4)
-    near = P.text_neighbours(b.withColumnRenamed("item_id", "query_id"), b, "query_id", "item_id", grams, 3)
-    return near.where("query_id <> item_id").select("query_id", "item_id", "cosine")
+    near = P.text_neighbours(b.withColumnRenamed("item_id", "query_id"), b, "query_id", "item_id", grams, 3, apart=True)
+    return near.select("query_id", "item_id", "cosine")
 
 
 def gold_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ SQL = {
         SELECT p_brand, sum(round(x * 1000))::BIGINT AS x2, sum(round(y * 1000))::BIGINT AS y2, round(avg(greatest(i / (x * y + 0.12 - i), near)), 6) AS score FROM s GROUP BY 1""",
     "tfidf_neighbours": r"""WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: length(x) >= 4)) AS g FROM benchmark), t AS (SELECT item_id, g, count(*) AS tf FROM w GROUP BY ALL),
         i AS (SELECT g, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY 1), v AS (SELECT item_id, g, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY item_id)) AS x FROM t JOIN i USING (g)),
-        c AS (SELECT a.item_id AS query_id, b.item_id, round(sum(a.x * b.x), 6) AS cosine FROM v a JOIN v b USING (g) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS r FROM c)
-        SELECT query_id, item_id, cosine FROM k WHERE r <= 3 AND query_id <> item_id""",
+        c AS (SELECT a.item_id AS query_id, b.item_id, round(sum(a.x * b.x), 6) AS cosine FROM v a JOIN v b USING (g) WHERE a.item_id <> b.item_id GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS r FROM c)
+        SELECT query_id, item_id, cosine FROM k WHERE r <= 3""",
     "gold_identity": f"WITH {X.INDEX_SQL} SELECT unnest(['tsr_path', 'vacc', 'wacc', 'page_em']) AS metric, count(*) AS n, 0::BIGINT AS n_wrong FROM pg GROUP BY 1",
 }

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.operators.lineage import cut
+
 INDEX = T.StructType([T.StructField(c, T.StringType()) for c in ("sample_id", "template_name", "instance_id", "image_path", "label_path")])
 #: Order of degradation levels.
 LEVEL_ORDER = {"low": 0, "medium": 1, "high": 2}
@@ -128,15 +130,25 @@ def chosen_models(config: list[dict], asked: list[str] | None = None) -> list[di
     return [m for m in config if m.get("enabled", True)]
 
 
-def resolved_spaces(manifest: DataFrame, depth: int = 16) -> DataFrame:
-    """(run, source_space): runs without a space of their own take that of the run they inherit from; a cycle or an open end gives null."""
-    now = manifest.select("run", F.col("source_space"), F.col("inherits").alias("next"))
-    base = manifest.select(F.col("run").alias("next"), F.col("source_space").alias("s2"), F.col("inherits").alias("n2"))
-    for _ in range(depth):
-        now = now.join(F.broadcast(base), "next", "left").select("run", F.coalesce("source_space", "s2").alias("source_space"), F.when(F.col("source_space").isNull() & F.col("s2").isNull(), F.col("n2")).alias("next"))
+def resolved_spaces(manifest: DataFrame) -> DataFrame:
+    """(run, source_space): runs without a space of their own take that of the run they inherit from; a cycle or an open end gives null.
+
+    Pointers are doubled, so as many rounds as the count of runs has bits reach the end of any chain.
+    """
+    now = manifest.select("run", "source_space", F.col("inherits").alias("next"))
+    for _ in range(manifest.count().bit_length()):
+        above = now.select(F.col("run").alias("next"), F.col("source_space").alias("s2"), F.col("next").alias("n2"))
+        open_end = F.col("source_space").isNull() & F.col("s2").isNull()
+        now = cut(now.join(above, "next", "left").select("run", F.coalesce("source_space", "s2").alias("source_space"), F.when(open_end, F.col("n2")).alias("next")))
     return now.select("run", "source_space")
 
 
+def layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """(template_name, layout): the JSON texts of a folder with one file a template."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("template_name"), F.col("value").alias("layout"))
+
+
 def attempted(*parts: DataFrame, key: str = "sample_id") -> DataFrame:
     """Distinct ids over several sources of attempts."""
     return reduce(DataFrame.union, [p.select(key) for p in parts]).where(F.col(key).isNotNull()).distinct()

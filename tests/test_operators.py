@@ -29,6 +29,76 @@ def test_scan_and_selection(spark, tmp_path):
     assert sum(Z.shard(index, 3, k).count() for k in range(3)) == 3
 
 
+def test_layouts_and_long_chains(spark, tmp_path):
+    for name in ("a", "b_c"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"name": name}, indent=1))
+    (tmp_path / "notes.txt").write_text("no")
+    assert {r.template_name: json.loads(r.layout)["name"] for r in Z.layouts(spark, str(tmp_path)).collect()} == {"a": "a", "b_c": "b_c"}
+    chain = [("r0", "pixel", None)] + [(f"r{i}", None, f"r{i - 1}") for i in range(1, 40)] + [("x", None, "y"), ("y", None, "x")]
+    got = {r.run: r.source_space for r in Z.resolved_spaces(spark.createDataFrame(chain, "run string, source_space string, inherits string")).collect()}
+    assert got["r39"] == "pixel" and got["x"] is None and got["y"] is None and sum(v == "pixel" for v in got.values()) == 40
+
+
+def test_field_paths_of_any_depth(spark):
+    from quillmark.operators import layout as L
+
+    nodes = spark.createDataFrame([(f"n{i}", f"l{i}") for i in range(16)], "id string, label string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(15)], "source string, target string")
+    got = {r.id: r.path for r in L.field_paths(nodes, edges).collect()}
+    assert len(got) == 16 and got["n15"] == [f"l{i}" for i in range(16)]
+
+
+def test_parsers_take_broken_texts(spark):
+    from quillmark.operators import layout as L
+    from quillmark.operators import pages as G
+    from quillmark.operators import predictions as D
+
+    df = spark.createDataFrame([(None,), ("{",), ("[1]",), ("7",), ('{"fields": 3, "local_grids": {"a": 1}, "widgets": [1], "relations": "x"}',)], "raw string")
+    assert D.adapted(df, "raw").count() == D.parsed(df, "raw").count() == 5 and L.layout_elements(df, "raw").count() == 0
+    assert [r.answer_hash is None for r in G.hashed_answers(df, "raw").collect()] == [True, True, False, False, False]
+    assert G.repeated_members(df, "raw").count() == 0 and G.pipeline_pages(df, "raw").count() == 5
+    scored = D.page_scores(df.withColumn("truth", F.lit(None).cast("string")), "truth", "raw")
+    assert [r.valid for r in scored.collect()] == [False, False, False, False, True]
+
+
+def test_a_grid_takes_its_other_shape(spark):
+    cell = lambda r, c, h=1, w=1: {"r": r, "c": c, "h": h, "w": w}
+    rows = [(1, [cell(0, 0), cell(0, 1)]), (2, [cell(0, 0), cell(1, 0), cell(2, 0)]), (3, [cell(0, 0)]), (4, [cell(0, 0, 2, 1), cell(0, 1), cell(1, 1)])]
+    df = spark.createDataFrame(rows, "id int, cells array<struct<r:int,c:int,h:int,w:int>>").select("id", P.reshaped_grid(F.col("cells")).alias("g"))
+    got = {r.id: r.g and [(x.r, x.c, x.h, x.w) for x in r.g] for r in df.collect()}
+    assert got == {1: [(0, 0, 1, 1), (1, 0, 1, 1)], 2: [(0, 0, 1, 1), (0, 1, 1, 1), (0, 2, 1, 1)], 3: None, 4: [(0, 0, 1, 1), (1, 0, 1, 1), (2, 0, 1, 1)]}
+
+
+def test_checks_raise_when_read(spark):
+    from quillmark.operators import summaries as Y
+
+    df = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
+    assert Y.checked_counts(df, "k", {"a": 2, "b": 1}).count() == 2
+    with pytest.raises(Exception, match="partition has changed"):
+        Y.checked_counts(df, "k", {"a": 2, "b": 2}).collect()
+    one, two = spark.createDataFrame([(1, "x"), (2, "y")], "id int, a string"), spark.createDataFrame([(1, "z")], "id int, b string")
+    with pytest.raises(Exception, match="a source lacks"):
+        Y.joined_sources({"one": one, "two": two}, "id").collect()
+    levels = spark.createDataFrame([("m", "L1", 2, 0.5), ("m", "L2", 2, 1.0)], "model string, level string, n_pages int, s double")
+    good, bad = (spark.createDataFrame([("m", 4, x)], "model string, n_total int, s double") for x in (0.75, 0.7))
+    assert Y.reconstructed(levels, good, ["s"]).first().n_total == 4
+    with pytest.raises(Exception, match="do not add up"):
+        Y.reconstructed(levels, bad, ["s"]).collect()
+    a, b = spark.createDataFrame([("t", 1, 2, 3)], "type string, tp int, pred int, gt int"), spark.createDataFrame([("t", 1, 2, 4)], "type string, tp int, pred int, gt int")
+    with pytest.raises(Exception, match="relation types"):
+        Y.paired_types(a, b).collect()
+
+
+def test_hubs_of_a_graph(spark, monkeypatch):
+    from quillmark.operators import lineage
+
+    monkeypatch.setattr(lineage, "HUB", 20)
+    monkeypatch.setattr(lineage, "HUBS", 2)
+    edges = [(0, i) for i in range(1, 200)] + [(300 + i, 301 + i) for i in range(10)] + [(150, 400), (400, 401)]
+    got = {r.node: r.root for r in lineage.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in [*range(1, 200), 400, 401]} | {i: 300 for i in range(301, 311)}
+
+
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("m", 0.5, 3), ("n", None, None)], "model string, score double, n int")
     assert [tuple(r) for r in Z.report_columns(df, ["model", "score", "n"]).collect()] == [("m", "0.5000", "3"), ("n", "NA", "NA")]
