@@ -102,16 +102,11 @@ def repeated_edges(rows: DataFrame, buckets: int, rule: R.Rule) -> DataFrame:
 UNITS = R.Units(cut=bytes.split, joined=b" ".join, nodes=lambda words: edges_of(symbols_of(words), WINDOW - 1))
 
 
-def compacted(found: DataFrame, links: DataFrame) -> DataFrame:
-    """(bucket, doc, tag, start, n) of spans: paths of a document that meet at a node without a branch become one.
-
-    links (node, went, came) are the graph's edges at their nodes: a node has a branch if different edges leave it, or enter it.
-    """
-    degrees = links.groupBy("node").agg(*[f(c).alias(f"{n}_{c}") for c in ("went", "came") for n, f in (("low", F.min), ("high", F.max))])
+def compacted(found: DataFrame, simple: DataFrame) -> DataFrame:
+    """(bucket, doc, tag, start, n) of spans: paths of a document that meet at one of the nodes ``simple`` become one."""
     # The node is re-made on both sides so that both are shuffled for this join, and a node that very many paths meet in can be split.
-    simple = degrees.where("low_went = high_went and low_came = high_came").select(F.expr("node ^ 1").alias("node"), F.lit(True).alias("simple"))
-    met = found.select(F.expr("tail ^ 1").alias("node")).distinct()
-    marked = found.withColumn("at", F.expr("tail ^ 1")).join(simple.join(met, "node", "left_semi"), F.col("at") == F.col("node"), "left").drop("node", "at")
+    known = simple.select(F.expr("node ^ 1").alias("node"), F.lit(True).alias("simple"))
+    marked = found.withColumn("at", F.expr("tail ^ 1")).join(known, F.col("at") == F.col("node"), "left").drop("node", "at")
     along = Window.partitionBy("doc", "tag").orderBy("start")
     joined = F.coalesce("simple", F.lit(False)) & (F.lag(F.col("start") + F.col("n")).over(along) == F.col("start"))
     numbered = marked.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
@@ -127,7 +122,8 @@ def finish(doc, text: bytes, starts, counts):
 def repeated_spans(texts: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     met = R.meet(R.records(docs, RULE, symbols, buckets), RULE, buckets, 1 << 30)
     marks = repeated_edges(R.ask(texts, met, answer(buckets, RULE)), buckets, RULE)
-    return compacted(*R.verified(texts, docs, marks, buckets, RULE, UNITS))
+    found, seen = R.verified(texts, docs, marks, buckets, RULE, UNITS)
+    return compacted(found, R.simple_nodes(seen, found, buckets))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

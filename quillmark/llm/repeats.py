@@ -51,7 +51,7 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 C1, C2, C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xFF51AFD7ED558CCD)
 ROWS = "bucket int, kind int, data binary"
 #: Kinds of packed rows and the columns of each. Integers of a place: doc, tag, start, count of windows.
-FULL, OPEN, TEXTS, SORTED, EDGE = 1, 2, 4, 5, 6
+FULL, OPEN, TEXTS, SORTED, EDGE, NODE, END = 1, 2, 4, 5, 6, 7, 8
 PLACE = (("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("n", "<u1"))
 KINDS = {
     0: (("anchor", "<u8"), ("content", "<u8"), *PLACE, ("offset", "<u1")),
@@ -59,6 +59,8 @@ KINDS = {
     OPEN: (*PLACE, ("offset", "<u1"), ("anchor", "<u8"), ("shards", "<u4")),
     SORTED: (*PLACE, ("offset", "<u1"), ("anchor", "<u8"), ("shard", "<u4"), ("shards", "<u4")),
     EDGE: (("edge", "<u8"), *PLACE),
+    NODE: (("doc", "<i8"), ("went", "<i8"), ("came", "<i8"), ("has", "<u1")),  # doc: the node; has: 1 an edge that leaves it, 2 one that enters it
+    END: (("doc", "<i8"),),
 }
 
 
@@ -482,13 +484,13 @@ def paths(texts: DataFrame, marks: DataFrame, buckets: int, rule: Rule, own: Uni
     return texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(run, PATHS)
 
 
-def at_sources(texts: DataFrame, found: DataFrame, rule: Rule, own: Units) -> DataFrame:
-    """The (source, digest) of paths that stand there, and the links of the graph that they cover: (node, went, came) with the windows that leave and enter each node.
+def at_sources(texts: DataFrame, found: DataFrame, buckets: int, rule: Rule, own: Units) -> DataFrame:
+    """(source, digest) of the paths that stand there; and, packed under their buckets, the graph's nodes that they cover with the edges that leave and enter each.
 
-    What very many copies ask of one source is asked once. Rows with a node are links, the others sources.
+    What very many copies ask of one source is asked once. Rows with data are nodes, the others sources.
     """
     asked = found.select("src_bucket", *SOURCE).distinct()
-    schema = "src_doc long, src_start int, once int, digest binary, node long, went long, came long"
+    schema = f"src_doc long, src_start int, once int, digest binary, {ROWS}"
     kinds, names = _arrow_types(texts, schema), [c.split()[0] for c in schema.split(", ")]
 
     def run(key, left: pa.Table, right: pa.Table):
@@ -497,7 +499,7 @@ def at_sources(texts: DataFrame, found: DataFrame, rule: Rule, own: Units) -> Da
             rows.setdefault(d, []).append(i)
         start, n, digest = (right.column(c).to_pylist() for c in ("src_start", "once", "digest"))
         true: set[int] = set()
-        links: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, bool))]
+        met: list[dict[str, np.ndarray]] = [{c: np.zeros(0, t) for c, t in KINDS[NODE]}]
         with np.errstate(over="ignore"):
             for doc, text in texts_of(by_kind(left).get(TEXTS, [])) if rows else ():
                 if not (mine := rows.get(doc)):
@@ -509,29 +511,73 @@ def at_sources(texts: DataFrame, found: DataFrame, rule: Rule, own: Units) -> Da
                 if nodes is not None:
                     inside = np.unique(np.concatenate([np.arange(start[i], start[i] + n[i]) for i in good]))
                     at = np.union1d(inside, inside + 1)
-                    edge = lambda p: (nodes[p] * C1) ^ nodes[p + 1]
+                    edge = lambda p: ((nodes[p] * C1) ^ nodes[p + 1]).view(np.int64)
                     went, came = np.isin(at, inside), np.isin(at - 1, inside)
-                    links.append((nodes[at], edge(np.where(went, at, at - 1)), went, edge(np.where(came, at - 1, at)), came))
+                    met.append({"doc": nodes[at].view(np.int64), "went": edge(np.where(went, at, at - 1)), "came": edge(np.where(came, at - 1, at)), "has": (went + 2 * came).astype(np.uint8)})
+            cols = {c: np.concatenate([m[c] for m in met]) for c, _ in KINDS[NODE]}
+            packed = list(dealt(NODE, cols, spread(cols["doc"], buckets)))
         tidy()
-        node, went, has_went, came, has_came = (np.concatenate(c) for c in zip(*links, strict=True))
         sources = right.select(SOURCE).take(pa.array(sorted(true), pa.int64()))
-        first = pa.Table.from_arrays([*(sources.column(c).combine_chunks().cast(t) for c, t in zip(SOURCE, kinds, strict=False)), *[pa.nulls(len(sources), pa.int64())] * 3], names=names)
-        ends = [pa.array(node.view(np.int64)), pa.array(went.view(np.int64), mask=~has_went), pa.array(came.view(np.int64), mask=~has_came)]
-        return pa.concat_tables([first, pa.Table.from_arrays([*[pa.nulls(len(node), t) for t in kinds[:4]], *ends], names=names)])
+        first = pa.Table.from_arrays([*(sources.column(c).combine_chunks().cast(t) for c, t in zip(SOURCE, kinds, strict=False)), *(pa.nulls(len(sources), t) for t in kinds[4:])], names=names)
+        columns = list(zip(*packed, strict=True)) if packed else [[]] * 3
+        return pa.concat_tables([first, pa.Table.from_arrays([*(pa.nulls(len(packed), t) for t in kinds[:4]), *(pa.array(c, t) for c, t in zip(columns, kinds[4:], strict=True))], names=names)])
 
     return texts.groupBy("bucket").cogroup(asked.groupBy("src_bucket")).applyInArrow(run, schema)
 
 
+def branchless(cols: dict[str, np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """Nodes among ``ends`` that one edge leaves and one enters, however often each is told."""
+    pick = np.isin(cols["doc"], ends)
+    node, went, came, has = (cols[c][pick] for c in ("doc", "went", "came", "has"))
+    order = np.argsort(node, kind="stable")
+    node, went, came, has = (x[order] for x in (node, went, came, has))
+    if not len(node):
+        return node
+    at = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    one = np.ones(len(at), bool)
+    for edge, bit in ((went, 1), (came, 2)):
+        told = (has & bit) > 0
+        low, high = np.minimum.reduceat(np.where(told, edge, most), at), np.maximum.reduceat(np.where(told, edge, least), at)
+        one &= low == high  # most > least: a node that no edge leaves, or enters, is no such node
+    return node[at][one]
+
+
+def simple_nodes(seen: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+    """(node): where paths meet and the graph has no branch, counting the edges of ends and insides of all paths."""
+
+    def ends(batches):
+        for b in batches:
+            tail = np.unique(b.column(0).to_numpy())
+            with np.errstate(over="ignore"):
+                yield from arrow(dealt(END, {"doc": tail}, spread(tail, buckets)))
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = by_kind(table)
+        tails = np.unique(unpack(END, kinds.get(END, []))["doc"])
+        # One packed row after another, so that a bucket never holds all its nodes at full length.
+        held = [{c: np.zeros(0, t) for c, t in KINDS[NODE]}]
+        for blob in kinds.get(NODE, []):
+            cols = unpack(NODE, [blob])
+            held.append(take(cols, np.isin(cols["doc"], tails)))
+        nodes = branchless({c: np.concatenate([h[c] for h in held]) for c, _ in KINDS[NODE]}, tails)
+        tidy()
+        return pa.Table.from_arrays([pa.array(nodes, pa.int64())], names=["node"])
+
+    rows = seen.where("data is not null").select("bucket", "kind", "data").union(found.select("tail").mapInArrow(ends, ROWS))
+    return rows.groupBy("bucket").applyInArrow(run, "node long")
+
+
 def verified(texts: DataFrame, docs: DataFrame, marks: DataFrame, buckets: int, rule: Rule, own: Units) -> tuple[DataFrame, DataFrame]:
-    """(paths that stand at their sources, links of the graph): windows of the others are looked up."""
+    """(paths that stand at their sources, what was seen there): windows of the others are looked up."""
     found = cut(paths(texts, marks, buckets, rule, own))
-    seen = cut(at_sources(texts, found, rule, own))
-    sources, links = seen.where("node is null").select(*SOURCE), seen.where("node is not null").select("node", "went", "came")
+    seen = cut(at_sources(texts, found, buckets, rule, own))
+    sources = seen.where("data is null").select(*SOURCE)
     good = found.join(sources.distinct(), SOURCE, "left_semi")
     bad = cut(found.join(sources, SOURCE, "left_anti"))
     if bad.isEmpty():
-        return good, links
-    return good.unionByName(looked_up(texts, docs, bad, buckets, rule, own)), links
+        return good, seen
+    return good.unionByName(looked_up(texts, docs, bad, buckets, rule, own)), seen
 
 
 def looked_up(texts: DataFrame, docs: DataFrame, bad: DataFrame, buckets: int, rule: Rule, own: Units) -> DataFrame:

@@ -117,8 +117,12 @@ def test_graph_compacts_only_without_branches(spark):
     """A row of paths becomes one span where no other edge leaves or enters the node between, also inside another path."""
     path = "bucket int, doc long, tag long, start int, n int, tail long, head long"
     found = spark.createDataFrame([(0, 9, 1, 0, 3, 10, 20), (0, 9, 1, 3, 4, 20, 30), (0, 9, 1, 7, 2, 30, 40), (0, 9, 1, 20, 1, 40, 50)], path)
-    links = spark.createDataFrame([(20, 1, None), (20, None, 2), (30, 3, None), (30, 4, None), (30, None, 5), (40, 6, None)], "node long, went long, came long")
-    assert sorted((r.start, r.n) for r in debruijn_dedup.compacted(found, links).collect()) == [(0, 7), (7, 2), (20, 1)]
+    told = [(20, 1, 2, 3), (20, 1, 0, 1), (30, 3, 5, 3), (30, 4, 0, 1), (40, 6, 0, 1), (50, 0, 7, 2), (60, 8, 9, 3)]
+    cols = {c: np.array(x, t) for (c, t), x in zip(repeats.KINDS[repeats.NODE], zip(*told))}
+    nodes = repeats.branchless(cols, np.array([10, 20, 30, 40]))
+    assert nodes.tolist() == [20]
+    simple = spark.createDataFrame([(int(n),) for n in nodes], "node long")
+    assert sorted((r.start, r.n) for r in debruijn_dedup.compacted(found, simple).collect()) == [(0, 7), (7, 2), (20, 1)]
 
 
 def test_debruijn_dedup(docs, texts):
