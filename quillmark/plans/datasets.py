@@ -228,6 +228,20 @@ def split_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.groupBy("split", "level").agg(F.count("*").alias("n"), F.min("template_name").alias("first_template"))
 
 
+#: DuckDB: quotas as a list, level by level, to which one is added at a time where row and column have room.
+SPLIT_SQL = f"""{FEATURE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, ns AS (SELECT list(level ORDER BY level) AS ls, list(n ORDER BY level) AS ns, sum(n) AS t FROM (SELECT level, count(*) AS n FROM df GROUP BY level)),
+st AS (SELECT ls, ns, [floor(t * 0.7::DOUBLE), floor(t * 0.15::DOUBLE), t - floor(t * 0.7::DOUBLE) - floor(t * 0.15::DOUBLE)] AS cs, list_transform(range(1, 3 * len(ns) + 1), lambda k: ns[(k - 1) // 3 + 1] * ([0.7, 0.15, 0.15]::DOUBLE[])[(k - 1) % 3 + 1]) AS raw FROM ns),
+qs AS (SELECT ls, ns, cs, raw, list_transform(raw, lambda x: floor(x)::INT) AS q, 0 AS step FROM st
+  UNION ALL SELECT ls, ns, cs, raw, list_transform(range(1, len(q) + 1), lambda k: q[k] + (k = pick)::INT), step + 1 FROM (
+    SELECT *, CASE WHEN list_max(sc) > -99 THEN list_position(sc, list_max(sc)) END AS pick FROM (
+      SELECT *, list_transform(range(1, len(q) + 1), lambda k: CASE WHEN ns[(k - 1) // 3 + 1] > list_sum(q[(k - 1) // 3 * 3 + 1:(k - 1) // 3 * 3 + 3])
+        AND cs[(k - 1) % 3 + 1] > list_sum(list_transform(range(0, len(ns)), lambda l: q[l * 3 + (k - 1) % 3 + 1])) THEN raw[k] - q[k] ELSE -99 END) AS sc FROM qs)) WHERE pick IS NOT NULL),
+fq AS (SELECT * FROM qs ORDER BY step DESC LIMIT 1),
+bd AS (SELECT ls[(k - 1) // 3 + 1] AS level, ['train', 'validation', 'test'][(k - 1) % 3 + 1] AS split, coalesce(list_sum(q[(k - 1) // 3 * 3 + 1:k - 1]), 0) AS low, list_sum(q[(k - 1) // 3 * 3 + 1:k]) AS high FROM (SELECT *, unnest(range(1, len(q) + 1)) AS k FROM fq)),
+pl AS (SELECT template_name, level, row_number() OVER (PARTITION BY level ORDER BY sha256('42|' || template_name)) - 1 AS place FROM df)
+SELECT split, pl.level, count(*) AS n, min(template_name) AS first_template FROM pl JOIN bd ON pl.level = bd.level AND place >= low AND place < high GROUP BY ALL"""
+
+
 def region_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share and cumulative share of parts by size, with a row for every size from 1 to the largest."""
     n = X.table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("size")).agg(F.count("*").alias("n"))
@@ -254,6 +268,7 @@ SELECT conv_id, n_messages, roles, length(line) AS n_chars, md5(line) AS digest
 
 QUERIES = {f.__name__: f for f in (answer_profile, template_diversity, modal_tags, value_corruption, exact_duplicates, near_duplicates, dup_components, hamming_pairs, embedding_cosine_topk, overlap_candidates, js_divergence, wasserstein_norm, gower_nn, coverage_tau, cohen_kappa, domain_classify, split_composition, region_cdf, sft_messages)}
 SQL = {
+    "split_composition": SPLIT_SQL,
     "answer_profile": ANSWER_SQL,
     "template_diversity": DIVERSITY_SQL,
     "modal_tags": MODAL_SQL,
