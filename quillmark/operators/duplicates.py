@@ -46,8 +46,11 @@ def classes(df: DataFrame, key: str, group: str, text: str, least: float = 0.8)
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text", n: int = 8, least: float = 0.5) -> DataFrame:
-    """(left_key, right_key, n_shared, share): rows of two datasets that share at least this part of the right one's word n-grams."""
-    grams = lambda df, k: df.select(F.col(k), F.explode(F.array_distinct(F.transform(word_shingles(F.col(text), n), lambda s: F.xxhash64(s)))).alias("x"))
+    """(left_key, right_key, n_shared, share): rows of two datasets that share at least this part of the right one's word n-grams.
+
+    N-grams are joined as they are, not by a hash; of a small right side they are broadcast by size, and the left side isn't moved at all.
+    """
+    grams = lambda df, k: df.select(F.col(k), F.explode(word_shingles(F.col(text), n)).alias("x"))
     sizes = right.select(F.col(right_key), F.size(word_shingles(F.col(text), n)).alias("size"))
     shared = grams(left, left_key).join(grams(right, right_key), "x").groupBy(left_key, right_key).agg(F.count("*").alias("n_shared"))
     return shared.join(sizes, right_key).select(left_key, right_key, "n_shared", (F.col("n_shared") / F.col("size")).alias("share")).where(F.col("share") >= least)

@@ -193,4 +193,35 @@ def test_streaming_ingestion(spark, tmp_path):
         q = ingest.run(ingest.stream(spark, str(source)), table, str(tmp_path / "check"))
         q.awaitTermination(60)
         (source / f"{k}.json").write_text(line("m", "a", "new", "2024-01-02T00:00:00Z") + "\n")
-    assert {r.sample_id: r.raw_text for r in spark.read.parquet(f"{table}/v1").collect()} == {"a": "new", "b": "x"}
+    assert {r.sample_id: r.raw_text for r in ingest.latest(spark, table).collect()} == {"a": "new", "b": "x"}
+    assert spark.read.parquet(table).count() == 3  # each batch wrote its own lines only
+    (source / "4.json").write_text(line("m", "c", "more", "2024-01-03T00:00:00Z") + "\n")
+    ingest.run(ingest.stream(spark, str(source)), table, str(tmp_path / "another")).awaitTermination(60)  # reads all again
+    assert {r.sample_id: r.raw_text for r in ingest.latest(spark, table).collect()} == {"a": "new", "b": "x", "c": "more"}
+    ingest.compacted(spark, table, str(tmp_path / "small"))
+    assert ingest.latest(spark, str(tmp_path / "small")).count() == 3
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from quillmark.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 5)
+    x = np.random.default_rng(5).normal(size=(200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [1.0]), (302, [None] * 8), (303, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in vectors.cosine_top(df, F.col("id") % 20 == 0, 3, "vec_id", "embedding").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    y = np.concatenate([x, np.zeros((1, 8))])
+    ids = np.array([*range(200), 303])
+    unit = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    for q in range(0, 200, 20):
+        s = (unit[q] @ unit.T).round(6)
+        assert got[q] == [int(ids[j]) for j in np.lexsort((ids, -s)) if ids[j] != q][:3]
+    near = {r.query_id: (r.n_within, r.nearest) for r in vectors.hamming_neighbours(df, F.col("id") % 20 == 0, 2, "vec_id", "embedding").collect()}
+    bits = y > 0
+    for q in range(0, 200, 20):
+        d = (bits[q] != bits).sum(axis=1)[ids != q]
+        assert near[q] == ((d <= 2).sum(), d.min())
