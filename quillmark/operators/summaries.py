@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions import kernels as K
+from quillmark.operators.distributions import wasserstein
+from quillmark.operators.lineage import components as connected
+from quillmark.operators.lineage import cut
 from quillmark.operators.rollup import drops, mean_of
 
-NUMBERED = "substr(sha2(concat_ws('|', {parts}), 256), 1, 8)"
-
 # --- ablation --------------------------------------------------------------------------------------
 
 
@@ -211,6 +214,29 @@ def resampled(clusters: DataFrame, by: list[str], cluster: str, total: str, weig
     return whole.join(interval, by).select(*by, "estimate", F.col("__q")[0].alias("low"), F.col("__q")[1].alias("high"), "n_clusters")
 
 
+def wasserstein_interval(values: DataFrame, value: str, side: Column, rounds: int = 1000, seed: int = 20260720) -> DataFrame:
+    """One row: distance of the two sides' values, and a 95 % interval of it with the values of the first side resampled. ``side`` is true for the reference."""
+    marked = values.select(F.col(value).cast("double").alias("x"), side.alias("ref")).where("x is not null")
+    placed = marked.where("not ref").withColumns({"i": (F.row_number().over(Window.orderBy("x")) - 1).cast("long"), "n": F.count(F.lit(1)).over(Window.partitionBy())})
+    spark = values.sparkSession
+    turns = spark.range(rounds).withColumnRenamed("id", "round")
+    slots = turns.crossJoin(placed.select(F.col("i").alias("slot"), "n"))
+    draws = slots.select("round", F.pmod(drawn(str(seed), F.col("round").cast("string"), F.col("slot").cast("string")), F.col("n")).alias("i"))
+    sampled = draws.join(F.broadcast(placed.select("i", "x")), "i").select("round", "x", F.lit(False).alias("ref"))
+    every = sampled.union(turns.crossJoin(marked.where("ref").select("x")).select("round", "x", F.lit(True)))
+    each = wasserstein(every, ["round"], "x", F.col("ref")).agg(F.percentile("distance", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    own = wasserstein(marked.withColumn("all", F.lit(1)), ["all"], "x", F.col("ref")).select("distance", "normalised")
+    return own.crossJoin(F.broadcast(each)).select("distance", "normalised", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def chosen_feature(candidates: dict[str, Column]) -> Column:
+    """struct<value, source>: the first candidate that is a number, and where it comes from; 0 and ``default`` if none is."""
+    number = lambda c: c.try_cast("double")
+    given = [(n, c) for n, c in candidates.items()]
+    source = reduce(lambda out, x: out.when(number(x[1]).isNotNull(), x[0]), given[1:], F.when(number(given[0][1]).isNotNull(), given[0][0])).otherwise("default")
+    return F.struct(F.coalesce(*[number(c) for _, c in given], F.lit(0.0)).alias("value"), source.alias("source"))
+
+
 def derived_seed(*parts: Column | str) -> Column:
     """First eight bytes, as a number, of the SHA-256 of the parts with zero bytes between them."""
     whole = F.concat_ws("\x00", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
@@ -326,6 +352,25 @@ def medoids(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return own.join(mean, ["cluster", "a"], "left").groupBy("cluster").agg(F.min(F.struct(F.coalesce("far", F.lit(0.0)).alias("far"), "a"))["a"].alias("representative"))
 
 
+def cohesive_clusters(edges: DataFrame, cohesive: DataFrame) -> DataFrame:
+    """(id, cluster): edges (a, b, place) merge clusters in the order of ``place`` where all pairs across them are in ``cohesive`` (a, b, a < b).
+
+    Each connected component is worked on by one task, as merges depend on those before; a component is a group of near copies.
+    """
+    roots = cut(connected(edges, "a", "b"))
+    own = lambda d: d.join(roots, F.col("a") == F.col("node"), "left").select("a", "b", *[c for c in d.columns if c not in ("a", "b")], F.coalesce("root", "a").alias("root"))
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(left.column(c).to_pylist() for c in ("place", "a", "b")), strict=True))
+        pairs = set(zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True))
+        found = K.cohesive_clusters([(a, b) for _, a, b in rows], pairs)
+        return pa.Table.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["id", "cluster"])
+
+    each = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "place")
+    other = cohesive.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    return own(each).groupBy("root").cogroup(own(other).groupBy("root")).applyInArrow(run, "id long, cluster long")
+
+
 def overlap_status(exact: Column, alias: Column, train: Column, bits: Column, layout: Column, jaccard: Column, cosine: Column, entities: Column) -> Column:
     """Whether pages of two datasets overlap: confirmed, suspected, or a candidate only."""
     confirmed = ((bits <= 8) & (layout >= 0.65)) | ((bits <= 14) & (layout >= 0.65) & ((entities >= 0.75) | (cosine >= 0.35))) | ((bits <= 14) & (cosine >= 0.70)) | ((layout >= 0.90) & (jaccard >= 0.35))

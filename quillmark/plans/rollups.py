@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.hashing import unit
 from quillmark.operators import rollup as R
+from quillmark.operators import summaries as Y
 from quillmark.plans.semantic import page_metrics
 from quillmark.sources import derived as X
 from quillmark.sources.derived import _u
@@ -27,9 +28,13 @@ def template_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates with structural and context score and level. What a layout would tell of sections, regions and direction follows from the counts."""
     f = template_features(spark, sf_dir)
     normed = f.withColumns({f"{c}_norm": R.midrank(F.col(c)) for c in FEATURES})
-    scored = normed.withColumns({"s_form": R.structural(GROUPS), "c_context": F.round(0.5 * F.col("n_items_norm") + 0.15 * (F.col("max_items") > 10).cast("double"), 4)})
+    order = Y.reading_order(F.col("n_pages") % 4, F.col("n_items") % 6, F.col("n_pages") % 5, F.col("n_items") % 3 == 0)
+    regions = Y.cross_region(F.col("n_items") % 6, F.col("n_pages") % 8, F.col("n_open") % 2, F.col("n_items"), 4 * F.col("n_pages"))
+    context = Y.context_score(F.col("max_items") / 12, F.col("n_parts_norm"), F.greatest(F.col("max_items") - 5, F.lit(0)).cast("double"), F.col("n_open_norm") > 0.5, order, F.col("n_pages") % 4, regions)
+    scored = normed.withColumns({"s_form": R.structural(GROUPS), "c_context": context})
     total = scored.withColumn("d_main", F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.col("s_form") + F.col("c_context"))))
     return R.leveled(total, "d_main")
 
@@ -45,7 +50,9 @@ fp AS (SELECT template_name, count(DISTINCT l_partkey) AS n_parts FROM pg JOIN l
 fx AS (SELECT * FROM ft JOIN fp USING (template_name)),
 nm AS (SELECT *, {", ".join(f"CASE WHEN {c} <= 0 THEN 0.0 WHEN min({c}) OVER () = max({c}) OVER () THEN 0.5 ELSE (rank() OVER (ORDER BY {c}) - 1 + count(*) OVER (PARTITION BY {c}) / 2.0) / count(*) OVER () END AS {c}_norm" for c in FEATURES)} FROM fx),
 sc AS (SELECT *, round(0.25 * n_pages_norm + 0.25 * greatest(n_items_norm, max_items_norm) + 0.25 * n_parts_norm + 0.25 * n_open_norm, 4) AS s_form,
-    round(0.5 * n_items_norm + 0.15 * (max_items > 10)::INT, 4) AS c_context FROM nm),
+    round(0.2::DOUBLE * CASE WHEN max_items / 12 >= 0.75 THEN 1 WHEN max_items / 12 >= 0.4 THEN 0.5 ELSE 0 END + 0.15::DOUBLE * n_parts_norm + 0.15::DOUBLE * least(1, greatest(max_items - 6, 0) / 2) + 0.15::DOUBLE * (n_open_norm > 0.5)::INT
+      + 0.15::DOUBLE * (CASE n_pages % 4 WHEN 0 THEN 0 WHEN 1 THEN 0.25 ELSE 0.35 END + CASE n_items % 6 WHEN 2 THEN 0.04 WHEN 3 THEN 0.08 WHEN 4 THEN 0.12 WHEN 5 THEN 0.12 ELSE 0 END + CASE WHEN n_pages % 5 >= 3 THEN 0.08 WHEN n_pages % 5 = 2 THEN 0.04 ELSE 0 END + CASE WHEN n_items % 3 = 0 THEN 0.25 ELSE 0 END)
+      + 0.15::DOUBLE * (n_pages % 4) / 3 + 0.05::DOUBLE * (CASE WHEN n_items % 6 >= 2 AND n_pages % 8 > 0 THEN least(0.35, 0.1 + 0.05 * (n_pages % 8)) ELSE 0 END + CASE WHEN n_items % 6 > 2 AND n_open % 2 > 0 THEN 0.1 ELSE 0 END + CASE WHEN n_items % 6 > 2 AND n_items > 4 * n_pages THEN 0.05 ELSE 0 END), 4) AS c_context FROM nm),
 dm AS (SELECT *, least(2.0, greatest(0.0, s_form + c_context)) AS d_main FROM sc),
 ct AS (SELECT quantile_cont(d_main, 0.158655) AS a, quantile_cont(d_main, 0.5) AS b, quantile_cont(d_main, 0.841345) AS c FROM dm),
 df AS (SELECT dm.*, CASE WHEN round(d_main, 4) < a THEN 'L1' WHEN round(d_main, 4) < b THEN 'L2' WHEN round(d_main, 4) < c THEN 'L3' ELSE 'L4' END AS level FROM dm CROSS JOIN ct)"""

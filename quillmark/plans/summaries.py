@@ -506,6 +506,42 @@ def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.medoids(pairs, members)
 
 
+# Places 1 to 5 in order: 1-2 merge; 3 joins them, as 1-3 and 2-3 are cohesive; 4-5 merge; 3-4 would join five, but 1-5 isn't cohesive; 6-7 aren't cohesive at all.
+ACCEPTED = [(1, 2, 1), (2, 3, 2), (5, 4, 3), (3, 4, 4), (6, 7, 5)]
+COHESIVE = [(1, 2), (1, 3), (2, 3), (4, 5), (1, 4), (2, 4), (3, 4), (2, 5), (3, 5)]
+
+
+def page_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.cohesive_clusters(spark.createDataFrame(ACCEPTED, "a int, b int, place int"), spark.createDataFrame(COHESIVE, "a int, b int"))
+
+
+def wasserstein_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of the templates' mean scores of m1 and m2, with an interval."""
+    t = page_metrics(spark, sf_dir).where("model <> 'm0'").groupBy("model", "template_name").agg(F.round(F.avg("tsr_path"), 9).alias("x"))
+    return rounded(Y.wasserstein_interval(t, "x", F.col("model") == "m2", 200))
+
+
+WASSERSTEIN_SQL = f"""{X.PAGE_METRICS_SQL}, t AS (SELECT model, round(avg(n_equal / n_gt), 9) AS x FROM pm WHERE model <> 'm0' GROUP BY model, template_name),
+pl AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM t WHERE model = 'm1'),
+dr AS (SELECT r, ('0x' || substr(sha256('20260720|' || r || '|' || i), 1, 8))::UBIGINT % n AS i FROM pl CROSS JOIN (SELECT unnest(range(200)) AS r)),
+ev AS (SELECT r, x, 1 AS a, 0 AS b FROM dr JOIN pl USING (i) UNION ALL SELECT r, x, 0, 1 FROM t CROSS JOIN (SELECT unnest(range(200)) AS r) WHERE model = 'm2' UNION ALL SELECT -1, x, (model = 'm1')::INT, (model = 'm2')::INT FROM t),
+ct AS (SELECT r, x, sum(a) AS a, sum(b) AS b FROM ev GROUP BY ALL),
+fn AS (SELECT r, lead(x) OVER w - x AS gap, sum(a) OVER w / sum(a) OVER (PARTITION BY r) AS fa, sum(b) OVER w / sum(b) OVER (PARTITION BY r) AS fb FROM ct WINDOW w AS (PARTITION BY r ORDER BY x)),
+ds AS (SELECT r, sum(abs(fa - fb) * gap) AS d FROM fn GROUP BY r), sp AS (SELECT quantile_cont(x, 0.95) - quantile_cont(x, 0.05) + 1e-12 AS s FROM t WHERE model = 'm2')
+SELECT round(max(d) FILTER (r = -1), 6) AS distance, round(max(d / s) FILTER (r = -1), 6) AS normalised, round(quantile_cont(d, 0.025) FILTER (r >= 0), 6) AS low, round(quantile_cont(d, 0.975) FILTER (r >= 0), 6) AS high FROM ds CROSS JOIN sp"""
+
+
+def feature_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of customers from the first source that is a number."""
+    c = X.table(spark, sf_dir, "customer")
+    f = Y.chosen_feature({"told": F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.col("c_nationkey").cast("string")), "counted": F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string"))})
+    return c.select(f.alias("f")).groupBy("f.source").agg(F.count("*").alias("n"), F.sum("f.value").alias("total"))
+
+
+FEATURE_CHOICE_SQL = """WITH f AS (SELECT CASE WHEN c_custkey % 3 = 1 THEN 'told' WHEN c_custkey % 2 = 0 THEN 'counted' ELSE 'default' END AS source, CASE WHEN c_custkey % 3 = 1 THEN c_nationkey WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 0 END::DOUBLE AS v FROM customer)
+SELECT source, count(*) AS n, sum(v) AS total FROM f GROUP BY 1"""
+
+
 def context_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context scores of templates whose signals follow from their number."""
     n = X.table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("int").alias("k"))
@@ -548,7 +584,7 @@ QUERIES = {
         ablation_components, ablation_variants, ablation_deltas, component_contrasts, component_severity, clean_summary, level_summary, level_cross_tab, complexity_buckets, domain_composition, tag_distribution, template_extent,
         target_lengths, target_totals, report_fields, relation_type_pairs, relation_compaction, run_sources, level_reconstruction, partition_check, source_digest, ratio_bootstrap, proportion_bootstrap, cluster_bootstrap,
         derived_seeds, stratified_allocation, calibration_rounds, gower_groups, analysis_subsets, perturbation_response, response_matrix, monotonicity, selectivity, duplicate_edges, overlap_status, candidate_pairs,
-        cluster_medoids, context_parts, template_languages, distinct_labels,
+        cluster_medoids, page_clusters, wasserstein_interval, feature_choice, context_parts, template_languages, distinct_labels,
     )
 }
 SQL = {
@@ -568,5 +604,6 @@ SQL = {
     "stratified_allocation": values(ALLOCATION_ROWS, "stratum, n"), "calibration_rounds": CALIBRATION_SQL, "gower_groups": GOWER_SQL, "analysis_subsets": SUBSET_SQL,
     "perturbation_response": RESPONSE_SQL, "response_matrix": MATRIX_SQL, "monotonicity": MONOTONE_SQL, "selectivity": SELECTIVE_SQL, "duplicate_edges": EDGE_SQL, "overlap_status": STATUS_SQL,
     "candidate_pairs": values([(1, 2), (2, 3), (4, 5), (4, 6), (5, 6), (3, 4)], "a, b"), "cluster_medoids": values([("x", 2), ("y", 4), ("z", 6)], "cluster, representative"),
+    "page_clusters": values([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7)], "id, cluster"), "wasserstein_interval": WASSERSTEIN_SQL, "feature_choice": FEATURE_CHOICE_SQL,
     "context_parts": CONTEXT_SQL, "template_languages": values(LANGUAGE_ROWS, "name, language, script, direction"), "distinct_labels": values([(1, "Order: No|Total|x"), (2, ""), (3, None)], "id, texts"),
 }
