@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,24 +75,6 @@ def quotas(rows: dict[str, int], ratios: dict[str, float], columns: dict[str, in
         out[max(open_cells, key=lambda k: raw[k] - out[k])] += 1  # max keeps the first of equals
 
 
-def bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, rounds: int = 2000, seed: int = 20260720) -> DataFrame:
-    """by, mean, low, high: mean of cluster means with a 95 % interval from resampled clusters. A group's cluster means are gathered, never its rows."""
-    import pyarrow as pa
-
-    means = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.avg(value).alias("m"))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-
-    def resample(table: pa.Table) -> pa.Table:
-        x = np.sort(table.column("m").to_numpy())
-        rng = np.random.default_rng(seed)
-        drawn = np.concatenate([x[rng.integers(0, len(x), (min(200, rounds - at), len(x)))].mean(axis=1) for at in range(0, rounds, 200)])
-        low, high = np.quantile(drawn, [0.025, 0.975]) if len(x) > 1 else (x[0], x[0])
-        return pa.Table.from_arrays([*(table.column(b).slice(0, 1) for b in by), pa.array([float(x.mean())]), pa.array([float(low)]), pa.array([float(high)]), pa.array([len(x)])], names=[*by, "mean", "low", "high", "n_clusters"])
-
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", mean double, low double, high double, n_clusters long"
-    return means.groupBy(*by).applyInArrow(resample, schema)
-
-
 def keyword_class(text: Column, rules: list[tuple[str, list[str]]], otherwise: str = "other") -> Column:
     """The class with the most of its keywords in the text; the first one on a tie."""
     lower = F.lower(F.coalesce(text, F.lit("")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,18 +54,9 @@ def overlap_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return shared.join(sizes, right_key).select(left_key, right_key, "n_shared", (F.col("n_shared") / F.col("size")).alias("share")).where(F.col("share") >= least)
 
 
-def duplicate_reason(hash_equal: Column, image_bits: Column, layout: Column, text: Column) -> Column:
-    """Why two pages count as duplicates, strongest reason first; null if they don't."""
-    return F.when(hash_equal, "exact").when((image_bits <= 5) & (layout >= 0.95), "image_and_layout").when((text >= 0.9) & (layout >= 0.9), "text_and_layout").when(text >= 0.95, "text")
-
-
 def first_seen_mode(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """by, mode, modal_share: the commonest value, the one seen first on a tie."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
     rank = Window.partitionBy(*by).orderBy(F.desc("n"), "seen")
     total = F.sum("n").over(Window.partitionBy(*by))
     return counts.withColumns({"r": F.row_number().over(rank), "modal_share": F.col("n") / total}).where("r = 1").select(*by, F.col(value).alias("mode"), "modal_share")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

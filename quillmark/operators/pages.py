@@ -92,16 +92,6 @@ def grid_similarity(df: DataFrame, truth: str, predicted: str, out: str = "grits
     return rowwise(df, [truth, predicted], {out: "double"}, kernel)
 
 
-def local_grid_similarity(df: DataFrame, truth: str, predicted: str, parents: str) -> DataFrame:
-    """lg_total, lg_truth, lg_predicted of arrays of grids (region, bbox, cells) under a map of matched regions."""
-
-    def kernel(t, p, m):
-        grids = lambda gs: [{"region": g["region"], "bbox": g["bbox"], "cells": _cells(g["cells"])} for g in gs or []]
-        return K.local_grids(grids(t), grids(p), dict(m or []))
-
-    return rowwise(df, [truth, predicted, parents], {"lg_total": "double", "lg_truth": "long", "lg_predicted": "long"}, kernel)
-
-
 def widget_group_similarity(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """wg_total, wg_truth, wg_predicted of arrays of groups (type, members(type, state, bbox))."""
     return rowwise(df, [truth, predicted], {"wg_total": "double", "wg_truth": "long", "wg_predicted": "long"}, lambda t, p: K.widget_groups(t or [], p or []))

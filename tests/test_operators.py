@@ -29,6 +29,16 @@ def test_scan_and_selection(spark, tmp_path):
     assert sum(Z.shard(index, 3, k).count() for k in range(3)) == 3
 
 
+def test_small_sources_and_sets(spark, tmp_path):
+    from quillmark.operators import profile
+
+    (tmp_path / "x.json").write_text('{"model": "a", "n": 1}')
+    assert json.loads(Z.read_json(spark, str(tmp_path / "x.json")).first().text)["n"] == 1
+    old, new = (spark.createDataFrame(r, "model string, x int") for r in ([("a", 1), ("b", 2)], [("b", 3), ("c", 4)]))
+    assert sorted(map(tuple, Z.merged_results(old, new).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert profile.same_multiset(old.union(old), old.unionAll(old)) and not profile.same_multiset(old.union(old), old)
+
+
 def test_layouts_and_long_chains(spark, tmp_path):
     for name in ("a", "b_c"):
         (tmp_path / f"{name}.json").write_text(json.dumps({"name": name}, indent=1))
@@ -179,9 +189,11 @@ def test_perturbations_keep_what_they_must(spark):
 
 
 def test_bootstrap_of_one_cluster(spark):
-    df = spark.createDataFrame([("m", "t", 0.5), ("m", "t", 0.7), ("n", "a", 0.0), ("n", "b", 1.0)], "model string, t string, v double")
-    got = {r.model: r for r in Q.bootstrap(df, ["model"], "t", "v", 200).collect()}
-    assert got["m"].low == got["m"].high == pytest.approx(0.6) and got["n"].low <= 0.5 <= got["n"].high
+    from quillmark.operators import summaries
+
+    df = spark.createDataFrame([("m", "t", 1.2, 2), ("n", "a", 0.0, 1), ("n", "b", 3.0, 3)], "model string, t string, total double, weight int")
+    got = {r.model: r for r in summaries.resampled(df, ["model"], "t", "total", "weight", 200).collect()}
+    assert got["m"].low == got["m"].high == pytest.approx(0.6) and got["n"].estimate == 0.75 and got["n"].low == 0.0 and got["n"].high == 1.0
 
 
 def test_streaming_ingestion(spark, tmp_path):
