@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import documents as D
@@ -59,20 +59,25 @@ def value_similarity(df: DataFrame, truth: str, raw: str, out: str = "value_ned"
     return rowwise(df, [truth, raw], {out: "double"}, kernel)
 
 
-def _shape(value) -> str:
-    """A JSON text with the same shape tree: scalars as null."""
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k.strip())}:{_shape(v)}" for k, v in sorted(value.items(), key=lambda kv: kv[0].strip())) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_shape, value)) + "]"
-    return "null"
+#: A scalar of a JSON text where a value stands, and a key that could be taken for one.
+SCALAR = r'(?<=[:\[,])\s*(?:"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?=\s*[,\]}])'
+ODD_KEY = r'"[^"]*[:\[,][^"]*"\s*:'
+
+
+def masked(text: Column) -> Column:
+    """A JSON text with its scalars as null: pages of one shape have few different ones. Texts with odd keys stay as they are."""
+    return F.when(text.rlike(ODD_KEY), text).otherwise(F.regexp_replace(text, SCALAR, "null"))
 
 
 def shape_similarity(df: DataFrame, truth: str, raw: str, out: str = "schema_nted") -> DataFrame:
-    """Tree edit similarity of the answers' shapes; 0 for a missing or invalid prediction. Distinct pairs of shapes are scored once."""
-    shaped = rowwise(df, [truth, raw], {"__t": "string", "__r": "string"}, lambda t, r: (_shape(_parsed(t) or {}), None if (v := _parsed(r)) is None else _shape(v)))
-    pairs = shaped.where("__r is not null").select("__t", "__r").distinct()
-    scored = rowwise(pairs, ["__t", "__r"], {out: "double"}, lambda t, r: (K.tree_similarity(json.loads(t), json.loads(r)),))
+    """Tree edit similarity of the answers' shapes; 0 for a missing or invalid prediction. Scalars are masked in the plan, and only different pairs of masked texts are parsed and scored."""
+
+    def kernel(t, r):
+        said = _parsed(r)
+        return (0.0 if said is None else K.tree_similarity(_parsed(t) or {}, said),)
+
+    shaped = df.withColumns({"__t": masked(F.coalesce(F.col(truth), F.lit("{}"))), "__r": masked(F.col(raw))})
+    scored = rowwise(shaped.where("__r is not null").select("__t", "__r").distinct(), ["__t", "__r"], {out: "double"}, kernel)
     return shaped.join(scored, ["__t", "__r"], "left").withColumn(out, F.coalesce(out, F.lit(0.0))).drop("__t", "__r")
 
 

@@ -29,6 +29,18 @@ def test_scan_and_selection(spark, tmp_path):
     assert sum(Z.shard(index, 3, k).count() for k in range(3)) == 3
 
 
+def test_shapes_of_masked_texts_are_those_of_the_values(spark):
+    from quillmark.functions import kernels as K
+    from quillmark.operators import pages as G
+
+    rows = [('{"a": 1, "b": [1, "x", null]}', '{"a": "1,2", "b": ["}", true]}'), ('{"a,1,b": {"c": -1.5e3}}', '{"a,2,b": {"c": 7}}'), ('{"a": 1}', "{"), ('{"a": 1}', None), (None, '{"a": 1}'), ('{"a": "q\\"[1,2]"}', '{"a": [1, 2]}'), ('{"a": 1}', '{"a": 01}'), ("no", "[1]"), ('{ "x" : {"y":[ 1 , 2.0 ]}, "z":"\\u00e9:" }', '{"x": {"y": [[], {}]}, "z": 0}')]
+    got = G.shape_similarity(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, t string, r string"), "t", "r").collect()
+    assert len(got) == len(rows)
+    for x in got:
+        said = G._parsed(x.r)
+        assert x.schema_nted == (0.0 if said is None else K.tree_similarity(G._parsed(x.t) or {}, said)), x
+
+
 def test_small_sources_and_sets(spark, tmp_path):
     from quillmark.operators import profile
 
