@@ -68,9 +68,10 @@ def ways_of(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 
 def directions(rng: np.random.Generator, d: int) -> np.ndarray:
-    """WAYS / 2 random directions, orthogonal in sets of d."""
-    sets = [np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(-(-WAYS // (2 * d)))]
-    return np.concatenate(sets, axis=1)[:, : WAYS // 2]
+    """WAYS / 2 random directions, orthogonal in sets of d at most."""
+    width = min(d, WAYS // 2)
+    sets = [np.linalg.qr(rng.normal(size=(d, width)))[0] for _ in range(-(-WAYS // (2 * width)))]
+    return np.concatenate(sets, axis=1)[:, : WAYS // 2].astype(np.float32)
 
 
 def leaning(p: np.ndarray, ways: np.ndarray) -> np.ndarray:
