@@ -23,10 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_orderkey, items): each order's line items as an array in a fixed order."""
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*order).alias("i"))
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*order).alias("i")), "l_orderkey")
     return lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("i")).alias("items"))
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df shuffled by a key into a number of partitions that is asked for.
+
+    What follows costs much for a row and little for a byte, so adaptive execution must not put it into few tasks by its size, nor
+    leave it in as many as the file has. The grouping and the join on the key use this very shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index: sample_id, template_name and the page's source columns."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -37,7 +46,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = pages(spark, sf_dir).join(items(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    held = dealt(pages(spark, sf_dir), "o_orderkey").join(items(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     empty = F.array().cast(held.schema["items"].dataType)
     return held.withColumn("items", F.coalesce("items", empty))
 
