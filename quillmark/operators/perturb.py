@@ -23,11 +23,16 @@ def hit(severity: float, seed: int, error: str, page: Column, unit: Column) -> C
     return chosen(severity, str(seed), error, page, unit)
 
 
+LOW = "abcdefghijklmnopqrstuvwxyz"
+TURNED = LOW[13:] + LOW[:13]
+PLAIN, OTHER = LOW + LOW.upper() + "0123456789", TURNED + TURNED.upper() + "5678901234"
+#: The same alteration for Python's ``translate``.
+ALTERED = str.maketrans(PLAIN, OTHER)
+
+
 def altered_text(x: Column) -> Column:
     """Other text of equal length: letters turned by 13, digits by 5, anything else kept."""
-    low = "abcdefghijklmnopqrstuvwxyz"
-    turned = low[13:] + low[:13]
-    return F.translate(x, low + low.upper() + "0123456789", turned + turned.upper() + "5678901234")
+    return F.translate(x, PLAIN, OTHER)
 
 
 def flipped_state(x: Column) -> Column:
@@ -80,8 +85,10 @@ def swapped_pairs(leaves: DataFrame, page: str, path: str, value: str, severity:
     return marked.withColumn(value, F.when(F.col("__hit"), moved).otherwise(F.col(value))).drop("__hit")
 
 
-def curves(rows: DataFrame, by: list[str], template: str = "template_name") -> DataFrame:
-    """by, drop in percentage points (mean of template means), injected share of eligible units. Rows hold clean, corrupted, eligible, injected; pages without units are left out."""
+def curves(rows: DataFrame, by: list[str], template: str = "template_name", pages: str | None = None) -> DataFrame:
+    """by, drop in percentage points (mean of template means), injected share of eligible units. Rows hold clean, corrupted, eligible, injected, and in ``pages`` how many pages they stand for; pages without units are left out."""
+    n = F.col(pages) if pages else F.lit(1)
+    apart = (F.col("clean") - F.col("corrupted")) * 100
     some = rows.where("eligible > 0")
-    means = some.groupBy(*by, template).agg(F.avg((F.col("clean") - F.col("corrupted")) * 100).alias("d"), F.sum("injected").alias("i"), F.sum("eligible").alias("e"), F.count("*").alias("n"))
+    means = some.groupBy(*by, template).agg((F.sum(apart * n) / F.sum(F.when(apart.isNotNull(), n))).alias("d"), F.sum(F.col("injected") * n).alias("i"), F.sum(F.col("eligible") * n).alias("e"), F.sum(n).alias("n"))
     return means.groupBy(*by).agg(F.sum("n").alias("n_pages"), F.avg("d").alias("drop"), (F.sum("i") / F.sum("e")).alias("injected_share"))

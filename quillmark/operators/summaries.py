@@ -284,20 +284,22 @@ def shares_divergence(counts: DataFrame, by: list[str], category: str, side: str
 # --- diagnostics -----------------------------------------------------------------------------------
 
 
-def template_means(rows: DataFrame, by: list[str], template: str = "template_name") -> DataFrame:
-    """by, metric, template: mean drop in percentage points of the pages where a metric applies."""
-    return rows.where("clean is not null and corrupted is not null and eligible > 0").groupBy(*by, "metric", template).agg((100 * F.avg(F.col("clean") - F.col("corrupted"))).alias("drop"), F.count("*").alias("n"))
+def template_means(rows: DataFrame, by: list[str], template: str = "template_name", pages: str | None = None) -> DataFrame:
+    """by, metric, template: mean drop in percentage points of the pages where a metric applies. A row stands for one page, or for as many as ``pages`` says."""
+    n = F.col(pages) if pages else F.lit(1)
+    some = rows.where("clean is not null and corrupted is not null and eligible > 0")
+    return some.groupBy(*by, "metric", template).agg((100 * F.sum((F.col("clean") - F.col("corrupted")) * n) / F.sum(n)).alias("drop"), F.sum(n).alias("n"))
 
 
-def response_matrix(rows: DataFrame, metrics: list[str], severity: float) -> DataFrame:
+def response_matrix(rows: DataFrame, metrics: list[str], severity: float, pages: str | None = None) -> DataFrame:
     """error: mean drop of each metric over templates, at one severity."""
-    means = template_means(rows.where(F.col("severity") == severity), ["error"]).groupBy("error", "metric").agg(F.avg("drop").alias("drop"))
+    means = template_means(rows.where(F.col("severity") == severity), ["error"], pages=pages).groupBy("error", "metric").agg(F.avg("drop").alias("drop"))
     return means.groupBy("error").agg(*[F.max(F.when(F.col("metric") == m, F.col("drop"))).alias(m) for m in metrics])
 
 
-def monotonicity(rows: DataFrame) -> DataFrame:
+def monotonicity(rows: DataFrame, pages: str | None = None) -> DataFrame:
     """error, metric, spearman: rank correlation of severity and mean drop (over templates, then seeds); null if the drops are all equal."""
-    by_seed = template_means(rows, ["error", "severity", "seed"]).groupBy("error", "metric", "severity", "seed").agg(F.avg("drop").alias("drop"))
+    by_seed = template_means(rows, ["error", "severity", "seed"], pages=pages).groupBy("error", "metric", "severity", "seed").agg(F.avg("drop").alias("drop"))
     means = by_seed.groupBy("error", "metric", "severity").agg(F.avg("drop").alias("drop"))
     group = Window.partitionBy("error", "metric")
     rank = lambda c: F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("error", "metric", c)) - 1) / 2
@@ -305,11 +307,11 @@ def monotonicity(rows: DataFrame) -> DataFrame:
     return ranked.groupBy("error", "metric").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("spearman"))
 
 
-def selectivity(rows: DataFrame, targets: dict[str, list[str]], expected: dict[str, list[str]], severity: float) -> DataFrame:
+def selectivity(rows: DataFrame, targets: dict[str, list[str]], expected: dict[str, list[str]], severity: float, pages: str | None = None) -> DataFrame:
     """error: mean drop of its target metrics, the largest drop of the metrics that it shouldn't touch, and the margin between them."""
     spark = rows.sparkSession
     roles = spark.createDataFrame([(e, m, "target") for e, ms in targets.items() for m in ms] + [(e, m, "expected") for e, ms in expected.items() for m in ms], "error string, metric string, role string")
-    means = template_means(rows.where(F.col("severity") == severity), ["error"]).groupBy("error", "metric").agg(F.avg("drop").alias("drop")).join(F.broadcast(roles), ["error", "metric"], "left")
+    means = template_means(rows.where(F.col("severity") == severity), ["error"], pages=pages).groupBy("error", "metric").agg(F.avg("drop").alias("drop")).join(F.broadcast(roles), ["error", "metric"], "left")
     off = F.when(F.col("role").isNull(), F.struct("drop", "metric"))
     out = means.groupBy("error").agg(F.avg(F.when(F.col("role") == "target", F.col("drop"))).alias("target_drop"), F.max(off).alias("off"))
     return out.select("error", "target_drop", F.col("off.metric").alias("off_metric"), F.col("off.drop").alias("off_drop"), (F.col("target_drop") - F.col("off.drop")).alias("margin"))

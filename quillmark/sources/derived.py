@@ -27,13 +27,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("i")).alias("items"))
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
+def dealt(df: DataFrame, *key: str) -> DataFrame:
     """df shuffled by a key into a number of partitions that is asked for.
 
     What follows costs much for a row and little for a byte, so adaptive execution must not put it into few tasks by its size, nor
     leave it in as many as the file has. The grouping and the join on the key use this very shuffle.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,3 +249,25 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     for q in range(0, 200, 20):
         d = (bits[q] != bits).sum(axis=1)[ids != q]
         assert near[q] == ((d <= 2).sum(), d.min())
+
+
+def test_reduced_pages_score_like_whole_ones(spark, tmp_path):
+    """Pages of odd texts: the classes of ``damaged_units`` are few, stand for every page, and give what the SQL finds page by page."""
+    from oracle import rows_of_spark, rows_of_sql
+
+    from quillmark.plans import summaries as M
+
+    copy = tmp_path / "sf"
+    for name in ("nation", "region", "customer", "orders", "lineitem"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "customer":  # names and segments that damage turns into each other, or leaves as they are
+            df = df.withColumns({"c_name": F.when(F.col("c_custkey") % 3 == 0, "O").when(F.col("c_custkey") % 3 == 1, "x 1").otherwise(F.col("c_name")), "c_mktsegment": F.when(F.col("c_custkey") % 2 == 0, "B").otherwise("K 6")})
+        df.write.parquet(str(copy / f"{name}.parquet"))
+    pages = spark.read.parquet(str(copy / "lineitem.parquet")).select("l_orderkey").distinct().count()
+    units = M.damaged_units(spark, str(copy)).groupBy("error").agg(F.sum("n").alias("pages"), F.count("*").alias("classes")).collect()
+    assert {r.error: r.pages for r in units} == dict.fromkeys(("value", "widget", "region", "grid", "relation"), 2 * pages)
+    sql = M.SQL["perturbation_response"]
+    for name in ("nation", "region", "customer", "orders", "lineitem"):
+        sql = sql.replace(f"FROM {name} ", f"FROM read_parquet('{copy}/{name}.parquet/*.parquet') {name} ").replace(f"JOIN {name} ", f"JOIN read_parquet('{copy}/{name}.parquet/*.parquet') {name} ")
+        sql = sql.replace(f"FROM {name})", f"FROM read_parquet('{copy}/{name}.parquet/*.parquet') {name})")
+    assert rows_of_spark(M.perturbation_response(spark, str(copy))) == rows_of_sql(sql, str(copy / "none"))
