@@ -11,9 +11,9 @@ from quillmark.sources import derived as X
 WIDGETS = frozenset({("order", "status"), ("order", "priority")})
 
 
-def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact: model, sample_id, template_name, counts and metrics."""
-    return S.with_metrics(S.score(X.page_pairs(spark, sf_dir), widgets=WIDGETS))
+def page_metrics(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = tuple(X.MODELS)) -> DataFrame:
+    """The fact: model, sample_id, template_name, counts and metrics. A filter on the model doesn't pass the kernel, so models that aren't wanted are to be left out here."""
+    return S.with_metrics(S.score(X.page_pairs(spark, sf_dir, only), widgets=WIDGETS))
 
 
 def _mean(name: str, metric: str):

@@ -67,14 +67,14 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_items(spark, sf_dir).select("sample_id", "template_name", F.to_json(answer()).alias("answer_json"))
 
 
-def models(spark: SparkSession) -> DataFrame:
+def models(spark: SparkSession, only: tuple[str, ...] = tuple(MODELS)) -> DataFrame:
     """model and the marks of its severity and of its missing and broken pages."""
-    return spark.createDataFrame([(m, mark(bound(s)), mark(bound(a)), mark(bound(a + b))) for m, (s, a, b) in MODELS.items()], "model string, severity string, missing string, bad string")
+    return spark.createDataFrame([(m, mark(bound(s)), mark(bound(a)), mark(bound(a + b))) for m, (s, a, b) in MODELS.items() if m in only], "model string, severity string, missing string, bad string")
 
 
-def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model, sample_id, template_name, answer_json, raw_text: every page of every model, derived in one pass; what a model missed is null."""
-    each = with_items(spark, sf_dir).crossJoin(F.broadcast(models(spark)))
+def page_pairs(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = tuple(MODELS)) -> DataFrame:
+    """model, sample_id, template_name, answer_json, raw_text: every page of every model asked for, derived in one pass; what a model missed is null."""
+    each = with_items(spark, sf_dir).crossJoin(F.broadcast(models(spark, only)))
     hit = lambda path: chosen(F.col("severity"), F.col("model"), F.col("sample_id"), path)
     damaged = answer(lambda p, v: F.when(hit(p), F.concat(v, F.lit("~"))).otherwise(v), lambda p, v: F.when(hit(p), v + 1).otherwise(v))
     fate = code("page", F.col("model"), F.col("sample_id"))

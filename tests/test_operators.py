@@ -271,3 +271,13 @@ def test_reduced_pages_score_like_whole_ones(spark, tmp_path):
         sql = sql.replace(f"FROM {name} ", f"FROM read_parquet('{copy}/{name}.parquet/*.parquet') {name} ").replace(f"JOIN {name} ", f"JOIN read_parquet('{copy}/{name}.parquet/*.parquet') {name} ")
         sql = sql.replace(f"FROM {name})", f"FROM read_parquet('{copy}/{name}.parquet/*.parquet') {name})")
     assert rows_of_spark(M.perturbation_response(spark, str(copy))) == rows_of_sql(sql, str(copy / "none"))
+
+
+def test_sources_of_a_run_are_derived_once(spark, monkeypatch):
+    from quillmark.plans import summaries as M
+
+    asked = []
+    real = M.page_metrics
+    monkeypatch.setattr(M, "page_metrics", lambda spark, d, only=None: asked.append(only) or real(spark, d, only))
+    plan = M.run_sources(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert asked == [("m1",)] and "MapInArrow" not in plan
