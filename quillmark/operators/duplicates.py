@@ -16,20 +16,26 @@ def exact_clusters(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, key: str, group: str, text: str, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(texts, pairs): the distinct texts of each group with their smallest id, and (a, b, jaccard) of ids whose word shingles are that similar.
+    """(texts, pairs): the distinct texts of each group, by SHA-256, with their smallest id, and (a, b, jaccard) of ids whose word shingles are that similar.
 
     Exact: with shingles in any fixed order, two sets that reach ``least`` share one of the first n - ceil(least * n) + 1 of each, so only
     those are joined; sizes must be close enough too. Candidates are verified on the whole sets.
     """
-    texts = cut(df.groupBy(F.col(group).alias("g"), F.coalesce(F.col(text), F.lit("")).alias("t")).agg(F.min(key).alias("id")))
-    sets = texts.select("g", "id", F.array_sort(F.transform(word_shingles(F.col("t")), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
-    first = sets.select("g", "id", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.lit(least) * F.size("s")) + 1).cast("int"))).alias("x"))
-    a, b = (first.select("g", "x", F.col("id").alias(i), F.col("n").alias(f"n{i}")) for i in ("a", "b"))
-    near = a.join(b, ["g", "x"]).where((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("a", "b").distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    whole = df.select(F.col(key).alias("id"), F.col(group).alias("g"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.sha2("t", 256))
+    texts = cut(whole.groupBy("g", "h").agg(F.min("id").alias("id")))
+    shingles = F.array_sort(F.transform(word_shingles(F.col("t")), lambda s: F.xxhash64(s)))
+    # only the first shingles of a text move, then a row for each of them without its group, which is in the hash
+    firsts = whole.where("g is not null").select("id", "g", "h", shingles.alias("s")).select("id", "g", "h", F.size("s").alias("n"), F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.lit(least) * F.size("s")) + 1).cast("int")).alias("s"))
+    first = firsts.join(texts, ["id", "h"], "left_semi").select("id", "g", "n", F.explode("s").alias("x")).select("id", "n", F.xxhash64("g", "x").alias("x"))
+    a, b = (first.select("x", F.col("id").alias(i), F.col("n").alias(f"n{i}")) for i in ("a", "b"))
+    near = cut(a.join(b, "x").where((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("a", "b").distinct())
+    # whole sets are made for candidates only
+    some = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = whole.join(some, "id", "left_semi").join(texts.select("id", "h"), ["id", "h"], "left_semi").select("id", "g", shingles.alias("s"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("g").alias("ga"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    scored = near.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
-    return texts, scored.where(F.col("jaccard") >= least)
+    scored = near.join(left, "a").join(right, "b").where("ga = gb").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
+    return texts, scored.where(F.col("jaccard") >= least).distinct()
 
 
 def classes(df: DataFrame, key: str, group: str, text: str, least: float = 0.8) -> DataFrame:
@@ -38,9 +44,9 @@ def classes(df: DataFrame, key: str, group: str, text: str, least: float = 0.8)
     pairs = cut(pairs)
     roots = components(pairs, "a", "b")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = texts.join(roots, texts["id"] == roots["node"], "left").join(degree, "id", "left").select("g", "t", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    rows = df.select(F.col(key), F.col(group).alias("g"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.join(named, (rows["g"].eqNullSafe(named["g"])) & (rows["t"] == named["t"])).select(key, "class_id", "n_links")
+    named = texts.join(roots, texts["id"] == roots["node"], "left").join(degree, "id", "left").select("g", "h", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    rows = df.select(F.col(key), F.col(group).alias("g"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("h"))
+    return rows.join(named, (rows["g"].eqNullSafe(named["g"])) & (rows["h"] == named["h"])).select(key, "class_id", "n_links")
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text", n: int = 8, least: float = 0.5) -> DataFrame:
